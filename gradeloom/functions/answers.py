@@ -6,11 +6,12 @@ starts a replacement keeps the order the grading rules need.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BACKSLASH = "\\"
-
 # Units removed from an answer, in this order.
 UNITS = [
     "degree", "cm", "centimeter", "meter", "mile", "second", "minute", "hour",
@@ -31,21 +32,28 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value computed once per row.
+
+    Column expressions are trees: a value used twice is a subtree written twice,
+    and a chain of such steps doubles at each one. A one-element transform binds
+    the value instead.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
+def chain(value: Column, *steps: Callable[[Column], Column]) -> Column:
+    return reduce(let, steps, value)
+
+
 # --- extraction -----------------------------------------------------------
 
 
-def last_boxed(text: Column) -> Column:
-    r"""The last `\boxed{...}` (else the last `\fbox{...}`) up to its closing brace.
+def _close_brace(tail: Column) -> Column:
+    """Length of the tail up to the brace that closes its first open one, or null.
 
-    Null when there is none or its braces never close. The tail is cut after
-    each brace, so the fold visits braces, not characters.
+    The tail is cut after each brace, so the fold visits braces, not characters.
     """
-    marker = F.when(F.contains(text, F.lit(r"\boxed")), F.lit(r"\boxed")).when(
-        F.contains(text, F.lit(r"\fbox")), F.lit(r"\fbox")
-    )
-    boxed_tail = F.substring_index(text, r"\boxed", -1)
-    fbox_tail = F.substring_index(text, r"\fbox", -1)
-    tail = F.when(marker == F.lit(r"\boxed"), boxed_tail).otherwise(fbox_tail)
     start = F.struct(
         F.lit(0).alias("depth"), F.lit(0).alias("length"), F.lit(False).alias("closed")
     )
@@ -64,18 +72,44 @@ def last_boxed(text: Column) -> Column:
             )
         )
 
-    end = F.aggregate(F.split(tail, r"(?<=[{}])"), start, step)
-    return F.when(
-        marker.isNotNull() & end["closed"],
-        F.concat(marker, F.substring(tail, F.lit(1), end["length"])),
+    return F.aggregate(
+        F.split(tail, r"(?<=[{}])"), start, step, lambda s: F.when(s["closed"], s["length"])
     )
 
 
+def last_boxed(text: Column) -> Column:
+    r"""The last `\boxed{...}` (else the last `\fbox{...}`) up to its closing brace.
+
+    Null when there is none or its braces never close.
+    """
+
+    def span(text):
+        boxed = F.contains(text, F.lit(r"\boxed"))
+        marker = F.when(boxed, F.lit(r"\boxed")).when(
+            F.contains(text, F.lit(r"\fbox")), F.lit(r"\fbox")
+        )
+        tail = F.when(boxed, F.substring_index(text, r"\boxed", -1)).otherwise(
+            F.substring_index(text, r"\fbox", -1)
+        )
+        return let(
+            F.struct(marker.alias("marker"), tail.alias("tail")),
+            lambda c: F.concat(
+                c["marker"], F.substring(c["tail"], F.lit(1), _close_brace(c["tail"]))
+            ),
+        )
+
+    return let(text, span)
+
+
 def boxed_answer(text: Column) -> Column:
     r"""Content of the last `\boxed{...}`; null where none opens with `\boxed{`."""
-    span = last_boxed(text)
-    content = F.substring(span, F.lit(8), F.length(span) - F.lit(8))
-    return F.when(F.startswith(span, F.lit(r"\boxed{")), content)
+    return let(
+        last_boxed(text),
+        lambda span: F.when(
+            F.startswith(span, F.lit(r"\boxed{")),
+            F.substring(span, F.lit(8), F.length(span) - F.lit(8)),
+        ),
+    )
 
 
 def hash_answer(text: Column, method: str = "strict") -> Column:
@@ -86,8 +120,13 @@ def hash_answer(text: Column, method: str = "strict") -> Column:
     if method != "flexible":
         raise ValueError(f"unknown method {method}")
     numbers = F.regexp_extract_all(text, F.lit(r"(-?[0-9.,]+)"), F.lit(1))
-    usable = F.filter(numbers, lambda n: ~n.isin("", "."))
-    return F.coalesce(F.try_element_at(usable, F.lit(-1)), F.try_element_at(numbers, F.lit(1)))
+    return let(
+        numbers,
+        lambda all_: F.coalesce(
+            F.try_element_at(F.filter(all_, lambda n: ~n.isin("", ".")), F.lit(-1)),
+            F.try_element_at(all_, F.lit(1)),
+        ),
+    )
 
 
 def after_think(text: Column, ignore_think: bool = False) -> Column:
@@ -104,23 +143,21 @@ def after_think(text: Column, ignore_think: bool = False) -> Column:
 def unwrap_text(answer: Column) -> Column:
     r"""Content of an answer that is one `\text{...}`."""
     pattern = r"^\\text\{(.+?)\}$"
-    return F.when(answer.rlike(pattern), F.regexp_extract(answer, pattern, 1)).otherwise(answer)
+    return let(
+        answer,
+        lambda a: F.when(a.rlike(pattern), F.regexp_extract(a, pattern, 1)).otherwise(a),
+    )
 
 
 def _segments(text: Column, command: str) -> Column:
-    parts = F.split(text, r"\\" + command)
-    return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
-
+    """The parts of the text that follow each use of a command."""
+    return let(
+        F.split(text, r"\\" + command),
+        lambda parts: F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))),
+    )
 
-def normalize_latex(answer: Column) -> Column:
-    """Normal form used for literal comparison of two LaTeX answers.
 
-    An answer the rules cannot read (two unit parts, a root or fraction without
-    arguments) is kept as it came.
-    """
-    raw = unwrap_text(strip(answer))
-    raw = F.when(strip(answer).rlike(r"^\\text\{(.+?)\}$"), strip(raw)).otherwise(raw)
-    text = raw
+def _clean_latex(text: Column) -> Column:
     for old, new in [
         ("\n", ""),
         (r"\!", ""),
@@ -134,30 +171,69 @@ def normalize_latex(answer: Column) -> Column:
         (r"\$", ""),
     ]:
         text = swap(text, old, new)
-    unit_parts = F.size(F.split(text, r"\\text\{ "))
+    return text
+
+
+def _drop_units(text: Column) -> Column:
     text = F.substring_index(text, r"\text{ ", 1)
     for old, new in [(r"\%", ""), (" .", " 0."), ("{.", "{0.")]:
         text = swap(text, old, new)
-    empty = text == ""
-    text = F.when(F.startswith(text, F.lit(".")), F.concat(F.lit("0"), text)).otherwise(text)
+    return F.regexp_replace(text, r"^\.", "0.")
+
+
+def _drop_left_side(text: Column) -> Column:
+    """`k = 3` reads as `3`."""
     sides = F.split(text, "=")
-    text = F.when(
-        (F.size(sides) == 2) & (F.length(sides[0]) <= 2), F.try_element_at(sides, F.lit(2))
-    ).otherwise(text)
-    bare_root = F.exists(_segments(text, "sqrt"), lambda s: s == "")
-    text = F.regexp_replace(text, r"\\sqrt([^{])", r"\\sqrt{$1}")
-    text = swap(text, " ", "")
+    short = (F.size(sides) == 2) & (F.length(sides[0]) <= 2)
+    return F.when(short, F.try_element_at(sides, F.lit(2))).otherwise(text)
+
+
+def _brace_roots(text: Column) -> Column:
+    return swap(F.regexp_replace(text, r"\\sqrt([^{])", r"\\sqrt{$1}"), " ", "")
+
+
+def _brace_fractions(text: Column) -> Column:
+    """Braced fractions; null when one has no arguments at all."""
     short = F.filter(
         _segments(text, "frac"), lambda s: (s == "") | ((F.length(s) == 1) & (s != "{"))
     )
-    first_short = F.try_element_at(short, F.lit(1))
-    fractions = F.regexp_replace(text, r"\\frac([^{])([^{])", r"\\frac{$1}{$2}")
-    fractions = F.regexp_replace(fractions, r"\\frac([^{])\{", r"\\frac{$1}{")
-    text = F.when(first_short.isNull(), fractions).otherwise(text)
-    text = F.when(text == "0.5", F.lit(r"\frac{1}{2}")).otherwise(text)
-    text = F.regexp_replace(text, r"^(0|-?[1-9][0-9]*)/(0|-?[1-9][0-9]*)$", r"\\frac{$1}{$2}")
-    unreadable = (unit_parts > 2) | bare_root | F.coalesce(first_short == "", F.lit(False))
-    return F.when(empty, F.lit("")).when(unreadable, raw).otherwise(text)
+    braced = F.regexp_replace(text, r"\\frac([^{])([^{])", r"\\frac{$1}{$2}")
+    braced = F.regexp_replace(braced, r"\\frac([^{])\{", r"\\frac{$1}{")
+    return let(
+        F.coalesce(F.try_element_at(short, F.lit(1)), F.lit("none")),
+        lambda first: F.when(first == "none", braced).when(first != "", text),
+    )
+
+
+def _simple_fractions(text: Column) -> Column:
+    text = F.when(text == "0.5", F.lit("1/2")).otherwise(text)
+    return F.regexp_replace(
+        text, r"^(0|-?[1-9][0-9]*)/(0|-?[1-9][0-9]*)$", r"\\frac{$1}{$2}"
+    )
+
+
+def normalize_latex(answer: Column) -> Column:
+    """Normal form used for literal comparison of two LaTeX answers.
+
+    An answer the rules cannot read (two unit parts, a root or fraction without
+    arguments) is kept as it came.
+    """
+
+    def arguments(text):
+        bare_root = F.exists(_segments(text, "sqrt"), lambda s: s == "")
+        return F.when(~bare_root, chain(text, _brace_roots, _brace_fractions, _simple_fractions))
+
+    def rules(raw):
+        cleaned = _clean_latex(raw)
+        readable = F.size(F.split(cleaned, r"\\text\{ ")) <= 2
+        normal = chain(
+            cleaned,
+            _drop_units,
+            lambda t: F.when(t == "", t).otherwise(chain(t, _drop_left_side, arguments)),
+        )
+        return F.coalesce(F.when(readable, normal), raw)
+
+    return let(strip(unwrap_text(strip(answer))), rules)
 
 
 # --- plain normal form ----------------------------------------------------
@@ -166,16 +242,16 @@ def normalize_latex(answer: Column) -> Column:
 def drop_thousands_commas(text: Column) -> Column:
     """Removes commas between digit groups, pass after pass until none is left."""
     pattern = r"([0-9])(,)([0-9][0-9][0-9])($|[^0-9])"
-    passes = F.sequence(F.lit(1), F.greatest(F.regexp_count(text, F.lit(",")), F.lit(1)))
-    return F.aggregate(passes, text, lambda acc, _: F.regexp_replace(acc, pattern, "$1$3$4"))
 
+    def passes(t):
+        rounds = F.sequence(F.lit(1), F.greatest(F.regexp_count(t, F.lit(",")), F.lit(1)))
+        return F.aggregate(rounds, t, lambda acc, _: F.regexp_replace(acc, pattern, "$1$3$4"))
 
-def as_number(text: Column) -> Column:
-    return F.when(text.rlike(NUMBER), strip(text).try_cast("double"))
+    return let(text, passes)
 
 
-def _integer_text(number: Column) -> Column:
-    return F.round(number, 0).try_cast("decimal(38,0)").cast("string")
+def as_number(text: Column) -> Column:
+    return let(text, lambda t: F.when(t.rlike(NUMBER), strip(t).try_cast("double")))
 
 
 def _is_integer(number: Column) -> Column:
@@ -183,12 +259,10 @@ def _is_integer(number: Column) -> Column:
 
 
 def is_integer_text(text: Column) -> Column:
-    return _is_integer(as_number(drop_thousands_commas(text)))
+    return let(as_number(drop_thousands_commas(text)), _is_integer)
 
 
-def normalize_answer(answer: Column) -> Column:
-    """Plain-text normal form: no units, signs, braces, spaces or case."""
-    text = unwrap_text(answer)
+def _plain_words(text: Column) -> Column:
     for old, new in [
         (r"\%", "%"),
         (r"\$", "$"),
@@ -201,73 +275,118 @@ def normalize_answer(answer: Column) -> Column:
         text = swap(text, old, new)
     for unit in UNITS:
         text = F.regexp_replace(text, unit + r"(es)?(s)? *(\^[0-9]+)?", "")
-    text = F.regexp_replace(text, r"\^ *\\circ", "")
-    text = F.when(
-        F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}")),
-        F.substring(text, F.lit(2), F.length(text) - F.lit(2)),
-    ).otherwise(text)
-    text = F.regexp_replace(text, r",\\! *", "")
-    number = as_number(text)
-    text = F.when(_is_integer(number), _integer_text(number)).otherwise(text)
+    return F.regexp_replace(text, r"\^ *\\circ", "")
+
+
+def _unbrace(text: Column) -> Column:
+    braced = F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}"))
+    inner = F.substring(text, F.lit(2), F.length(text) - F.lit(2))
+    return F.regexp_replace(F.when(braced, inner).otherwise(text), r",\\! *", "")
+
+
+def _round_integers(text: Column) -> Column:
+    whole = lambda n: F.round(n, 0).try_cast("decimal(38,0)").cast("string")
+    return let(
+        as_number(text), lambda n: F.when(_is_integer(n), whole(n)).otherwise(text)
+    )
+
+
+def _squeeze(text: Column) -> Column:
     text = F.regexp_replace(text, "- *", "-")
     text = F.regexp_replace(text, "([0-9]) +([0-9])", "$1+$2")
     for old in (" ", "{", "}"):
         text = swap(text, old, "")
-    text = F.lower(text)
-    plain = as_number(swap(text, ",", ""))
-    whole = F.when(plain < 0, F.ceil(plain)).otherwise(F.floor(plain))
-    return F.when(is_integer_text(text), whole.cast("decimal(38,0)").cast("string")).otherwise(text)
+    return F.lower(text)
+
+
+def _integer_form(text: Column) -> Column:
+    whole = lambda n: F.when(n < 0, F.ceil(n)).otherwise(F.floor(n))
+    value = let(as_number(swap(text, ",", "")), whole).cast("decimal(38,0)").cast("string")
+    return F.when(is_integer_text(text), value).otherwise(text)
+
+
+def normalize_answer(answer: Column) -> Column:
+    """Plain-text normal form: no units, signs, braces, spaces or case."""
+    return chain(
+        unwrap_text(answer), _plain_words, _unbrace, _round_integers, _squeeze, _integer_form
+    )
 
 
 def split_tuple(text: Column) -> Column:
     """Elements of a bracketed tuple or interval; one element for anything else."""
-    plain = drop_thousands_commas(text)
-    inner = F.substring(plain, F.lit(2), F.length(plain) - F.lit(2))
-    is_tuple = plain.rlike(r"(?s)^[()\[\]][^()\[\]]+[()\[\]]$")
-    return (
-        F.when(plain == "", F.array().cast("array<string>"))
-        .when(is_tuple, F.transform(F.split(inner, ","), strip))
-        .otherwise(F.array(plain))
-    )
+
+    def parts(plain):
+        inner = F.substring(plain, F.lit(2), F.length(plain) - F.lit(2))
+        is_tuple = plain.rlike(r"(?s)^[()\[\]][^()\[\]]+[()\[\]]$")
+        return (
+            F.when(plain == "", F.array().cast("array<string>"))
+            .when(is_tuple, F.transform(F.split(inner, ","), strip))
+            .otherwise(F.array(plain))
+        )
+
+    return let(drop_thousands_commas(text), parts)
 
 
-def _is_fraction(text: Column) -> Column:
-    return text.rlike(r"^-?[0-9]+.?/0*[1-9][0-9]*.?$")
+def _read_element(text: Column) -> Column:
+    """What the comparison of two elements needs to know about one."""
+    return let(
+        as_number(drop_thousands_commas(text)),
+        lambda number: F.struct(
+            text.alias("text"),
+            number.alias("number"),
+            _is_integer(number).alias("integer"),
+            text.rlike(r"^-?[0-9]+.?/0*[1-9][0-9]*.?$").alias("fraction"),
+        ),
+    )
 
 
-def _elements_match(truth: Column, given: Column) -> Column:
-    both_integers = is_integer_text(truth) & is_integer_text(given)
-    value = lambda t: as_number(drop_thousands_commas(t))
+def _elements_match(a: Column, b: Column) -> Column:
+    same_text = a["text"] == b["text"]
     return (
-        F.when(_is_fraction(truth) & _is_fraction(given), truth == given)
-        .when(is_integer_text(truth) != is_integer_text(given), F.lit(False))
-        .otherwise((truth == given) | (both_integers & (value(truth) == value(given))))
+        F.when(a["fraction"] & b["fraction"], same_text)
+        .when(a["integer"] != b["integer"], F.lit(False))
+        .otherwise(same_text | (a["integer"] & (a["number"] == b["number"])))
+    )
+
+
+def _read_answer(answer: Column) -> Column:
+    return let(
+        normalize_answer(answer),
+        lambda plain: F.struct(
+            plain.alias("plain"),
+            F.concat(F.left(plain, F.lit(1)), F.right(plain, F.lit(1))).alias("brackets"),
+            F.transform(split_tuple(plain), _read_element).alias("elements"),
+        ),
     )
 
 
 def plain_match(given: Column, truth: Column) -> Column:
     """Equal plain normal forms, or tuples of the same shape with equal elements."""
-    g, t = normalize_answer(given), normalize_answer(truth)
-    gs, ts = split_tuple(g), split_tuple(t)
-    same_brackets = (F.left(g, F.lit(1)) == F.left(t, F.lit(1))) & (
-        F.right(g, F.lit(1)) == F.right(t, F.lit(1))
-    )
-    elements = F.forall(
-        F.zip_with(ts, gs, _elements_match), lambda e: F.coalesce(e, F.lit(False))
-    )
-    by_element = (
-        F.when(F.length(g) == 0, F.lit(False))
-        .when((F.size(ts) > 1) & ~same_brackets, F.lit(False))
-        .when(F.size(ts) != F.size(gs), F.lit(False))
-        .otherwise(elements)
-    )
-    return F.coalesce((g == t) | by_element, F.lit(False))
+
+    def compare(pair):
+        g, t = pair["given"], pair["truth"]
+        elements = F.zip_with(t["elements"], g["elements"], _elements_match)
+        by_element = (
+            (F.length(g["plain"]) > 0)
+            & ((F.size(t["elements"]) <= 1) | (g["brackets"] == t["brackets"]))
+            & (F.size(t["elements"]) == F.size(g["elements"]))
+            & F.forall(elements, lambda e: F.coalesce(e, F.lit(False)))
+        )
+        return F.coalesce((g["plain"] == t["plain"]) | by_element, F.lit(False))
+
+    both = F.struct(_read_answer(given).alias("given"), _read_answer(truth).alias("truth"))
+    return let(both, compare)
 
 
 def answers_match(given: Column, truth: Column) -> Column:
     """True when either normal form agrees; false for a missing answer."""
-    latex = F.coalesce(normalize_latex(given) == normalize_latex(truth), F.lit(False))
-    return latex | plain_match(given, truth)
+
+    def compare(pair):
+        g, t = pair["g"], pair["t"]
+        latex = F.coalesce(normalize_latex(g) == normalize_latex(t), F.lit(False))
+        return F.when(latex, F.lit(True)).otherwise(plain_match(g, t))
+
+    return let(F.struct(given.alias("g"), truth.alias("t")), compare)
 
 
 def reward_value(
@@ -282,22 +401,28 @@ def reward_value(
     tool_bonus: float = 0.5,
 ) -> Column:
     """Reward of one response against any of several truths."""
-    given = boxed_answer(after_think(response, ignore_think))
-    boxed = F.contains
     usable = F.filter(
         F.transform(
             truths,
-            lambda t: F.when(boxed(t, F.lit(r"\boxed")), boxed_answer(t)).otherwise(t),
+            lambda t: F.when(F.contains(t, F.lit(r"\boxed")), boxed_answer(t)).otherwise(t),
         ),
         lambda t: t.isNotNull(),
     )
-    right = F.exists(usable, lambda t: answers_match(given, t))
     bonus = F.lit(0.0) if used_tool is None else F.when(used_tool, tool_bonus).otherwise(0.0)
-    return (
-        F.when(given.isNull(), F.lit(format_error))
-        .when(truths.isNull() | (F.size(usable) == 0), F.lit(unknown))
-        .when(right, F.lit(correct) + bonus)
-        .otherwise(F.lit(incorrect))
+    row = F.struct(
+        boxed_answer(after_think(response, ignore_think)).alias("given"),
+        usable.alias("truths"),
+        bonus.alias("bonus"),
+    )
+    return let(
+        row,
+        lambda r: F.when(r["given"].isNull(), F.lit(format_error))
+        .when(r["truths"].isNull() | (F.size(r["truths"]) == 0), F.lit(unknown))
+        .when(
+            F.exists(r["truths"], lambda t: answers_match(r["given"], t)),
+            F.lit(correct) + r["bonus"],
+        )
+        .otherwise(F.lit(incorrect)),
     )
 
 
@@ -310,11 +435,11 @@ def unknown_letters(expression: Column) -> Column:
 
 def is_evaluable(answer: Column) -> Column:
     """At most two unknown letters and no power that a solver would choke on."""
-    text = normalize_answer(answer)
-    return (
-        (unknown_letters(text) <= 2)
+    return let(
+        normalize_answer(answer),
+        lambda text: (unknown_letters(text) <= 2)
         & ~F.contains(text, F.lit("^{"))
         & ~F.contains(text, F.lit("^("))
         & ~text.rlike(r"\^[0-9]+\^")
-        & ~text.rlike(r"\^[0-9][0-9]+")
+        & ~text.rlike(r"\^[0-9][0-9]+"),
     )

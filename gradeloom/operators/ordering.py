@@ -8,6 +8,7 @@ earlier buckets (a few rows) are added.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -45,7 +46,7 @@ def with_order_bucket(df: DataFrame, order: list[Column], name: str) -> DataFram
     key = order[0].cast("double")
     quantiles = _quantiles(df, key, n)
     bounds = sorted(set(quantiles))
-    repeated = [b for b in bounds if quantiles.count(b) > 1] if len(bounds) < len(quantiles) else []
+    repeated = [b for b, times in Counter(quantiles).items() if times > 1]
     out = _bucketize(df, key, bounds, "__outer")
     if not repeated or len(order) < 2:
         return out.withColumnRenamed("__outer", name)
@@ -91,4 +92,15 @@ def with_global_index(df: DataFrame, order: list[Column], name: str = "idx") ->
 
 def hash_order(id_column: str, seed: int) -> list[Column]:
     """A reproducible shuffle order: independent of partitioning and of retries."""
-    return [F.xxhash64(F.lit(seed), F.col(id_column)), F.col(id_column)]
+    return [hash52(F.col(id_column), seed), F.col(id_column)]
+
+
+def hash52(key: Column, seed: int) -> Column:
+    """The first 52 bits of the MD5 of seed and key, as a number a double holds exactly."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint")
+
+
+def hash_uniform(key: Column, seed: int) -> Column:
+    """A reproducible number in [0, 1)."""
+    return hash52(key, seed) / F.lit(float(2**52))
