@@ -7,37 +7,32 @@ aggregates, and leave the window to all others.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.operators.ordering import with_order_bucket
 
 # A key is hot when it holds more than this share of the rows ...
-HOT_SHARE = 1e-4
+HOT_SHARE = 1e-3
 # ... and more rows than one task handles with ease.
 HOT_ROWS = 1_000_000
+# Keys the frequency sketch tracks: an error of 3.5 / SKETCH_KEYS of the rows,
+# below HOT_SHARE, so no hot key can be missed.
+SKETCH_KEYS = 10_000
 
 
 def hot_key_hashes(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> list[int]:
     """Hashes of the keys that hold too many rows for one task.
 
-    `freqItems` finds every key above the share in one pass without a shuffle
-    (with false positives); a count of the candidates decides. The list has at
-    most 1 / HOT_SHARE entries whatever the size of the data.
+    One pass with a bounded frequency sketch per task and no shuffle by key. At
+    most 1 / HOT_SHARE keys come back, whatever the size of the data. A key taken
+    for hot by a sketch error only changes the plan, never the result.
     """
-    floor = HOT_ROWS if hot_rows is None else hot_rows
     hashed = df.select(F.xxhash64(*keys).alias("h"))
-    candidates = hashed.stat.freqItems(["h"], HOT_SHARE).first()[0]
-    counts = (
-        hashed.select(F.when(F.col("h").isin(list(candidates)), F.col("h")).alias("h"))
-        .groupBy("h")
-        .count()
-        .collect()
-    )
-    limit = max(floor, HOT_SHARE * sum(r["count"] for r in counts))
-    return [r["h"] for r in counts if r["h"] is not None and r["count"] > limit]
+    top = F.expr(f"approx_top_k(h, {round(1 / HOT_SHARE)}, {SKETCH_KEYS})")
+    row = hashed.agg(F.count(F.lit(1)).alias("n"), top.alias("top")).first()
+    limit = max(HOT_ROWS if hot_rows is None else hot_rows, HOT_SHARE * row["n"])
+    return [t["item"] for t in row["top"] or [] if t["count"] > limit]
 
 
 def with_group_stats(
@@ -111,5 +106,22 @@ def with_group_index(
     return out.withColumn(name, F.col(name).cast("bigint"))
 
 
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
+def join_keyed(
+    rows: DataFrame,
+    keyed: DataFrame,
+    keys: list[str],
+    how: str = "inner",
+    hot_rows: int | None = None,
+) -> DataFrame:
+    """Joins many rows per key to a table with one row per key.
+
+    Rows of a hot key stay where they are: only the hot keys' own entries, at most
+    1 / HOT_SHARE of them, are broadcast. All others meet in an ordinary join.
+    """
+    hot = hot_key_hashes(rows, keys, hot_rows)
+    if not hot:
+        return rows.join(keyed, keys, how)
+    is_hot = F.xxhash64(*keys).isin(hot)
+    cold = rows.where(~is_hot).join(keyed, keys, how)
+    big = rows.where(is_hot).join(F.broadcast(keyed.where(is_hot)), keys, how)
+    return cold.unionByName(big)

@@ -5,12 +5,16 @@ from __future__ import annotations
 from gradeloom.plans import (
     curation_queries,
     grading_queries,
+    rollout_queries,
+    tree_queries,
 )
 from gradeloom.plans.base import Query
 
 FAMILIES = [
     curation_queries,
     grading_queries,
+    rollout_queries,
+    tree_queries,
 ]
 
 
