@@ -35,15 +35,20 @@ def _bucketize(df: DataFrame, column: Column, bounds: list[float], name: str) ->
     return binned.withColumn(name, F.col("__bin").cast("int")).drop("__key", "__bin")
 
 
-def with_order_bucket(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+def with_order_bucket(
+    df: DataFrame, order: list[Column], name: str, uniform_below: float | None = None
+) -> DataFrame:
     """Adds a bucket number that never decreases along `order`.
 
     `order` is one or two numeric columns (a key, then a tie-breaker). Bounds are
     quantiles of the key; a value so frequent that it fills whole buckets is cut
     along the tie-breaker instead, so no bucket grows with a repeated value.
+    A key known to be uniform in [0, `uniform_below`) needs no quantiles.
     """
     n = BUCKETS_PER_PARTITION * shuffle_partitions(df.sparkSession)
     key = order[0].cast("double")
+    if uniform_below is not None:
+        return _bucketize(df, key, [uniform_below * i / n for i in range(1, n)], name)
     quantiles = _quantiles(df, key, n)
     bounds = sorted(set(quantiles))
     repeated = [b for b, times in Counter(quantiles).items() if times > 1]
@@ -60,9 +65,11 @@ def with_order_bucket(df: DataFrame, order: list[Column], name: str) -> DataFram
     return out.withColumn(name, F.col("__outer") * width + inner).drop("__outer", "__inner")
 
 
-def with_running_totals(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+def with_running_totals(
+    df: DataFrame, order: list[Column], sums: dict[str, Column], uniform_below: float | None = None
+) -> DataFrame:
     """Adds the total of each expression over all rows before this one in `order`."""
-    rows = with_order_bucket(df, order, "__bucket")
+    rows = with_order_bucket(df, order, "__bucket", uniform_below)
     totals = rows.groupBy("__bucket").agg(*[F.sum(e).alias(n) for n, e in sums.items()])
     # One row per bucket; their number follows the partition setting, not the data.
     ahead = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -90,6 +97,14 @@ def with_global_index(df: DataFrame, order: list[Column], name: str = "idx") ->
     return out.withColumn(name, F.col(name).cast("bigint"))
 
 
+def with_shuffle_index(df: DataFrame, id_column: str, seed: int, name: str = "idx") -> DataFrame:
+    """Adds the 0-based position of every row in a seeded shuffle."""
+    out = with_running_totals(
+        df, hash_order(id_column, seed), {name: F.lit(1)}, uniform_below=float(2**52)
+    )
+    return out.withColumn(name, F.col(name).cast("bigint"))
+
+
 def hash_order(id_column: str, seed: int) -> list[Column]:
     """A reproducible shuffle order: independent of partitioning and of retries."""
     return [hash52(F.col(id_column), seed), F.col(id_column)]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.operators.ordering import with_running_totals
 from gradeloom.operators.skew import join_keyed
+from gradeloom.session import checkpointed
 
 MIN_DEVIATION = 1e-12
 
@@ -60,9 +61,13 @@ def spearman(df: DataFrame, x: str, y: str, hot_rows: int | None = None) -> Data
 
 def fitness_correlations(trees: DataFrame, norm: str = "grad_norm_sq") -> DataFrame:
     """Spearman of F, p(1-p) and 1 - rho^2 against log(1 + norm), positive norms only."""
-    valid = trees.where(F.col(norm) > 0).select(
-        F.log1p(F.col(norm)).alias("log_norm"), "F", "bern_var",
-        (F.lit(1.0) - F.col("rho") * F.col("rho")).alias("unexplained"),
+    valid = checkpointed(
+        trees.where(F.col(norm) > 0).select(
+            F.log1p(F.col(norm)).alias("log_norm"),
+            "F",
+            "bern_var",
+            (F.lit(1.0) - F.col("rho") * F.col("rho")).alias("unexplained"),
+        )
     )
     parts = [
         spearman(valid, c, "log_norm").withColumn("term", F.lit(c))

@@ -7,6 +7,9 @@ from gradeloom.plans import (
     grading_queries,
     rollout_queries,
     tree_queries,
+    shaping_queries,
+    similarity_queries,
+    contest_queries,
 )
 from gradeloom.plans.base import Query
 
@@ -15,6 +18,9 @@ FAMILIES = [
     grading_queries,
     rollout_queries,
     tree_queries,
+    shaping_queries,
+    similarity_queries,
+    contest_queries,
 ]
 
 
