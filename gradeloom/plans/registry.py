@@ -10,6 +10,7 @@ from gradeloom.plans import (
     shaping_queries,
     similarity_queries,
     contest_queries,
+    io_queries,
 )
 from gradeloom.plans.base import Query
 
@@ -21,6 +22,7 @@ FAMILIES = [
     shaping_queries,
     similarity_queries,
     contest_queries,
+    io_queries,
 ]
 
 

@@ -49,8 +49,8 @@ def exclude_similar(spark, sf_dir):
     "dedup_similar",
     f"""WITH RECURSIVE p AS (SELECT a.vec_id AS src, b.vec_id AS dst, {_COS} AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
         k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY s DESC, dst) AS rank FROM p),
-        t AS (SELECT src, list(dst) AS targets FROM k WHERE rank <= 4 AND s > {TAU} GROUP BY 1),
-        o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS i, coalesce(targets, []::BIGINT[]) AS targets
+        t AS MATERIALIZED (SELECT src, list(dst) AS targets FROM k WHERE rank <= 4 AND s > {TAU} GROUP BY 1),
+        o AS MATERIALIZED (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS i, coalesce(targets, []::BIGINT[]) AS targets
           FROM embeddings LEFT JOIN t ON src = vec_id),
         w(i, removed) AS (SELECT CAST(0 AS BIGINT), []::BIGINT[] UNION ALL
           SELECT o.i, CASE WHEN list_contains(removed, o.vec_id) THEN removed ELSE list_concat(removed, o.targets) END
