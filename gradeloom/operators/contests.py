@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gradeloom.functions.text import split_problem_id
 from gradeloom.operators.ordering import with_running_totals
 from gradeloom.operators.skew import join_keyed
+from gradeloom.session import checkpointed
 
 
 def group_by_contest(submissions: DataFrame, problem: str = "problem_id") -> DataFrame:
@@ -77,50 +78,56 @@ def standing_rank(standings: DataFrame, model: DataFrame) -> DataFrame:
     )
 
 
-def _seed(candidate: Column, rating: Column, n: Column) -> Column:
-    """Expected rank of a rating: 1 + the sum of all chances to be beaten."""
-    chance = F.lit(1.0) / (F.lit(1.0) + F.pow(F.lit(10.0), (candidate - rating) / 400.0))
-    return F.lit(1.0) + F.sum(n * chance)
+# Candidate ratings tried in one round of the search.
+CANDIDATES = 16
 
 
-def _best_candidate(histogram: DataFrame, bounds: DataFrame, candidates: Column) -> DataFrame:
-    """The largest candidate rating whose expected rank is still at or behind the rank."""
-    tried = bounds.select("contest", "rank", F.explode(candidates).alias("candidate"))
-    seeds = (
-        histogram.join(tried, "contest")
-        .groupBy("contest", "rank", "candidate")
-        .agg(_seed(F.col("candidate"), F.col("rating"), F.col("n")).alias("seed"))
-    )
-    return seeds.groupBy("contest").agg(
-        F.coalesce(F.max(F.when(F.col("seed") >= F.col("rank"), F.col("candidate"))), F.lit(0)).alias(
-            "best"
-        )
+def _expected_rank(candidate: Column) -> Column:
+    """Aggregate over rated players: 1 + the sum of all chances to be beaten."""
+    chance = F.lit(1.0) / (
+        F.lit(1.0) + F.pow(F.lit(10.0), (candidate - F.col("rating")) / 400.0)
     )
+    return F.lit(1.0) + F.sum(F.col("n") * chance)
 
 
 def elo_rating(changes: DataFrame, ranks: DataFrame) -> DataFrame:
     """Integer rating in [0, max + 99] where the expected rank meets the actual one.
 
-    The expected rank falls as the rating grows, so a coarse grid and then a fine
-    one inside the winning gap find what a bisection would, for all contests in two
-    aggregates. Players are counted by rating first.
+    The expected rank falls as the rating grows. Each round narrows [low, high) of
+    every contest at once by trying a fixed number of ratings as columns of one
+    aggregate; it ends where a bisection would. Players are counted by rating
+    first, and the rounds, some four, follow from the largest rating.
     """
-    histogram = changes.groupBy("contest", F.col("old_rating").alias("rating")).agg(
-        F.count(F.lit(1)).alias("n")
+    histogram = checkpointed(
+        changes.groupBy("contest", F.col("old_rating").alias("rating")).agg(
+            F.count(F.lit(1)).alias("n")
+        )
     )
     top = histogram.groupBy("contest").agg(F.max("rating").cast("bigint").alias("top"))
-    bounds = ranks.join(top, "contest").select(
-        "contest", "rank", (F.col("top") + 99).alias("last"),
-        F.ceil(F.sqrt(F.col("top") + 100.0)).alias("gap"),
-    )
-    coarse = _best_candidate(
-        histogram, bounds, F.sequence(F.lit(0).cast("bigint"), F.greatest("last", F.lit(0)), F.col("gap"))
-    )
-    fine = bounds.join(coarse, "contest").withColumn(
-        "until", F.greatest(F.least(F.col("best") + F.col("gap") - 1, F.col("last")), F.col("best"))
+    state = checkpointed(
+        ranks.join(top, "contest").select(
+            "contest", "rank", F.lit(0).cast("bigint").alias("low"),
+            (F.col("top") + 100).alias("high"),
+        )
     )
-    tried = F.sequence(F.col("best"), F.col("until"))
-    return _best_candidate(histogram, fine, tried).withColumnRenamed("best", "elo")
+    widest = state.agg(F.max("high")).first()[0] or 1
+    span = F.col("high") - F.col("low")
+    tried = [
+        F.col("low") + F.floor(span * j / (CANDIDATES + 1)) for j in range(1, CANDIDATES + 1)
+    ]
+    while widest > 1:
+        seeds = (
+            histogram.join(state, "contest")
+            .groupBy("contest", "rank", "low", "high")
+            .agg(*[_expected_rank(c).alias(f"s{j}") for j, c in enumerate(tried)])
+        )
+        # Candidates equal to `low` are settled already.
+        behind = [(F.col(f"s{j}") >= F.col("rank")) | (c == F.col("low")) for j, c in enumerate(tried)]
+        low = F.greatest("low", *[F.when(b, c) for b, c in zip(behind, tried)])
+        high = F.least("high", *[F.when(~b, c) for b, c in zip(behind, tried)])
+        state = checkpointed(seeds.select("contest", "rank", low.alias("low"), high.alias("high")))
+        widest = state.agg(F.max(F.col("high") - F.col("low"))).first()[0]
+    return state.select("contest", F.col("low").alias("elo"))
 
 
 def rating_percentile(

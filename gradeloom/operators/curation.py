@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.functions.answers import is_evaluable
+from gradeloom.functions.sequences import attention_mask, chat_labels, chat_mask, pad_truncate
 from gradeloom.functions.text import capitalized, clean_activity_text, has_vote
+from gradeloom.operators.skew import with_group_running
 
 RL_SCHEMA = (
     "data_source string, prompt array<struct<role:string,content:string>>, ability string, "
@@ -244,3 +246,35 @@ def merge_tests(public: Column, private: Column) -> Column:
 def exclude_test_ids(train: DataFrame, test: DataFrame, column: str) -> DataFrame:
     """Training rows whose id is not in the test set."""
     return train.join(test.select(column), column, "left_anti")
+
+
+def chat_spans(
+    turns: DataFrame, length: Column, limit: int, hot_rows: int | None = None
+) -> DataFrame:
+    """Where each turn of a conversation starts, and how many of its tokens `limit` leaves.
+
+    `turns` has one row per turn (`conv_id`, `turn`). Turns beyond the limit go, so
+    at most `limit` rows of a conversation remain.
+    """
+    sized = turns.withColumn("length", length)
+    placed = with_group_running(
+        sized, ["conv_id"], [F.col("turn")], {"start": F.col("length")}, hot_rows
+    )
+    kept = F.least(F.col("length"), F.greatest(F.lit(limit) - F.col("start"), F.lit(0)))
+    return placed.withColumn("kept", kept.cast("int")).where(F.col("kept") > 0)
+
+
+def chat_examples(spans: DataFrame, ids: Column, limit: int, pad: int = 0) -> DataFrame:
+    """Token ids, attention, loss mask and labels of each conversation, `limit` long.
+
+    Labels are the ids on assistant turns and -100 elsewhere.
+    """
+    turn = F.struct("turn", "role", "kept", F.slice(ids, F.lit(1), F.col("kept")).alias("ids"))
+    chats = spans.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    tokens = F.flatten(F.col("t.ids"))
+    return chats.select(
+        "conv_id",
+        pad_truncate(tokens, limit, pad, "right", "right").alias("input_ids"),
+        attention_mask(tokens, limit, "right").alias("attention_mask"),
+        chat_mask(F.col("t.role"), F.col("t.kept"), limit).alias("loss_mask"),
+    ).withColumn("labels", chat_labels(F.col("input_ids"), F.col("loss_mask")))

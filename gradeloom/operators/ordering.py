@@ -25,6 +25,15 @@ def _quantiles(df: DataFrame, column: Column, n: int) -> list[float]:
     return list(row[0] or [])
 
 
+def bucket_count(df: DataFrame) -> int:
+    return BUCKETS_PER_PARTITION * shuffle_partitions(df.sparkSession)
+
+
+def quantile_bounds(df: DataFrame, column: Column) -> list[float]:
+    """Distinct approximate quantiles, one fewer than there are buckets."""
+    return sorted(set(_quantiles(df, column.cast("double"), bucket_count(df))))
+
+
 def _bucketize(df: DataFrame, column: Column, bounds: list[float], name: str) -> DataFrame:
     splits = [-math.inf, *bounds, math.inf]
     if len(splits) < 3:
@@ -36,19 +45,19 @@ def _bucketize(df: DataFrame, column: Column, bounds: list[float], name: str) ->
 
 
 def with_order_bucket(
-    df: DataFrame, order: list[Column], name: str, uniform_below: float | None = None
+    df: DataFrame, order: list[Column], name: str, bounds: list[float] | None = None
 ) -> DataFrame:
     """Adds a bucket number that never decreases along `order`.
 
     `order` is one or two numeric columns (a key, then a tie-breaker). Bounds are
     quantiles of the key; a value so frequent that it fills whole buckets is cut
     along the tie-breaker instead, so no bucket grows with a repeated value.
-    A key known to be uniform in [0, `uniform_below`) needs no quantiles.
+    Known `bounds` of the key save the pass that finds them.
     """
-    n = BUCKETS_PER_PARTITION * shuffle_partitions(df.sparkSession)
+    n = bucket_count(df)
     key = order[0].cast("double")
-    if uniform_below is not None:
-        return _bucketize(df, key, [uniform_below * i / n for i in range(1, n)], name)
+    if bounds is not None:
+        return _bucketize(df, key, bounds, name)
     quantiles = _quantiles(df, key, n)
     bounds = sorted(set(quantiles))
     repeated = [b for b, times in Counter(quantiles).items() if times > 1]
@@ -66,10 +75,10 @@ def with_order_bucket(
 
 
 def with_running_totals(
-    df: DataFrame, order: list[Column], sums: dict[str, Column], uniform_below: float | None = None
+    df: DataFrame, order: list[Column], sums: dict[str, Column], bounds: list[float] | None = None
 ) -> DataFrame:
     """Adds the total of each expression over all rows before this one in `order`."""
-    rows = with_order_bucket(df, order, "__bucket", uniform_below)
+    rows = with_order_bucket(df, order, "__bucket", bounds)
     totals = rows.groupBy("__bucket").agg(*[F.sum(e).alias(n) for n, e in sums.items()])
     # One row per bucket; their number follows the partition setting, not the data.
     ahead = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -99,9 +108,9 @@ def with_global_index(df: DataFrame, order: list[Column], name: str = "idx") ->
 
 def with_shuffle_index(df: DataFrame, id_column: str, seed: int, name: str = "idx") -> DataFrame:
     """Adds the 0-based position of every row in a seeded shuffle."""
-    out = with_running_totals(
-        df, hash_order(id_column, seed), {name: F.lit(1)}, uniform_below=float(2**52)
-    )
+    n = bucket_count(df)
+    bounds = [2**52 * i / n for i in range(1, n)]
+    out = with_running_totals(df, hash_order(id_column, seed), {name: F.lit(1)}, bounds)
     return out.withColumn(name, F.col(name).cast("bigint"))
 
 

@@ -112,13 +112,16 @@ def join_keyed(
     keys: list[str],
     how: str = "inner",
     hot_rows: int | None = None,
+    hot: list[int] | None = None,
 ) -> DataFrame:
     """Joins many rows per key to a table with one row per key.
 
     Rows of a hot key stay where they are: only the hot keys' own entries, at most
     1 / HOT_SHARE of them, are broadcast. All others meet in an ordinary join.
+    Hot keys already known save the pass that finds them.
     """
-    hot = hot_key_hashes(rows, keys, hot_rows)
+    if hot is None:
+        hot = hot_key_hashes(rows, keys, hot_rows)
     if not hot:
         return rows.join(keyed, keys, how)
     is_hot = F.xxhash64(*keys).isin(hot)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.operators.ordering import with_running_totals
-from gradeloom.operators.skew import join_keyed
+from gradeloom.operators.ordering import quantile_bounds, with_running_totals
+from gradeloom.operators.skew import hot_key_hashes, join_keyed
 from gradeloom.session import checkpointed
 
 MIN_DEVIATION = 1e-12
@@ -31,28 +31,33 @@ def pearson_guarded(df: DataFrame, x: str, y: str, by: list[str] | None = None)
     )
 
 
-def average_ranks(values: DataFrame, column: str, weight: str, name: str) -> DataFrame:
-    """One row per distinct value with the mean of the places it fills (from 1)."""
-    counts = values.groupBy(column).agg(F.sum(weight).alias("__n"))
-    placed = with_running_totals(counts, [F.col(column)], {"__below": F.col("__n")})
+def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
+    """One row per distinct value with the mean of the places its rows fill (from 1)."""
+    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("__n"))
+    bounds = quantile_bounds(df, F.col(column))
+    placed = with_running_totals(counts, [F.col(column)], {"__below": F.col("__n")}, bounds)
     return placed.select(column, (F.col("__below") + (F.col("__n") + 1) / 2).alias(name))
 
 
 def spearman(df: DataFrame, x: str, y: str, hot_rows: int | None = None) -> DataFrame:
     """One row: correlation of the average ranks, 0 when degenerate.
 
-    Equal pairs are counted first, so a frequent value costs one row. The mean of
+    Equal pairs are counted first, so a frequent pair costs one row. The mean of
     the ranks is known, (n + 1) / 2, which leaves plain sums.
     """
-    pairs = df.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("n"))
-    ranked = join_keyed(pairs, average_ranks(pairs, "x", "n", "rx"), ["x"], hot_rows=hot_rows)
-    ranked = join_keyed(ranked, average_ranks(pairs, "y", "n", "ry"), ["y"], hot_rows=hot_rows)
-    total = pairs.agg(F.sum("n")).scalar()
+    rows = df.select(F.col(x).alias("x"), F.col(y).alias("y"))
+    pairs = rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    hot_x, hot_y = (hot_key_hashes(rows, [c], hot_rows) for c in "xy")
+    ranked = join_keyed(pairs, average_ranks(rows, "x", "rx"), ["x"], hot=hot_x)
+    ranked = join_keyed(ranked, average_ranks(rows, "y", "ry"), ["y"], hot=hot_y)
+    total = rows.agg(F.count(F.lit(1))).scalar()
     middle = (total + 1) / F.lit(2.0)
     dx, dy, n = F.col("rx") - middle, F.col("ry") - middle, F.col("n")
-    sums = ranked.select((n * dx * dy).alias("xy"), (n * dx * dx).alias("xx"),
-                         (n * dy * dy).alias("yy"), "n").agg(
-        *[F.sum(c).alias(c) for c in ("xy", "xx", "yy", "n")]
+    sums = ranked.agg(
+        F.sum(n * dx * dy).alias("xy"),
+        F.sum(n * dx * dx).alias("xx"),
+        F.sum(n * dy * dy).alias("yy"),
+        F.sum("n").alias("n"),
     )
     usable = (F.col("xx") > 0) & (F.col("yy") > 0)
     r = F.try_divide(F.col("xy"), F.sqrt(F.col("xx")) * F.sqrt(F.col("yy")))

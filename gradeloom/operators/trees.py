@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.functions.sequences import bernoulli_variance, binary_entropy
-from gradeloom.operators.skew import join_keyed, with_group_stats
+from gradeloom.operators.skew import join_keyed, with_group_running, with_group_stats
 from gradeloom.operators.statistics import pearson_of_moments
 from gradeloom.session import checkpointed
 
@@ -81,9 +81,43 @@ def level_sizes(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
 
 
-def walk_order(nodes: DataFrame) -> DataFrame:
-    """Nodes with the key that lists each tree parent first, children in order."""
-    return nodes.select("tree_id", "path", "node_id", "depth").sort("tree_id", "path")
+def walk_order(nodes: DataFrame, max_depth: int, hot_rows: int | None = None) -> DataFrame:
+    """Place of each node in its tree's pre-order listing, from 0.
+
+    Subtree sizes go up level by level, then places come down: a child follows its
+    parent and the subtrees of its earlier siblings. No tree is sorted as a whole.
+    """
+    keys = ["tree_id", "node_id"]
+    rows = nodes.select(*keys, "parent_id", "depth", F.col("path")[F.size("path") - 1].alias("__child"))
+    sized, below = [], None
+    for depth in range(max_depth, -1, -1):
+        level = rows.where(F.col("depth") == depth).withColumn("__size", F.lit(1).cast("bigint"))
+        if below is not None:
+            inside = below.groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(
+                F.sum("__size").alias("__inside")
+            )
+            level = level.drop("__size").join(inside, keys, "left").select(
+                *rows.columns, F.coalesce(F.col("__inside") + 1, F.lit(1).cast("bigint")).alias("__size")
+            )
+        below = level
+        sized.append(level)
+    tree = checkpointed(reduce(DataFrame.unionByName, sized))
+    children = with_group_running(
+        tree.where(F.col("parent_id").isNotNull()), SIBLING_KEYS, [F.col("__child")],
+        {"__earlier": F.col("__size")}, hot_rows,
+    )
+    above = tree.where(F.col("parent_id").isNull()).select(
+        *keys, "depth", F.lit(0).cast("bigint").alias("place")
+    )
+    placed = [above]
+    for depth in range(1, max_depth + 1):
+        parents = above.select("tree_id", F.col("node_id").alias("parent_id"), "place")
+        own = children.where(F.col("depth") == depth)
+        above = join_keyed(own, parents, SIBLING_KEYS, hot_rows=hot_rows).select(
+            *keys, "depth", (F.col("place") + 1 + F.col("__earlier")).cast("bigint").alias("place")
+        )
+        placed.append(above)
+    return reduce(DataFrame.unionByName, placed)
 
 
 def propagate_rewards(nodes: DataFrame, max_depth: int) -> DataFrame:

@@ -571,3 +571,22 @@ def user_turn(spark, sf_dir):
     )
     messages = F.array_compact(F.array("first_user", "last"))
     return ends.select("conv_id", F.md5(text.user_turn(messages)).alias("content"))
+
+
+@QUERIES.add(
+    "chat_mask",
+    """WITH w AS (SELECT conv_id, turn, role, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM conversations),
+       p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) AS rn FROM w),
+       f AS (SELECT conv_id, range + 1 AS rn FROM (SELECT DISTINCT conv_id FROM conversations), range(512)),
+       t AS (SELECT f.conv_id, f.rn, coalesce(length(w), 0) AS id, CASE WHEN w IS NULL THEN 0 ELSE 1 END AS att,
+         CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS m FROM f LEFT JOIN p ON p.conv_id = f.conv_id AND p.rn = f.rn)
+       SELECT conv_id, md5(string_agg(id::VARCHAR, ',' ORDER BY rn)) AS input_ids, md5(string_agg(att::VARCHAR, ',' ORDER BY rn)) AS attention_mask,
+         md5(string_agg(m::VARCHAR, ',' ORDER BY rn)) AS loss_mask,
+         md5(string_agg(CASE WHEN m = 1 THEN id ELSE -100 END::VARCHAR, ',' ORDER BY rn)) AS labels FROM t GROUP BY 1""",
+)
+def chat_mask(spark, sf_dir):
+    ids = F.transform(F.split("text", " "), lambda w: F.length(w))
+    spans = C.chat_spans(table(spark, sf_dir, "conversations"), F.size(ids), 512)
+    chats = C.chat_examples(spans, ids, 512)
+    shown = lambda c: F.md5(F.array_join(F.col(c).cast("array<string>"), ",")).alias(c)
+    return chats.select("conv_id", *[shown(c) for c in chats.columns if c != "conv_id"])

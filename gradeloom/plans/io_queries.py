@@ -46,13 +46,13 @@ def read_examples(spark, sf_dir):
 
 @QUERIES.add(
     "write_examples",
-    """SELECT source AS data_source, CASE WHEN doc_id % 4 = 0 THEN 'test' ELSE 'train' END AS split, doc_id AS idx, md5(text) AS content
+    """SELECT source AS data_source, CASE WHEN lang = 'fr' THEN 'test' ELSE 'train' END AS split, doc_id AS idx, md5(text) AS content
        FROM documents""",
 )
 def write_examples(spark, sf_dir):
     path = scratch_path(spark, "rl")
     rows = _problems(spark, sf_dir)
-    for split, part in (("test", "doc_id % 4 = 0"), ("train", "doc_id % 4 <> 0")):
+    for split, part in (("test", "solution = 'fr'"), ("train", "solution <> 'fr'")):
         examples = C.build_rl_examples(rows.where(part), split, F.col("doc_id"), F.col("source"), system=None)
         R.write_examples(examples, f"{path}/{split}")
     both = spark.read.parquet(f"{path}/test").unionByName(spark.read.parquet(f"{path}/train"))

@@ -12,37 +12,48 @@ QUERIES = QuerySet()
 TAU = 0.30
 
 _COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
-_SPLIT = "q AS (SELECT * FROM embeddings WHERE vec_id % 2 = 0), r AS (SELECT * FROM embeddings WHERE vec_id % 2 = 1)"
 
 
 def vectors(spark, sf_dir):
     return S.unit_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
 
-def halves(spark, sf_dir):
-    """Two datasets: even ids as candidates, odd ids as reference."""
-    v = vectors(spark, sf_dir)
-    return v.where("id % 2 = 0"), v.where("id % 2 = 1")
-
-
 @QUERIES.add(
     "cosine_topk",
-    f"""WITH {_SPLIT}, p AS (SELECT a.vec_id AS query, b.vec_id AS doc, {_COS} AS s FROM q a, r b),
+    f"""WITH p AS (SELECT a.vec_id AS query, b.vec_id AS doc, {_COS} AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
         k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, doc) AS rank FROM p)
         SELECT query, doc, round(s, 6) AS score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 3""",
 )
 def cosine_topk(spark, sf_dir):
-    queries, docs = halves(spark, sf_dir)
-    return S.cosine_topk(queries, docs, 3, block_rows=512).withColumn("score", F.round("score", 6))
+    v = vectors(spark, sf_dir)
+    return S.cosine_topk(v, v, 3, exclude_self=True).withColumn("score", F.round("score", 6))
+
+
+@QUERIES.add(
+    "cosine_topk_between",
+    f"""WITH p AS (SELECT a.item AS query, b.vec_id AS doc, {_COS} AS s FROM (SELECT label AS item, first(embedding ORDER BY vec_id) AS embedding FROM embeddings GROUP BY 1) a, embeddings b),
+        k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, doc) AS rank FROM p)
+        SELECT CAST(query AS BIGINT) AS query, doc, round(s, 6) AS score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 10""",
+)
+def cosine_topk_between(spark, sf_dir):
+    """Queries and documents of different tables: one query per label."""
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.groupBy(F.col("label").cast("bigint").alias("item")).agg(F.min_by("embedding", "vec_id").alias("embedding"))
+    queries = S.unit_vectors(asked, "item", "embedding")
+    return S.cosine_topk(queries, vectors(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
 
 
 @QUERIES.add(
     "exclude_similar",
-    f"""WITH {_SPLIT} SELECT vec_id AS id FROM q a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE {_COS} > {TAU})""",
+    f"""SELECT vec_id AS id FROM embeddings a WHERE label <> 0 AND NOT EXISTS
+        (SELECT 1 FROM embeddings b WHERE b.label = 0 AND {_COS} > {TAU})""",
 )
 def exclude_similar(spark, sf_dir):
-    queries, docs = halves(spark, sf_dir)
-    return S.exclude_similar(queries, docs, TAU, block_rows=512).select("id")
+    """Label 0 is the benchmark, all others are candidates."""
+    e = table(spark, sf_dir, "embeddings")
+    candidates = S.unit_vectors(e.where("label <> 0"), "vec_id", "embedding")
+    reference = S.unit_vectors(e.where("label = 0"), "vec_id", "embedding")
+    return S.exclude_similar(candidates, reference, TAU).select("id")
 
 
 @QUERIES.add(
@@ -58,7 +69,7 @@ def exclude_similar(spark, sf_dir):
         SELECT vec_id AS id FROM embeddings WHERE NOT list_contains((SELECT arg_max(removed, i) FROM w), vec_id)""",
 )
 def dedup_similar(spark, sf_dir):
-    return S.dedup_similar(vectors(spark, sf_dir), TAU, 5, block_rows=512).select("id")
+    return S.dedup_similar(vectors(spark, sf_dir), TAU, 5).select("id")
 
 
 @QUERIES.add(
@@ -70,4 +81,4 @@ def exclude_matched_bad(spark, sf_dir):
     bad = S.unit_vectors(table(spark, sf_dir, "embeddings").where("label = 3"), "vec_id", "embedding")
     # The bad list comes with ids of its own and vectors of another length.
     bad = bad.select((F.col("id") + 10_000_000).alias("id"), "vec")
-    return S.exclude_matched_bad(v, bad, block_rows=512).select("id")
+    return S.exclude_matched_bad(v, bad).select("id")

@@ -144,16 +144,10 @@ def level_sizes(spark, sf_dir):
 
 @QUERIES.add(
     "walk_order",
-    f"""WITH {NODES_SQL}, w AS (SELECT tree_id, node_id, row_number() OVER (PARTITION BY tree_id ORDER BY path) AS place FROM nodes)
-        SELECT tree_id, string_agg(node_id, ',' ORDER BY place) AS walk FROM w GROUP BY 1""",
+    f"""WITH {NODES_SQL} SELECT tree_id, node_id, depth, row_number() OVER (PARTITION BY tree_id ORDER BY path) - 1 AS place FROM nodes""",
 )
 def walk_order(spark, sf_dir):
-    # The listing itself is the sorted table; one text per tree makes its order checkable.
-    step = F.struct("path", "node_id")
-    walk = T.walk_order(nodes(spark, sf_dir)).groupBy("tree_id").agg(
-        F.array_sort(F.collect_list(step)).alias("steps")
-    )
-    return walk.select("tree_id", F.array_join(F.col("steps.node_id"), ",").alias("walk"))
+    return T.walk_order(nodes(spark, sf_dir), DEPTH)
 
 
 @QUERIES.add(
