@@ -137,7 +137,8 @@ def gae_advantage(
         "seq_id", F.col("c.block").alias("__block"), F.col("c.next").alias("__next"),
         F.col("c.carry").alias("__carry"),
     )
-    done = blocks.join(carries, ["seq_id", "__block"]).select(
+    # A left join adds no null filter to `blocks`, so both its uses share one shuffle.
+    done = blocks.join(carries, ["seq_id", "__block"], "left").select(
         "seq_id", F.explode(backward(F.col("items"), F.col("__next"), F.col("__carry"))["out"]).alias("r")
     )
     return done.select(

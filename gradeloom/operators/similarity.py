@@ -41,7 +41,11 @@ def unit_vectors(df: DataFrame, id_column: str, vector: str) -> DataFrame:
 
 def _copy_groups(vectors: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
     """Each id with its group (the lowest id of equal vectors), and one row per group."""
-    members = with_group_stats(vectors, ["vec"], {"group": F.min("id")})
+    # The hash goes first: sorting then compares vectors only where hashes agree.
+    hashed = vectors.withColumn("hash", F.xxhash64("vec"))
+    members = checkpointed(
+        with_group_stats(hashed, ["hash", "vec"], {"group": F.min("id")}).drop("hash")
+    )
     lowest = Window.partitionBy("group").orderBy("id")
     # The rank limit is applied before the shuffle, so a large copy group sends few rows.
     groups = (
@@ -50,7 +54,7 @@ def _copy_groups(vectors: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
         .groupBy("group")
         .agg(F.min_by("vec", "id").alias("vec"), F.array_sort(F.collect_list("id")).alias("ids"))
     )
-    return members.select("id", "group"), groups
+    return members.select("id", "group"), checkpointed(groups)
 
 
 def _assign(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -165,12 +169,7 @@ def cosine_topk(
     """
     wanted = k + 1 if exclude_self else k
     members, groups = _copy_groups(docs, wanted)
-    groups = checkpointed(groups)
-    if exclude_self:
-        asking, query_groups = members, groups
-    else:
-        asking, query_groups = _copy_groups(queries, 1)
-        query_groups = checkpointed(query_groups)
+    asking, query_groups = (members, groups) if exclude_self else _copy_groups(queries, 1)
     best = _best_groups(query_groups, groups, wanted, tau, block_rows)
     # Few rows per query: `wanted` from each block it visited.
     found = Window.partitionBy("query").orderBy(F.desc("score"), "doc")

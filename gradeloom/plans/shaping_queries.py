@@ -9,6 +9,7 @@ from gradeloom.operators.curation import word_count
 from gradeloom.operators.ordering import with_global_index, with_shuffle_index
 from gradeloom.plans.base import QuerySet, table
 from gradeloom.plans.rollout_queries import rounded
+from gradeloom.session import checkpointed
 
 QUERIES = QuerySet()
 
@@ -115,7 +116,9 @@ _WORDS_SQL = "words AS (SELECT doc_id, len(string_split(text, ' ')) AS n_tokens
 
 
 def words(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", word_count("text").cast("bigint").alias("n_tokens"))
+    """Lengths as a narrow stored table, so the texts are read once."""
+    d = table(spark, sf_dir, "documents")
+    return checkpointed(d.select("doc_id", word_count("text").cast("bigint").alias("n_tokens")))
 
 
 _SERPENTINE = "CAST(CASE WHEN i % ({k} * 2) < {k} THEN i % ({k} * 2) ELSE {k} * 2 - 1 - i % ({k} * 2) END AS INTEGER)"
