@@ -141,17 +141,15 @@ def rating_percentile(
     # At equal ratings the questions come first: only strictly lower ones count.
     counts = ratings.groupBy(F.col(rating).cast("double").alias("rating")).agg(
         F.sum(weight).alias("w")
-    ).select("rating", "w", F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("id"))
+    ).select("rating", "w", F.lit(2**62).alias("id"), F.lit(False).alias("asked"))
     questions = asked.select(
         F.col(rating).cast("double").alias("rating"), F.lit(0).cast("bigint").alias("w"),
-        F.lit(0).alias("kind"), F.col(id_column).cast("bigint").alias("id"),
+        F.col(id_column).cast("bigint").alias("id"), F.lit(True).alias("asked"),
     )
     line = counts.unionByName(questions)
-    placed = with_running_totals(
-        line, [F.col("rating"), F.col("kind"), F.col("id")], {"below": F.col("w")}
-    )
+    placed = with_running_totals(line, [F.col("rating"), F.col("id")], {"below": F.col("w")})
     total = counts.agg(F.sum("w")).scalar()
-    return placed.where("kind = 0").select(
+    return placed.where("asked").select(
         F.col("id").alias(id_column),
         F.col("rating"),
         F.bround(F.col("below") / total * 100, 1).alias("percentile"),
@@ -163,5 +161,6 @@ def elo_summary(elos: DataFrame, ratings: DataFrame) -> DataFrame:
     mean = elos.agg(F.avg("elo").alias("rating"), F.count("elo").alias("contests")).withColumn(
         "id", F.lit(0).cast("bigint")
     )
+    mean = mean.where(F.col("contests") > 0)
     place = rating_percentile(ratings, mean, "id")
     return mean.join(place.select("id", "percentile"), "id").drop("id")

@@ -21,7 +21,8 @@ BUCKETS_PER_PARTITION = 4
 
 def _quantiles(df: DataFrame, column: Column, n: int) -> list[float]:
     probs = [i / n for i in range(1, n)]
-    row = df.agg(F.percentile_approx(column, probs, max(10_000, 10 * n))).first()
+    usable = F.when(~F.isnan(column), column)
+    row = df.agg(F.percentile_approx(usable, probs, max(10_000, 10 * n))).first()
     return list(row[0] or [])
 
 
@@ -34,13 +35,18 @@ def quantile_bounds(df: DataFrame, column: Column) -> list[float]:
     return sorted(set(_quantiles(df, column.cast("double"), bucket_count(df))))
 
 
-def _bucketize(df: DataFrame, column: Column, bounds: list[float], name: str) -> DataFrame:
+def bucketize(df: DataFrame, column: Column, bounds: list[float], name: str) -> DataFrame:
+    """Adds the number of bounds at or below the value.
+
+    Nulls go first and NaN last, as Spark sorts them, so no row is lost.
+    """
     splits = [-math.inf, *bounds, math.inf]
+    key = F.coalesce(column.cast("double"), F.lit(-math.inf))
     if len(splits) < 3:
-        return df.withColumn(name, F.lit(0))
-    binned = Bucketizer(splits=splits, inputCol="__key", outputCol="__bin").transform(
-        df.withColumn("__key", column)
-    )
+        return df.withColumn(name, F.isnan(key).cast("int"))
+    binned = Bucketizer(
+        splits=splits, inputCol="__key", outputCol="__bin", handleInvalid="keep"
+    ).transform(df.withColumn("__key", key))
     return binned.withColumn(name, F.col("__bin").cast("int")).drop("__key", "__bin")
 
 
@@ -57,17 +63,17 @@ def with_order_bucket(
     n = bucket_count(df)
     key = order[0].cast("double")
     if bounds is not None:
-        return _bucketize(df, key, bounds, name)
+        return bucketize(df, key, bounds, name)
     quantiles = _quantiles(df, key, n)
     bounds = sorted(set(quantiles))
     repeated = [b for b, times in Counter(quantiles).items() if times > 1]
-    out = _bucketize(df, key, bounds, "__outer")
+    out = bucketize(df, key, bounds, "__outer")
     if not repeated or len(order) < 2:
         return out.withColumnRenamed("__outer", name)
-    is_repeated = key.isin(repeated)
+    is_repeated = F.coalesce(key.isin(repeated), F.lit(False))
     tie = order[1].cast("double")
     tie_bounds = sorted(set(_quantiles(df.where(is_repeated), tie, n)))
-    out = _bucketize(out, tie, tie_bounds, "__inner")
+    out = bucketize(out, tie, tie_bounds, "__inner")
     # A repeated value is the lower bound of its bucket, so it comes first there.
     width = len(tie_bounds) + 2
     inner = F.when(is_repeated, F.col("__inner")).otherwise(F.lit(width - 1))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.operators.ordering import (
-    _bucketize,
+    bucketize,
     hash_order,
     hash_uniform,
     with_global_index,
@@ -94,7 +94,7 @@ def weighted_mixture(
     cuts = list(accumulate(p for _, _, p in live))[:-1]
     spark = df.sparkSession
     requests = spark.range(sum(sizes) if draws is None else draws).withColumnRenamed("id", "draw")
-    requests = _bucketize(requests, hash_uniform(F.col("draw"), seed), cuts, "__dataset")
+    requests = bucketize(requests, hash_uniform(F.col("draw"), seed), cuts, "__dataset")
     name = F.array(*[F.lit(n) for n, _, _ in live])[F.col("__dataset")]
     size = F.array(*[F.lit(s) for _, s, _ in live])[F.col("__dataset")]
     local = F.floor(hash_uniform(F.col("draw"), seed + 1) * size).cast("bigint")
@@ -111,7 +111,7 @@ def mixture_lookup(
     starts = [0, *accumulate(sizes)]
     inside = requests.where((F.col(index) >= 0) & (F.col(index) < starts[-1]))
     cuts = sorted(set(starts[1:-1]) - {0, starts[-1]})
-    placed = _bucketize(inside, F.col(index).cast("double"), [float(c) for c in cuts], "__dataset")
+    placed = bucketize(inside, F.col(index).cast("double"), [float(c) for c in cuts], "__dataset")
     # Empty datasets share a start with the next one and can hold no position.
     live = [(n, a) for n, a, s in zip(names, starts, sizes) if s]
     name = F.array(*[F.lit(n) for n, _ in live])[F.col("__dataset")]
@@ -241,16 +241,20 @@ def unfold(folded: DataFrame) -> DataFrame:
 
 
 def union_columns(left: DataFrame, right: DataFrame, id_column: str) -> DataFrame:
-    """Columns of both tables for the same rows; shared columns must agree."""
+    """Columns of both tables for the same rows; shared columns must agree.
+
+    A row that only one side has is an error too.
+    """
     shared = [c for c in right.columns if c in left.columns and c != id_column]
     renamed = right.withColumnsRenamed({c: f"__{c}" for c in shared})
-
-    def agreed(c):
-        same = F.col(c).eqNullSafe(F.col(f"__{c}"))
-        return F.when(same, F.col(c)).otherwise(F.raise_error(F.lit(f"{c} differs between the sides")))
-
-    joined = left.join(renamed, id_column)
-    types = dict(left.dtypes)
-    return joined.withColumns({c: agreed(c).cast(types[c]) for c in shared}).drop(
-        *[f"__{c}" for c in shared]
+    joined = left.withColumn("__left", F.lit(True)).join(
+        renamed.withColumn("__right", F.lit(True)), id_column, "full"
     )
+    paired = F.col("__left") & F.col("__right")
+    problem = F.when(paired.isNull(), F.lit("the two sides hold different rows"))
+    for c in shared:
+        differs = ~F.col(c).eqNullSafe(F.col(f"__{c}"))
+        problem = problem.when(differs, F.lit(f"{c} differs between the sides"))
+    # The check must not be optimised away with an unused column, so it filters.
+    checked = joined.where(F.when(problem.isNotNull(), F.raise_error(problem).cast("boolean")).otherwise(True))
+    return checked.drop("__left", "__right", *[f"__{c}" for c in shared])

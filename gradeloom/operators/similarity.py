@@ -14,6 +14,7 @@ No pair table exists. Two things keep the work down without losing a result:
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -219,32 +220,39 @@ def exclude_matched_bad(
 def removed_in_order(edges: DataFrame) -> DataFrame:
     """Ids removed when documents act in id order, each removing its targets (src, dst).
 
-    A removed document does not act. One acts when every lower id that targets it is
-    known not to act, and is passive once one of them acts; rounds go on until all
-    are known. Only documents with a lower source need deciding.
+    A removed document does not act. One is passive once a lower id that targets it
+    acts, and acts once no lower id that may act targets it. Each round settles all
+    documents it can and keeps only the edges still in question; the lowest open
+    document is always among the settled, so the rounds end.
     """
     edges = checkpointed(edges.select("src", "dst").distinct())
     forward = edges.where(F.col("src") < F.col("dst"))
-    threatened = forward.select(F.col("dst").alias("id")).distinct()
-    sources = edges.select(F.col("src").alias("id")).distinct()
-    state = checkpointed(
-        sources.join(threatened.withColumn("open", F.lit(True)), "id", "left").select(
-            "id", F.when(F.col("open"), F.lit(None)).otherwise(True).cast("boolean").alias("acts")
+    threatened = forward.select(F.col("dst").alias("src")).distinct()
+    free = edges.select("src").distinct().join(threatened, "src", "left_anti")
+    acting = [free]
+    question = checkpointed(_mark(forward, free))
+    while question.limit(1).count():
+        passive = checkpointed(question.where("acts").select(F.col("dst").alias("id")).distinct())
+        open_edges = question.join(passive.withColumnRenamed("id", "dst"), "dst", "left_anti").join(
+            passive.withColumnRenamed("id", "src"), "src", "left_anti"
+        ).select("src", "dst")
+        settled = open_edges.select("dst").unionByName(passive.withColumnRenamed("id", "dst"))
+        freed = checkpointed(
+            question.select("dst").distinct().join(settled, "dst", "left_anti")
+            .withColumnRenamed("dst", "src")
         )
+        acting.append(freed)
+        question = checkpointed(_mark(open_edges, freed))
+    all_acting = reduce(DataFrame.unionByName, acting)
+    return edges.join(all_acting, "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+
+
+def _mark(edges: DataFrame, acting: DataFrame) -> DataFrame:
+    """Edges with whether their source is known to act."""
+    flag = acting.withColumn("__acts", F.lit(True))
+    return edges.join(flag, "src", "left").select(
+        "src", "dst", F.coalesce("__acts", F.lit(False)).alias("acts")
     )
-    while state.where(F.col("acts").isNull()).limit(1).count():
-        seen = forward.join(state.withColumnRenamed("id", "src"), "src").groupBy(
-            F.col("dst").alias("id")
-        ).agg(
-            F.max(F.coalesce("acts", F.lit(False))).alias("hit"),
-            F.count_if(F.col("acts").isNull()).alias("waiting"),
-        )
-        decided = F.when(F.col("acts").isNotNull(), F.col("acts")).when(F.col("hit"), False).when(
-            F.col("waiting") == 0, True
-        )
-        state = checkpointed(state.join(seen, "id", "left").select("id", decided.alias("acts")))
-    acting = state.where("acts").select(F.col("id").alias("src"))
-    return edges.join(acting, "src", "left_semi").select(F.col("dst").alias("id")).distinct()
 
 
 def dedup_similar(

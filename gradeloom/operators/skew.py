@@ -7,6 +7,8 @@ aggregates, and leave the window to all others.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,8 +52,14 @@ def with_group_stats(
         return out
     # One row per hot key, so the broadcast side has at most 1 / HOT_SHARE rows.
     stats = df.where(is_hot).groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
-    big = df.where(is_hot).join(F.broadcast(stats), keys).select(out.columns)
-    return out.unionByName(big)
+    return out.unionByName(_attach(df.where(is_hot), stats, keys).select(out.columns))
+
+
+def _attach(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """Joins a bounded table by its keys, where a null key meets a null key."""
+    renamed = few.withColumnsRenamed({k: f"__key_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys])
+    return rows.join(F.broadcast(renamed), same).drop(*[f"__key_{k}" for k in keys])
 
 
 def with_group_running(
@@ -88,7 +96,7 @@ def with_group_running(
         *keys, "__bucket", *[F.coalesce(F.sum(n).over(b), zero).alias(f"__{n}") for n in sums]
     )
     w = before(Window.partitionBy(*keys, "__bucket"))
-    big = cut.join(F.broadcast(offsets), [*keys, "__bucket"]).select(
+    big = _attach(cut, offsets, [*keys, "__bucket"]).select(
         *df.columns,
         *[
             (F.col(f"__{n}") + F.coalesce(F.sum(e).over(w), zero)).alias(n)

@@ -151,7 +151,7 @@ def rating_percentile(spark, sf_dir):
 @QUERIES.add(
     "elo_summary",
     f"""WITH RECURSIVE {_elo_sql('3.0')}, a AS (SELECT avg(elo) AS rating, count(*) AS contests FROM elos)
-        SELECT round(rating, 4) AS rating, contests, round_even((SELECT count(*) FROM customer WHERE c_acctbal < rating) / (SELECT count(*) FROM customer) * 100, 1) AS percentile FROM a""",
+        SELECT round(rating, 4) AS rating, contests, round_even((SELECT count(*) FROM customer WHERE c_acctbal < rating) / (SELECT count(*) FROM customer) * 100, 1) AS percentile FROM a WHERE contests > 0""",
 )
 def elo_summary(spark, sf_dir):
     ratings = table(spark, sf_dir, "customer").select(F.col("c_acctbal").alias("rating"), F.lit(1).alias("n"))

@@ -10,9 +10,13 @@ from pyspark.errors import AnalysisException
 
 
 def write_examples(df: DataFrame, path: str) -> None:
-    """Parquet, one folder per split and data source."""
+    """Parquet, one folder per split and data source.
+
+    Rebalancing gathers each source into few files and splits a large one.
+    """
     flat = df.withColumn("split", F.col("extra_info.split"))
-    flat.write.mode("overwrite").partitionBy("split", "data_source").parquet(path)
+    gathered = flat.hint("rebalance", "split", "data_source")
+    gathered.write.mode("overwrite").partitionBy("split", "data_source").parquet(path)
 
 
 def write_json_records(df: DataFrame, path: str) -> None:

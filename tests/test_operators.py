@@ -385,12 +385,14 @@ def test_fold_round_trip(spark):
 
 
 def test_union_columns_rejects_conflicts(spark):
-    a = spark.createDataFrame([(1, "x", None)], "id int, s string, n int")
-    b = spark.createDataFrame([(1, None, 5)], "id int, n int, extra int")
+    a = spark.createDataFrame([(1, "x", 5)], "id int, s string, n int")
+    b = spark.createDataFrame([(1, 5, 7)], "id int, n int, extra int")
     row = shaping.union_columns(a, b, "id").first()
-    assert (row["s"], row["n"], row["extra"]) == ("x", None, 5)
+    assert (row["s"], row["n"], row["extra"]) == ("x", 5, 7)
     with pytest.raises(PySparkException):
-        shaping.union_columns(a, b.withColumn("n", F.lit(9)), "id").collect()
+        shaping.union_columns(a.withColumn("n", F.lit(1)), b, "id").collect()
+    with pytest.raises(PySparkException):
+        shaping.union_columns(a, b.withColumn("id", F.lit(2)), "id").collect()
 
 
 def lengths(spark, n=240):

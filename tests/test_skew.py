@@ -106,3 +106,22 @@ def test_tree_with_a_hot_parent(spark):
     want = [r["node_id"] for r in tree.orderBy("path").collect()]
     assert list(got.sort_values().index) == want
     assert sorted(got) == list(range(2003))
+
+
+def test_nulls_and_nan_keep_their_place(spark):
+    """Null orders first and NaN last, as Spark sorts them; no row is dropped."""
+    value = (
+        F.when(F.col("id") % 7 == 0, F.lit(None)).when(F.col("id") % 7 == 1, F.lit(float("nan")))
+        .otherwise(F.col("id") % 5).cast("double")
+    )
+    df = spark.range(400).withColumn("x", value)
+    got = with_global_index(df, [F.col("x"), F.col("id")]).orderBy("idx").select("id").collect()
+    assert got == df.orderBy("x", "id").select("id").collect()
+
+
+def test_a_null_key_may_be_hot(spark):
+    df = spark.range(900).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 20).alias("k"))
+    aggs = {"n": F.count(F.lit(1))}
+    same(skew.with_group_stats(df, ["k"], aggs, hot_rows=100), skew.with_group_stats(df, ["k"], aggs))
+    order = [F.col("id")]
+    same(skew.with_group_index(df, ["k"], order, "i", hot_rows=100), skew.with_group_index(df, ["k"], order, "i"))
