@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.operators.skew import join_keyed, with_group_stats
+from gradeloom.session import checkpointed
 
 GROUP_EPSILON = 1e-6
 
@@ -64,86 +65,76 @@ def gae_advantage(
 ) -> DataFrame:
     """Advantage and return of every token, by the backward recurrence.
 
-    `pos` counts from 0 within `seq_id`. A sequence is cut into blocks, so no task
-    holds a whole long one: each block gives its first value, its length and its
-    result without a successor; the carries between blocks come from those few
-    numbers; a second fold inside each block adds its carry.
+    `pos` counts from 0 within `seq_id`. No row or task holds more than `block`
+    tokens of a sequence: a run of tokens acts on what follows it like one long
+    token, with a first value, a result of its own and a length. Runs are summed up
+    level by level until one is left per sequence, then what arrives from the right
+    goes down again. Sequences within one block need no join at all.
     """
     w = gamma * lam
-    item = F.struct("pos", "reward", "value")
-    blocks = (
-        tokens.withColumn("__block", F.floor(F.col("pos") / block))
-        .groupBy("seq_id", "__block")
-        .agg(F.array_sort(F.collect_list(item)).alias("items"))
-    )
+    longest = tokens.agg(F.max("pos")).first()[0] or 0
+    zero = F.lit(0.0)
+
+    def gathered(rows):
+        item = F.struct("pos", "first", "own", "n")
+        return rows.groupBy("seq_id", F.floor(F.col("pos") / block).alias("run")).agg(
+            F.array_sort(F.collect_list(item)).alias("items")
+        )
 
-    def backward(items, next_value, carry):
-        """The items in reverse, each with its advantage."""
+    def fold(next_value, carry):
+        """From the last item to the first: what arrives at each, and its result."""
+        out = "array<struct<pos:bigint,next:double,carry:double,result:double,first:double>>"
         start = F.struct(
-            next_value.alias("next"),
-            carry.alias("carry"),
-            F.array().cast("array<struct<pos:bigint,advantage:double,ret:double>>").alias("out"),
+            next_value.alias("next"), carry.alias("carry"), F.array().cast(out).alias("out")
         )
 
         def step(state, it):
-            delta = it["reward"] + F.lit(gamma) * state["next"] - it["value"]
-            adv = delta + F.lit(w) * state["carry"]
-            row = F.struct(
+            arriving = F.lit(gamma) * state["next"] + F.lit(w) * state["carry"]
+            result = it["own"] + F.pow(F.lit(w), it["n"] - 1) * arriving
+            entry = F.struct(
                 it["pos"].cast("bigint").alias("pos"),
-                adv.alias("advantage"),
-                (adv + it["value"]).alias("ret"),
+                state["next"].alias("next"),
+                state["carry"].alias("carry"),
+                result.alias("result"),
+                it["first"].alias("first"),
             )
             return F.struct(
-                it["value"].alias("next"), adv.alias("carry"),
-                F.array_append(state["out"], row).alias("out"),
+                it["first"].alias("next"),
+                result.alias("carry"),
+                F.array_append(state["out"], entry).alias("out"),
             )
 
-        return F.aggregate(F.reverse(items), start, step)
+        return F.aggregate(F.reverse("items"), start, step)
 
-    zero = F.lit(0.0)
-    n = F.size("items")
-    summary = blocks.select(
-        "seq_id",
-        F.struct(
-            (-F.col("__block")).alias("back"),
-            F.col("items")[0]["value"].alias("first"),
-            backward(F.col("items"), zero, zero)["carry"].alias("local"),
-            n.alias("n"),
-        ).alias("s"),
+    rows = tokens.select(
+        "seq_id", "pos", F.col("value").alias("first"),
+        (F.col("reward") - F.col("value")).alias("own"), F.lit(1).alias("n"),
     )
-    # One entry per block of a sequence, last block first.
-    chains = summary.groupBy("seq_id").agg(F.array_sort(F.collect_list("s")).alias("chain"))
-
-    def link(state, s):
-        next_value, carry = state["next"], state["carry"]
-        entry = F.struct(
-            (-s["back"]).alias("block"), next_value.alias("next"), carry.alias("carry")
+    levels = [gathered(rows)]
+    runs = longest // block + 1
+    while runs > 1:
+        levels[-1] = checkpointed(levels[-1])
+        summary = levels[-1].select(
+            "seq_id",
+            F.col("run").alias("pos"),
+            F.col("items")[0]["first"].alias("first"),
+            fold(zero, zero)["carry"].alias("own"),
+            F.aggregate("items", F.lit(0), lambda a, i: a + i["n"]).alias("n"),
         )
-        # The last token of the block sees `next`; its advantage sees `carry`.
-        arriving = F.lit(gamma) * next_value + F.lit(w) * carry
-        at_start = s["local"] + F.pow(F.lit(w), s["n"] - 1) * arriving
-        return F.struct(
-            s["first"].alias("next"), at_start.alias("carry"),
-            F.array_append(state["out"], entry).alias("out"),
-        )
-
-    start = F.struct(
-        zero.alias("next"), zero.alias("carry"),
-        F.array().cast("array<struct<block:bigint,next:double,carry:double>>").alias("out"),
-    )
-    carries = chains.select(
-        "seq_id", F.explode(F.aggregate("chain", start, link, lambda s: s["out"])).alias("c")
-    ).select(
-        "seq_id", F.col("c.block").alias("__block"), F.col("c.next").alias("__next"),
-        F.col("c.carry").alias("__carry"),
-    )
-    # A left join adds no null filter to `blocks`, so both its uses share one shuffle.
-    done = blocks.join(carries, ["seq_id", "__block"], "left").select(
-        "seq_id", F.explode(backward(F.col("items"), F.col("__next"), F.col("__carry"))["out"]).alias("r")
-    )
-    return done.select(
-        "seq_id", F.col("r.pos").alias("pos"), F.col("r.advantage").alias("advantage"),
-        F.col("r.ret").alias("returns"),
+        levels.append(gathered(summary))
+        runs = (runs - 1) // block + 1
+    down = levels.pop().withColumns({"next": zero, "carry": zero})
+    while True:
+        entries = down.select("seq_id", F.explode(fold(F.col("next"), F.col("carry"))["out"]).alias("e"))
+        if not levels:
+            break
+        arriving = entries.select("seq_id", F.col("e.pos").alias("run"), "e.next", "e.carry")
+        down = levels.pop().join(arriving, ["seq_id", "run"])
+    return entries.select(
+        "seq_id",
+        F.col("e.pos").alias("pos"),
+        F.col("e.result").alias("advantage"),
+        (F.col("e.result") + F.col("e.first")).alias("returns"),
     )
 
 

@@ -124,7 +124,7 @@ def spread_to_tokens(spark, sf_dir):
 )
 def gae_advantage(spark, sf_dir):
     toks = tokens(spark, sf_dir).select("seq_id", "pos", "reward", "value")
-    out = A.gae_advantage(toks, 0.9137, 0.9431, block=4)
+    out = A.gae_advantage(toks, 0.9137, 0.9431)
     return rounded(out.withColumn("pos", F.col("pos").cast("bigint")))
 
 
