@@ -110,10 +110,16 @@ def filter_quality_rules(
         & (F.col("style") == style)
         & (F.col("pass_count") < max_passes)
         & (F.col("benchmark_similarity") < max_similarity)
-        & (F.regexp_count(F.col("test_code"), F.lit(marker)) >= min_markers)
+        & (_occurrences(F.col("test_code"), marker) >= min_markers)
     )
 
 
+def _occurrences(text: Column, part: str) -> Column:
+    """How often a part occurs, overlaps not counted."""
+    gone = F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))
+    return gone / F.lit(len(part))
+
+
 def filter_bad_ids(df: DataFrame, column: str, bad: list[str] | DataFrame) -> DataFrame:
     """Rows whose id is not listed, in a short list or in a table with that column."""
     if isinstance(bad, DataFrame):
@@ -166,10 +172,13 @@ def filter_contains(df: DataFrame, column: str, text: str, keep: bool = True) ->
     return df.where(found if keep else ~found)
 
 
-def filter_by_judge_votes(df: DataFrame, column: str, tag: str) -> DataFrame:
-    """Rows where any verdict holds the tag; rows without verdicts are kept."""
+def filter_by_judge_votes(
+    df: DataFrame, column: str, tag: str, keep_unjudged: bool = True
+) -> DataFrame:
+    """Rows where any verdict holds the tag, and those without verdicts if wanted."""
     votes = F.col(column)
-    return df.where(votes.isNull() | (F.size(votes) == 0) | has_vote(votes, tag))
+    judged = F.coalesce(F.size(votes) > 0, F.lit(False))
+    return df.where(F.when(judged, has_vote(votes, tag)).otherwise(F.lit(keep_unjudged)))
 
 
 # --- projections ----------------------------------------------------------

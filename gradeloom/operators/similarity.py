@@ -26,7 +26,7 @@ from gradeloom.operators.skew import join_keyed, with_group_stats
 from gradeloom.session import checkpointed
 
 BLOCK_ROWS = 2048
-MAX_PIVOTS = 256
+MAX_PIVOTS = 2048
 ANGLE_SLACK = 1e-6
 
 
@@ -133,9 +133,11 @@ def _best_groups(queries: DataFrame, docs: DataFrame, k: int, tau: float | None,
     routed = _route(queries, pivots, clusters, radii, reach + ANGLE_SLACK)
 
     # A cluster too large for one block is cut by hash, and so are the queries.
-    doc_parts = {r["cluster"]: -(-r["n"] // block_rows) for r in rows}
+    doc_parts = [1] * len(pivots)
+    for r in rows:
+        doc_parts[r["cluster"]] = -(-r["n"] // block_rows)
     query_parts = -(-n_queries // block_rows)
-    parts = F.create_map(*[F.lit(x) for kv in doc_parts.items() for x in kv])[F.col("cluster")]
+    parts = F.array(*[F.lit(n) for n in doc_parts])[F.col("cluster")]
 
     def part(n: Column) -> Column:
         return F.pmod(F.xxhash64("group"), n).cast("int")

@@ -10,7 +10,6 @@ from gradeloom.operators import advantages as A
 from gradeloom.operators import evaluation as V
 from gradeloom.operators import token_stats as T
 from gradeloom.plans.base import (
-    LINES_SQL,
     ROLLOUTS_SQL,
     TOKENS_SQL,
     QuerySet,

@@ -770,3 +770,5 @@ def test_rl_examples_keep_the_declared_schema(spark):
 def test_judge_votes_keep_rows_without_verdicts(spark):
     df = spark.createDataFrame([(1, ["[[1]]", "[[2]]"]), (2, ["[[2]]"]), (3, [])], "id int, votes array<string>")
     assert sorted(r["id"] for r in curation.filter_by_judge_votes(df, "votes", "[[1]]").collect()) == [1, 3]
+    strict = curation.filter_by_judge_votes(df, "votes", "[[1]]", keep_unjudged=False)
+    assert [r["id"] for r in strict.collect()] == [1]
