@@ -121,21 +121,29 @@ def walk_order(nodes: DataFrame, max_depth: int, hot_rows: int | None = None) ->
 
 
 def propagate_rewards(nodes: DataFrame, max_depth: int) -> DataFrame:
-    """Every inner node takes the mean of its children, from the leaves up."""
-    below = nodes.where(F.col("depth") == max_depth)
+    """Every inner node takes the mean of its children, from the leaves up.
+
+    The same join tells which nodes have no children: `is_leaf`.
+    """
+    nodes = nodes.drop("is_leaf")
+    below = nodes.where(F.col("depth") == max_depth).withColumn("is_leaf", F.lit(True))
     done = [below]
     for depth in range(max_depth - 1, -1, -1):
         means = below.groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(
             F.avg("reward").alias("__mean")
         )
         level = nodes.where(F.col("depth") == depth).join(means, ["tree_id", "node_id"], "left")
-        below = level.withColumn("reward", F.coalesce("__mean", "reward")).select(nodes.columns)
+        below = level.withColumns(
+            {"reward": F.coalesce("__mean", "reward"), "is_leaf": F.col("__mean").isNull()}
+        ).select(below.columns)
         done.append(below)
     return reduce(DataFrame.unionByName, done)
 
 
 def with_leaf_flag(nodes: DataFrame) -> DataFrame:
-    """Marks nodes without children."""
+    """Marks nodes without children, unless they are marked already."""
+    if "is_leaf" in nodes.columns:
+        return nodes
     parents = (
         nodes.where(F.col("parent_id").isNotNull())
         .select("tree_id", F.col("parent_id").alias("node_id"))
