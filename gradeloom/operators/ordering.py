@@ -17,17 +17,27 @@ from pyspark.sql import functions as F
 from gradeloom.session import shuffle_partitions
 
 BUCKETS_PER_PARTITION = 4
+MAX_BUCKETS = 10_000
+# Rows looked at per bucket when its bounds are chosen, as range partitioning does.
+ROWS_PER_BOUND = 500
 
 
 def _quantiles(df: DataFrame, column: Column, n: int) -> list[float]:
+    """Cut points for `n` buckets from a bounded sample.
+
+    They decide how even the buckets are, not which rows or positions come out.
+    """
     probs = [i / n for i in range(1, n)]
-    usable = F.when(~F.isnan(column), column)
-    row = df.agg(F.percentile_approx(usable, probs, max(10_000, 10 * n))).first()
+    values = df.select(F.when(~F.isnan(column), column).alias("v"))
+    rows, wanted = df.count(), ROWS_PER_BOUND * n
+    if rows > wanted:
+        values = values.sample(wanted / rows, seed=0)
+    row = values.agg(F.percentile_approx("v", probs, max(10_000, 10 * n))).first()
     return list(row[0] or [])
 
 
 def bucket_count(df: DataFrame) -> int:
-    return BUCKETS_PER_PARTITION * shuffle_partitions(df.sparkSession)
+    return min(BUCKETS_PER_PARTITION * shuffle_partitions(df.sparkSession), MAX_BUCKETS)
 
 
 def quantile_bounds(df: DataFrame, column: Column) -> list[float]:

@@ -21,20 +21,29 @@ HOT_ROWS = 1_000_000
 # Keys the frequency sketch tracks: an error of 3.5 / SKETCH_KEYS of the rows,
 # below HOT_SHARE, so no hot key can be missed.
 SKETCH_KEYS = 10_000
+# Rows the sketch looks at; a key of HOT_SHARE has 10,000 of them.
+SKETCH_ROWS = 10_000_000
 
 
 def hot_key_hashes(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> list[int]:
     """Hashes of the keys that hold too many rows for one task.
 
-    One pass with a bounded frequency sketch per task and no shuffle by key. At
-    most 1 / HOT_SHARE keys come back, whatever the size of the data. A key taken
-    for hot by a sketch error only changes the plan, never the result.
+    A row count, and for large tables a bounded frequency sketch over a sample; no
+    shuffle by key. At most 1 / HOT_SHARE keys come back, whatever the size of the
+    data. A key taken for hot or cold by a sketch error only changes the plan,
+    never the result.
     """
+    rows = df.count()
+    limit = max(HOT_ROWS if hot_rows is None else hot_rows, HOT_SHARE * rows)
+    if rows <= limit:
+        return []
     hashed = df.select(F.xxhash64(*keys).alias("h"))
+    fraction = min(1.0, SKETCH_ROWS / rows)
+    if fraction < 1.0:
+        hashed = hashed.sample(fraction, seed=0)
     top = F.expr(f"approx_top_k(h, {round(1 / HOT_SHARE)}, {SKETCH_KEYS})")
-    row = hashed.agg(F.count(F.lit(1)).alias("n"), top.alias("top")).first()
-    limit = max(HOT_ROWS if hot_rows is None else hot_rows, HOT_SHARE * row["n"])
-    return [t["item"] for t in row["top"] or [] if t["count"] > limit]
+    found = hashed.agg(top.alias("top")).first()["top"] or []
+    return [t["item"] for t in found if t["count"] > limit * fraction]
 
 
 def with_group_stats(
