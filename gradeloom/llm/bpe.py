@@ -28,7 +28,7 @@ from gradeloom.llm.batches import batch, text_groups
 from gradeloom.llm.chunks import ChunkEncoder
 
 # Results of the test of two neighbours that a worker remembers before it starts anew.
-PAIRS_REMEMBERED = 500_000
+PAIRS_REMEMBERED = 300_000
 
 # Unicode's White_Space, which the pattern's \s stands for.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"

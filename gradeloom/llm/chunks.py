@@ -15,7 +15,7 @@ from collections.abc import Callable
 _CUT = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)")
 
 # Chunks a worker remembers; a chunk and its ids take about 200 bytes.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 
 class _Memory:
