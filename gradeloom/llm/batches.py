@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gradeloom.session import scratch_path
 
 # Text handled at once inside a task.
-GROUP_BYTES = 4_000_000
+GROUP_BYTES = 2_000_000
 
 
 def batch(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:

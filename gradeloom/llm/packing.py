@@ -24,15 +24,18 @@ Repeated rows are packed once each. No rows in, no rows out.
 from __future__ import annotations
 
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gradeloom.llm.batches import text_groups, written
+from gradeloom.llm.bpe import split_pattern
 from gradeloom.llm.chunks import ChunkEncoder
 
 # Sequences per window of the mixture.
@@ -43,17 +46,37 @@ BLOCK_BITS = 16
 WINDOWS_TOGETHER = 1024
 
 
+# Chunks whose ids a worker remembers.
+REMEMBERED = 700_000
+
+
+def byte_alphabet() -> dict[int, int]:
+    """The characters that stand for bytes in byte-level vocabularies.
+
+    Printable Latin-1 characters stand for themselves, the others for 256 and up in order.
+    """
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 256 + i for i, b in enumerate(other)}
+
+
 @lru_cache(maxsize=2)
 def _worker(path: str) -> tuple[ChunkEncoder, str]:
+    """Encoder of a byte-level vocabulary, by its merges alone: special tokens are ordinary text."""
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    kind = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-
-    def encode_many(chunks):
-        many = tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.array(e.ids, dtype=kind).tobytes() for e in many]
-
-    return ChunkEncoder(encode_many), kind
+    wide = tokenizer.get_vocab_size() > 1 << 16
+    code = "I" if wide else "H"
+    merges, matches = tokenizer.model, split_pattern(public_tokenizers.PATTERN)
+    alphabet = byte_alphabet()
+
+    def encode(chunk: str) -> bytes:
+        ids = array(code)
+        for m in matches.findall(chunk):
+            ids.extend([t.id for t in merges.tokenize(m.encode().decode("latin-1").translate(alphabet))])
+        return ids.tobytes()
+
+    encoder = ChunkEncoder(lambda chunks: [encode(c) for c in chunks], REMEMBERED)
+    return encoder, "<u4" if wide else "<u2"
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int, id_column: str, text_column: str,
