@@ -284,10 +284,23 @@ def _unbrace(text: Column) -> Column:
     return F.regexp_replace(F.when(braced, inner).otherwise(text), r",\\! *", "")
 
 
+# Whole numbers that a double need not hold exactly; they are compared as text.
+_LONG_INTEGER = r"^[+-]?[0-9]{16,}$"
+
+
+def _long_integer(text: Column) -> Column:
+    """Sign and digits without leading zeros or a plus; null for any other text."""
+    digits = F.regexp_replace(F.regexp_replace(text, r"^\+", ""), "^(-?)0+(?=[0-9])", "$1")
+    return F.when(text.rlike(_LONG_INTEGER), digits)
+
+
 def _round_integers(text: Column) -> Column:
-    whole = lambda n: F.round(n, 0).try_cast("decimal(38,0)").cast("string")
-    return let(
-        as_number(text), lambda n: F.when(_is_integer(n), whole(n)).otherwise(text)
+    whole = lambda n: F.coalesce(
+        F.round(n, 0).try_cast("decimal(38,0)").cast("string"), text
+    )
+    return F.coalesce(
+        _long_integer(strip(text)),
+        let(as_number(text), lambda n: F.when(_is_integer(n), whole(n)).otherwise(text)),
     )
 
 
@@ -300,9 +313,16 @@ def _squeeze(text: Column) -> Column:
 
 
 def _integer_form(text: Column) -> Column:
-    whole = lambda n: F.when(n < 0, F.ceil(n)).otherwise(F.floor(n))
-    value = let(as_number(swap(text, ",", "")), whole).cast("decimal(38,0)").cast("string")
-    return F.when(is_integer_text(text), value).otherwise(text)
+    def whole(n):
+        # Beyond 2^53 a double has no fraction to cut off; floor would stop at 2^63.
+        cut = F.when(n < 0, F.ceil(n)).otherwise(F.floor(n)).cast("decimal(38,0)")
+        return F.when(F.abs(n) < 2.0**53, cut).otherwise(F.round(n, 0).try_cast("decimal(38,0)"))
+
+    plain = swap(text, ",", "")
+    value = let(as_number(plain), whole).cast("string")
+    return F.coalesce(
+        _long_integer(plain), F.when(is_integer_text(text), value), text
+    )
 
 
 def normalize_answer(answer: Column) -> Column:
@@ -336,6 +356,7 @@ def _read_element(text: Column) -> Column:
             number.alias("number"),
             _is_integer(number).alias("integer"),
             text.rlike(r"^-?[0-9]+.?/0*[1-9][0-9]*.?$").alias("fraction"),
+            _long_integer(drop_thousands_commas(text)).alias("long"),
         ),
     )
 
@@ -344,8 +365,9 @@ def _elements_match(a: Column, b: Column) -> Column:
     same_text = a["text"] == b["text"]
     return (
         F.when(a["fraction"] & b["fraction"], same_text)
+        .when(a["long"].isNotNull() & b["long"].isNotNull(), a["long"] == b["long"])
         .when(a["integer"] != b["integer"], F.lit(False))
-        .otherwise(same_text | (a["integer"] & (a["number"] == b["number"])))
+        .otherwise(same_text | F.coalesce(a["number"] == b["number"], F.lit(False)))
     )
 
 

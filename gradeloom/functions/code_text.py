@@ -82,14 +82,31 @@ def longest_tests(pairs: Column, limit: int) -> Column:
     return F.when(F.size(pairs) > limit, chosen).otherwise(pairs)
 
 
+_DECIMAL = r"^([+-]?)(?=[.]?[0-9])([0-9]*)[.]?([0-9]*)(?:[eE]([+-]?[0-9]{1,9}))?$"
+
+
+def decimal_form(word: Column) -> Column:
+    """A number of any length as sign, digits without outer zeros, and exponent; else null.
+
+    Two words have the same form exactly when they are the same decimal number.
+    """
+    part = lambda i: F.regexp_extract(word, _DECIMAL, i)
+    digits = F.regexp_replace(F.concat(part(2), part(3)), "^0+", "")
+    kept = F.regexp_replace(digits, "0+$", "")
+    exponent = (
+        F.coalesce(part(4).try_cast("int"), F.lit(0)) - F.length(part(3)) + F.length(digits) - F.length(kept)
+    )
+    sign = F.when(part(1) == "-", "-").otherwise("")
+    form = F.when(kept == "", "0").otherwise(F.concat(sign, kept, F.lit("e"), exponent.cast("string")))
+    return F.when(word.rlike(_DECIMAL), form)
+
+
 def output_matches(output: Column, expected: Column) -> Column:
     """Same number of lines, each equal as text or number by number."""
     lines = lambda t: F.transform(F.split(strip(t), "\n"), strip)
 
     def numbers(line):
-        return F.transform(
-            F.split(line, r"\s+"), lambda w: w.try_cast("decimal(38,18)")
-        )
+        return F.transform(F.split(line, r"\s+"), decimal_form)
 
     def same_line(a, b):
         na, nb = numbers(a), numbers(b)

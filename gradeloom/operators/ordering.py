@@ -84,9 +84,13 @@ def with_order_bucket(
     tie = order[1].cast("double")
     tie_bounds = sorted(set(_quantiles(df.where(is_repeated), tie, n)))
     out = bucketize(out, tie, tie_bounds, "__inner")
-    # A repeated value is the lower bound of its bucket, so it comes first there.
+    # A repeated value is the lower bound of its bucket, so it comes first there. It gets
+    # as many pieces as quantile points fell on it, so all pieces together are at most n.
+    taken = Counter(quantiles)
+    pieces = F.get(F.lit([0, *(taken[b] for b in bounds)]), F.col("__outer"))
     width = len(tie_bounds) + 2
-    inner = F.when(is_repeated, F.col("__inner")).otherwise(F.lit(width - 1))
+    piece = F.floor(F.col("__inner") * pieces / F.lit(width - 1)).cast("int")
+    inner = F.when(is_repeated, piece).otherwise(F.lit(width - 1))
     return out.withColumn(name, F.col("__outer") * width + inner).drop("__outer", "__inner")
 
 

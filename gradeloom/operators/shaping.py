@@ -106,10 +106,19 @@ def mixture_lookup(
     requests: DataFrame, df: DataFrame, source: str, id_column: str, names: list[str],
     index: str = "global_index",
 ) -> DataFrame:
-    """Rows at global positions of the datasets laid end to end in the given order."""
+    """Rows at global positions of the datasets laid end to end in the given order.
+
+    A position outside of all datasets is an error.
+    """
     sizes = dataset_sizes(df, source, names)
     starts = [0, *accumulate(sizes)]
-    inside = requests.where((F.col(index) >= 0) & (F.col(index) < starts[-1]))
+    outside = F.concat(
+        F.lit(f"no row at this position of {starts[-1]}: "), F.coalesce(F.col(index).cast("string"), F.lit("null"))
+    )
+    inside = requests.withColumn(
+        index,
+        F.when((F.col(index) >= 0) & (F.col(index) < starts[-1]), F.col(index)).otherwise(F.raise_error(outside)),
+    )
     cuts = sorted(set(starts[1:-1]) - {0, starts[-1]})
     placed = bucketize(inside, F.col(index).cast("double"), [float(c) for c in cuts], "__dataset")
     # Empty datasets share a start with the next one and can hold no position.

@@ -43,9 +43,10 @@ def spearman(df: DataFrame, x: str, y: str, hot_rows: int | None = None) -> Data
     """One row: correlation of the average ranks, 0 when degenerate.
 
     Equal pairs are counted first, so a frequent pair costs one row. The mean of
-    the ranks is known, (n + 1) / 2, which leaves plain sums.
+    the ranks is known, (n + 1) / 2, which leaves plain sums. A row with a null in either
+    column takes no part; NaN ranks above all numbers.
     """
-    rows = df.select(F.col(x).alias("x"), F.col(y).alias("y"))
+    rows = df.select(F.col(x).alias("x"), F.col(y).alias("y")).where("x is not null and y is not null")
     pairs = rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
     hot_x, hot_y = (hot_key_hashes(rows, [c], hot_rows) for c in "xy")
     ranked = join_keyed(pairs, average_ranks(rows, "x", "rx"), ["x"], hot=hot_x)

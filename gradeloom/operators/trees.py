@@ -23,14 +23,18 @@ REGIMES = ["dead_correct", "dead_wrong", "stale", "informative"]
 
 
 def responses_to_nodes(
-    responses: DataFrame, step_length: int, max_depth: int, eos: int
+    responses: DataFrame, step_length: int, max_depth: int | None, eos: int
 ) -> DataFrame:
     """Cuts each response (`tree_id`, `sample`, `ids`, `reward`) into a chain of nodes.
 
-    A node ends when its segment holds the end token last or the depth limit is met;
-    nothing follows an ended node.
+    A node ends when its segment holds the end token last; nothing follows an ended
+    node. A response of more than `max_depth` steps is an error, never cut; without a
+    limit the depth follows from the responses.
     """
-    steps = F.least(F.ceil(F.size("ids") / step_length), F.lit(max_depth)).cast("int")
+    steps = F.ceil(F.size("ids") / step_length).cast("int")
+    if max_depth is not None:
+        too_long = F.concat(F.lit(f"a response has more than {max_depth} steps: "), steps.cast("string"))
+        steps = F.when(steps <= max_depth, steps).otherwise(F.raise_error(too_long))
     segments = F.transform(
         F.sequence(F.lit(0), steps - 1),
         lambda i: F.slice("ids", i * step_length + 1, F.lit(step_length)),
@@ -66,15 +70,31 @@ def open_frontier(nodes: DataFrame, depth: int) -> DataFrame:
     return nodes.where((F.col("depth") == depth) & ~F.col("is_end"))
 
 
+def _within_depth(nodes: DataFrame, max_depth: int) -> DataFrame:
+    """The nodes; reading one that lies deeper, or has no depth, is an error."""
+    depth = F.col("depth")
+    lost = F.concat(
+        F.lit(f"a node is not within depth {max_depth}: "), F.coalesce(depth.cast("string"), F.lit("null"))
+    )
+    return nodes.withColumn("depth", F.when(depth <= max_depth, depth).otherwise(F.raise_error(lost)))
+
+
 def node_to_root(nodes: DataFrame, max_depth: int) -> DataFrame:
-    """Tags each node with its root, one join per level."""
+    """Tags each node with its root, one join per level.
+
+    A node that no root leads to within `max_depth` levels is an error.
+    """
     tagged = nodes.where(F.col("parent_id").isNull()).select("node_id", F.col("node_id").alias("root_id"))
     levels = [tagged]
     for _ in range(max_depth):
         parents = levels[-1].select(F.col("node_id").alias("parent_id"), "root_id")
         children = nodes.select("node_id", "parent_id").join(parents, "parent_id")
         levels.append(children.select("node_id", "root_id"))
-    return reduce(DataFrame.unionByName, levels)
+    found = reduce(DataFrame.unionByName, levels)
+    lost = F.concat(F.lit(f"no root within {max_depth} levels of node "), F.col("node_id").cast("string"))
+    return nodes.select("node_id").join(found, "node_id", "left").select(
+        "node_id", F.coalesce("root_id", F.raise_error(lost)).alias("root_id")
+    )
 
 
 def level_sizes(nodes: DataFrame) -> DataFrame:
@@ -88,6 +108,7 @@ def walk_order(nodes: DataFrame, max_depth: int, hot_rows: int | None = None) ->
     parent and the subtrees of its earlier siblings. No tree is sorted as a whole.
     """
     keys = ["tree_id", "node_id"]
+    nodes = _within_depth(nodes, max_depth)
     rows = nodes.select(*keys, "parent_id", "depth", F.col("path")[F.size("path") - 1].alias("__child"))
     sized, below = [], None
     for depth in range(max_depth, -1, -1):
@@ -123,9 +144,10 @@ def walk_order(nodes: DataFrame, max_depth: int, hot_rows: int | None = None) ->
 def propagate_rewards(nodes: DataFrame, max_depth: int) -> DataFrame:
     """Every inner node takes the mean of its children, from the leaves up.
 
-    The same join tells which nodes have no children: `is_leaf`.
+    The same join tells which nodes have no children: `is_leaf`. A node deeper than
+    `max_depth` is an error.
     """
-    nodes = nodes.drop("is_leaf")
+    nodes = _within_depth(nodes.drop("is_leaf"), max_depth)
     below = nodes.where(F.col("depth") == max_depth).withColumn("is_leaf", F.lit(True))
     done = [below]
     for depth in range(max_depth - 1, -1, -1):

@@ -11,7 +11,7 @@ from gradeloom.plans.base import QuerySet, table
 
 QUERIES = QuerySet()
 
-SYSTEM = "You are a math assistant. Please solve the given question."
+SYSTEM = "Work through the task and state the result."
 SUFFIX = " Think step by step."
 
 
@@ -256,11 +256,11 @@ def filter_by_judge_votes(spark, sf_dir):
     """SELECT p_partkey, md5(chr(10) || p_name || chr(10) || chr(10) || 'Tags:' || chr(10) || p_type
          || chr(10) || 'Limit: ' || p_size || ' ms' || chr(10)) AS statement,
        md5('Solve this.' || chr(10) || chr(10) || p_name ||
-         CASE WHEN p_size > 25 THEN '### Format: fill in' || chr(10) || '```python' || chr(10) ||
+         CASE WHEN p_size > 25 THEN 'Complete this program:' || chr(10) || '```python' || chr(10) ||
            'def ' || p_brand || chr(10) || '```' || chr(10) || chr(10)
-         ELSE '### Format: write' || chr(10) || '```python' || chr(10) || '# YOUR CODE HERE' ||
+         ELSE 'Write a program:' || chr(10) || '```python' || chr(10) || 'pass' ||
            chr(10) || '```' || chr(10) || chr(10) END ||
-         '### Answer: (use the provided format with backticks)' || chr(10) || chr(10)) AS prompt
+         'Result:' || chr(10) || chr(10)) AS prompt
        FROM part""",
 )
 def fill_template(spark, sf_dir):
@@ -269,7 +269,9 @@ def fill_template(spark, sf_dir):
         {"name": F.col("p_name"), "tags": F.col("p_type"), "limit": F.col("p_size")},
     )
     starter = F.when(F.col("p_size") > 25, F.concat(F.lit("def "), F.col("p_brand")))
-    prompt = C.starter_prompt(F.col("p_name"), starter, "Solve this.", "fill in", "write")
+    prompt = C.starter_prompt(
+        F.col("p_name"), starter, "Solve this.", "Complete this program:", "Write a program:", "pass", "Result:"
+    )
     return table(spark, sf_dir, "part").select(
         "p_partkey", F.md5(statement).alias("statement"), F.md5(prompt).alias("prompt")
     )

@@ -216,8 +216,7 @@ def _match_sql() -> str:
     pair = "p[1]", "p[2]"
     same = f"""CASE WHEN {frac(pair[0])} AND {frac(pair[1])} THEN {pair[0]} = {pair[1]}
       WHEN {_is_int(pair[0])} <> {_is_int(pair[1])} THEN false
-      ELSE {pair[0]} = {pair[1]} OR ({_is_int(pair[0])} AND {_is_int(pair[1])}
-        AND ({_number(_commas(pair[0]))}) = ({_number(_commas(pair[1]))})) END"""
+      ELSE {pair[0]} = {pair[1]} OR coalesce(({_number(_commas(pair[0]))}) = ({_number(_commas(pair[1]))}), false) END"""
     parts.append(f"""matched AS (SELECT p_partkey, p_size, given, truth,
       gllatex = tllatex OR gpplain = tpplain OR (length(gpplain) > 0
         AND NOT (len(ts) > 1 AND (left(gpplain, 1) <> left(tpplain, 1) OR right(gpplain, 1) <> right(tpplain, 1)))

@@ -72,13 +72,13 @@ def log_sample(spark, sf_dir):
     return S.log_sample(docs(spark, sf_dir), "doc_id", 3).drop("lang")
 
 
-_WEIGHTS = {"en": 3.0, "fr": 1.0, "de": 0.5, "xx": 2.0}
+_WEIGHTS = {"en": 3.0, "fr": 1.0, "de": 0.5, "es": 2.0}
 
 
 @QUERIES.add(
     "weighted_mixture",
-    f"""WITH sizes AS (SELECT lang, count(*) AS n, CASE lang WHEN 'en' THEN 3.0 WHEN 'fr' THEN 1.0 ELSE 0.5 END AS w,
-          CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 ELSE 2 END AS i FROM documents WHERE lang IN ('en', 'fr', 'de') GROUP BY 1),
+    f"""WITH sizes AS (SELECT lang, count(*) AS n, CASE lang WHEN 'en' THEN 3.0 WHEN 'fr' THEN 1.0 WHEN 'de' THEN 0.5 ELSE 2.0 END AS w,
+          CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END AS i FROM documents GROUP BY 1),
         cuts AS (SELECT *, sum(w) OVER (ORDER BY i) / sum(w) OVER () AS hi, (sum(w) OVER (ORDER BY i) - w) / sum(w) OVER () AS lo FROM sizes),
         draws AS (SELECT range AS draw, {hash_sql('range', 5)} / 4503599627370496.0 AS u, {hash_sql('range', 6)} / 4503599627370496.0 AS v
           FROM range((SELECT CAST(sum(n) AS BIGINT) FROM sizes))),
@@ -93,14 +93,14 @@ def weighted_mixture(spark, sf_dir):
 
 @QUERIES.add(
     "mixture_lookup",
-    """WITH rows AS (SELECT doc_id, lang, row_number() OVER (ORDER BY CASE lang WHEN 'fr' THEN 0 WHEN 'en' THEN 1 ELSE 2 END, doc_id) - 1 AS g,
-         row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS local_index FROM documents WHERE lang IN ('fr', 'en', 'de'))
+    """WITH rows AS (SELECT doc_id, lang, row_number() OVER (ORDER BY CASE lang WHEN 'fr' THEN 0 WHEN 'es' THEN 1 WHEN 'en' THEN 2 ELSE 3 END, doc_id) - 1 AS g,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS local_index FROM documents)
        SELECT l.doc_id AS global_index, r.lang, local_index, r.doc_id FROM labels l JOIN rows r ON r.g = l.doc_id""",
 )
 def mixture_lookup(spark, sf_dir):
     wanted = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("global_index"))
     d = docs(spark, sf_dir).drop("source")
-    return S.mixture_lookup(wanted, d, "lang", "doc_id", ["fr", "xx", "en", "de"])
+    return S.mixture_lookup(wanted, d, "lang", "doc_id", ["fr", "es", "en", "de"])
 
 
 @QUERIES.add(

@@ -266,14 +266,14 @@ def shallowest_failure(spark, sf_dir):
         adv AS (SELECT *, avg(reward) OVER w AS m, max(reward) OVER w - min(reward) OVER w AS spread FROM vp WHERE parent_id IS NOT NULL
           WINDOW w AS (PARTITION BY tree_id, parent_id)),
         j AS (SELECT a.tree_id, a.node_id, (reward - m) / (m * (1 - m) + 1e-6) AS advantage, coalesce(f.F, 1.0) AS F
-          FROM adv a LEFT JOIN (SELECT * FROM ffit WHERE n_leaves > 30) f ON f.tree_id = a.tree_id WHERE spread >= 0.1),
+          FROM adv a LEFT JOIN ffit f ON f.tree_id = a.tree_id WHERE spread >= 0.1),
         t AS (SELECT sum(F) AS s, count(*) AS n FROM j)
         SELECT tree_id, node_id, round(F / s * n, 6) AS weight, round(advantage * (F / s * n), 4) + 0.0 AS advantage FROM j, t""",
 )
 def fitness_weights(spark, sf_dir):
     tree = settled(spark, sf_dir)
     rows = T.prune_flat_siblings(T.sibling_advantage(tree))
-    fit = T.tree_fitness(tree).where("n_leaves > 30")
+    fit = T.tree_fitness(tree)
     weighted = A.fitness_weights(T.join_tree_weight(rows, fit), scale=("advantage",))
     return weighted.select(
         "tree_id", "node_id", F.round("weight", 6).alias("weight"), F.round("advantage", 4).alias("advantage")
@@ -283,11 +283,11 @@ def fitness_weights(spark, sf_dir):
 @QUERIES.add(
     "join_tree_weight",
     f"""WITH {PROPAGATED_SQL}, {fitness_sql('vp', 'f')} SELECT v.node_id, round(coalesce(f.F, 1.0), 6) AS F
-        FROM vp v LEFT JOIN (SELECT * FROM ffit WHERE n_leaves > 30) f ON f.tree_id = v.tree_id""",
+        FROM vp v LEFT JOIN ffit f ON f.tree_id = v.tree_id""",
 )
 def join_tree_weight(spark, sf_dir):
     tree = settled(spark, sf_dir)
-    fit = T.tree_fitness(tree).where("n_leaves > 30")
+    fit = T.tree_fitness(tree)
     return rounded(T.join_tree_weight(tree, fit).select("node_id", "F"))
 
 
@@ -407,7 +407,7 @@ _IDS = "list_transform(string_split(text, ' '), lambda w: CAST(length(w) AS INTE
 @QUERIES.add(
     "responses_to_nodes",
     f"""WITH d AS (SELECT doc_id, {_IDS} AS ids FROM documents),
-        seg AS (SELECT doc_id, unnest(range(0, CAST(least(ceil(len(ids) / 64), 5) AS BIGINT))) AS i, ids FROM d),
+        seg AS (SELECT doc_id, unnest(range(0, CAST(ceil(len(ids) / 64) AS BIGINT))) AS i, ids FROM d),
         cut AS (SELECT doc_id, i, ids[i * 64 + 1 : i * 64 + 64] AS s FROM seg),
         e AS (SELECT *, s[-1] = 3 AS is_end, coalesce(sum(CAST(s[-1] = 3 AS INTEGER)) OVER
           (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM cut)
@@ -419,7 +419,7 @@ def responses_to_nodes(spark, sf_dir):
         F.col("doc_id").alias("tree_id"), F.lit(0).alias("sample"),
         F.transform(F.split("text", " "), lambda w: F.length(w)).alias("ids"), F.lit(1.0).alias("reward"),
     )
-    out = T.responses_to_nodes(d, 64, 5, 3)
+    out = T.responses_to_nodes(d, 64, None, 3)
     return out.select(
         "tree_id", "depth", F.size("segment").alias("n"),
         F.md5(F.array_join(F.col("segment").cast("array<string>"), ",")).alias("segment"), "is_end",

@@ -2,30 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-# Temporary folders of local sessions, by application.
-_local_dirs: dict[str, str] = {}
+# Of a session on a single machine that names no folder; all its executors share it.
+LOCAL_DIR = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by `spark.checkpoint.dir`.
+    """Folder every executor can reach: `spark.checkpoint.dir`, or the context's own.
 
-    Only a local session without the setting gets a temporary folder.
+    Only a session that runs in one process gets a folder of this machine without either.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if path:
         return path
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    if context.applicationId not in _local_dirs:
-        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="gradeloom-")
-    return _local_dirs[context.applicationId]
+    return f"{LOCAL_DIR}/{context.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -89,6 +90,7 @@ def session(cores="8"):
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="gradeloom-tests-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -617,16 +617,17 @@ def test_responses_become_chains(spark):
         [(1, 0, [5, 6, 7, 8, 2], 1.0), (1, 1, [5, 2, 9, 9], 0.0), (1, 2, [5, 6, 7, 8, 9, 9, 9], 0.0)],
         "tree_id int, sample int, ids array<int>, reward double",
     )
-    rows = trees.responses_to_nodes(df, 2, 3, 2).orderBy("sample", "depth").collect()
+    rows = trees.responses_to_nodes(df, 2, None, 2).orderBy("sample", "depth").collect()
     got = [(r["sample"], r["depth"], r["segment"], r["is_end"]) for r in rows]
     assert got == [
         (0, 1, [5, 6], False), (0, 2, [7, 8], False), (0, 3, [2], True),
         (1, 1, [5, 2], True),
         (2, 1, [5, 6], False), (2, 2, [7, 8], False), (2, 3, [9, 9], False),
+        (2, 4, [9], False),
     ]
     by_id = {r["node_id"]: r for r in rows}
     assert all(r["depth"] == 1 or by_id[r["parent_id"]]["depth"] == r["depth"] - 1 for r in rows)
-    open_nodes = trees.open_frontier(trees.responses_to_nodes(df, 2, 3, 2), 1).collect()
+    open_nodes = trees.open_frontier(trees.responses_to_nodes(df, 2, 4, 2), 1).collect()
     assert sorted(r["sample"] for r in open_nodes) == [0, 2]
 
 

@@ -7,10 +7,13 @@ import pytest
 from gradeloom.session import checkpointed, scratch_path, shared_dir
 
 
-def fake(setting, master):
+def fake(setting, master, own=None):
     conf = SimpleNamespace(get=lambda key, default=None: setting)
     return SimpleNamespace(
-        conf=conf, sparkContext=SimpleNamespace(master=master, applicationId=f"app-{master}")
+        conf=conf,
+        sparkContext=SimpleNamespace(
+            master=master, applicationId=f"app-{master}", getCheckpointDir=lambda: own
+        ),
     )
 
 
@@ -20,8 +23,13 @@ def test_the_setting_wins():
 
 
 def test_a_cluster_needs_the_setting():
-    with pytest.raises(ValueError):
-        shared_dir(fake(None, "yarn"))
+    for master in ("yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_dir(fake(None, master))
+
+
+def test_the_context_can_name_the_folder():
+    assert shared_dir(fake(None, "yarn", "hdfs:///ck")) == "hdfs:///ck"
 
 
 def test_a_local_session_keeps_one_folder():
