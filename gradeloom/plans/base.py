@@ -38,7 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # Order that is unique within an order's lines; a position needs all of it.
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
 
-LINES_SQL = f"""lines AS (
+LINES_SQL = f"""lines AS MATERIALIZED (
   SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(LINE_ORDER)}) - 1 AS pos
   FROM lineitem)"""
 

@@ -19,7 +19,7 @@ NODES_SQL = LINES_SQL + """,
   kept AS (SELECT l.*, o.o_custkey, o.o_totalprice, o.o_orderpriority, o.o_orderdate
            FROM lines l JOIN orders o ON o.o_orderkey = l.l_orderkey),
   ord AS (SELECT DISTINCT l_orderkey, o_custkey, o_totalprice, o_orderpriority FROM kept),
-  nodes AS (
+  nodes AS MATERIALIZED (
     SELECT DISTINCT o_custkey AS tree_id, 'c' || o_custkey AS node_id, CAST(NULL AS VARCHAR) AS parent_id, 0 AS depth,
       0.0::DOUBLE AS reward, CAST(NULL AS DOUBLE) AS log_prob, [o_custkey] AS path FROM ord
     UNION ALL SELECT o_custkey, 'o' || l_orderkey, 'c' || o_custkey, 1, 0.0, 0.0 - o_totalprice / 100000.0,
@@ -37,12 +37,13 @@ def propagate_sql(source: str, prefix: str) -> str:
   {prefix}m0 AS (SELECT tree_id, parent_id AS node_id, avg(reward) AS m FROM {prefix}1 GROUP BY ALL),
   {prefix}0 AS (SELECT n.* REPLACE (coalesce(m, n.reward) AS reward) FROM {source} n
     LEFT JOIN {prefix}m0 x ON x.tree_id = n.tree_id AND x.node_id = n.node_id WHERE depth = 0),
-  {prefix}p AS (SELECT * FROM {prefix}0 UNION ALL SELECT * FROM {prefix}1 UNION ALL SELECT * FROM {prefix}2)"""
+  {prefix}p AS MATERIALIZED (SELECT * FROM {prefix}0 UNION ALL SELECT * FROM {prefix}1 UNION ALL SELECT * FROM {prefix}2)"""
 
 
 def fitness_sql(source: str, prefix: str, spread: str = ">= 0.1") -> str:
-    return f"""{prefix}leaf AS (SELECT n.tree_id, avg(reward) AS p_hat, count(*) AS n_leaves FROM {source} n
-    WHERE NOT EXISTS (SELECT 1 FROM {source} c WHERE c.tree_id = n.tree_id AND c.parent_id = n.node_id) GROUP BY 1),
+    return f"""{prefix}inner AS (SELECT DISTINCT tree_id, parent_id AS node_id FROM {source} WHERE parent_id IS NOT NULL),
+  {prefix}leaf AS (SELECT n.tree_id, avg(reward) AS p_hat, count(*) AS n_leaves FROM {source} n
+    LEFT JOIN {prefix}inner i ON i.tree_id = n.tree_id AND i.node_id = n.node_id WHERE i.node_id IS NULL GROUP BY 1),
   {prefix}sib AS (SELECT *, max(reward) OVER w - min(reward) OVER w AS spread FROM {source} WHERE parent_id IS NOT NULL
     WINDOW w AS (PARTITION BY tree_id, parent_id)),
   {prefix}mom AS (SELECT tree_id, count(*) AS n, covar_pop(log_prob, reward) AS c, stddev_pop(log_prob) AS sx,
@@ -50,7 +51,7 @@ def fitness_sql(source: str, prefix: str, spread: str = ">= 0.1") -> str:
   {prefix}rho AS (SELECT l.*, CASE WHEN n >= 2 THEN n ELSE 0 END AS n_nodes,
     CASE WHEN n >= 2 AND sx >= 1e-12 AND sy >= 1e-12 THEN c / (sx * sy) ELSE 0 END AS rho
     FROM {prefix}leaf l LEFT JOIN {prefix}mom m ON m.tree_id = l.tree_id),
-  {prefix}fit AS (SELECT *, p_hat * (1 - p_hat) AS bern_var, p_hat * (1 - p_hat) * (1 - rho * rho) AS F,
+  {prefix}fit AS MATERIALIZED (SELECT *, p_hat * (1 - p_hat) AS bern_var, p_hat * (1 - p_hat) * (1 - rho * rho) AS F,
     CASE WHEN p_hat <= 0 OR p_hat >= 1 THEN 0 ELSE 0.0 - (p_hat * log2(p_hat) + (1 - p_hat) * log2(1 - p_hat)) END AS H
     FROM {prefix}rho),
   {prefix}reg AS (SELECT *, CASE WHEN F <= 0.025 THEN CASE WHEN bern_var < 0.05 AND p_hat <= 0.5 THEN 'dead_wrong' ELSE 'dead_correct' END
