@@ -129,6 +129,18 @@ def hash_answer(text: Column, method: str = "strict") -> Column:
     )
 
 
+def hash_answer_score(
+    text: Column, truth: Column, method: str = "strict", score: float = 1.0, format_score: float = 0.0
+) -> Column:
+    """`score` for the true number, `format_score` for another one, 0 for none."""
+    return let(
+        hash_answer(text, method),
+        lambda found: F.when(found.isNull(), 0.0)
+        .when(found == truth, float(score))
+        .otherwise(float(format_score)),
+    )
+
+
 def after_think(text: Column, ignore_think: bool = False) -> Column:
     """Text after the first closing think tag (up to a second); null if absent."""
     if ignore_think:

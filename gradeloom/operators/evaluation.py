@@ -23,19 +23,25 @@ def validation_by_source(
     )
 
 
-def pass_at_k(scored: DataFrame, key: str = "uid", score: str = "reward") -> DataFrame:
+def pass_at_k(
+    scored: DataFrame, key: str = "uid", score: str = "reward", equal_counts: bool = False
+) -> DataFrame:
     """One row: mean score, share of prompts with a full score, and sample counts.
 
     `samples_min` and `samples_max` differ when prompts have unequal counts; the
-    mean is over all samples then.
+    mean is over all samples then. `equal_counts` makes unequal counts an error.
     """
     per = scored.groupBy(key).agg(
         F.max(score).alias("best"), F.sum(score).alias("total"), F.count(F.lit(1)).alias("n")
     )
+    fewest = F.min("n")
+    if equal_counts:
+        unequal = F.raise_error(F.lit("prompts have unequal numbers of samples")).cast("bigint")
+        fewest = F.when(F.min("n") < F.max("n"), unequal).otherwise(F.min("n"))
     return per.agg(
         (F.sum("total") / F.sum("n")).alias("pass_at_1"),
         F.avg((F.col("best") == 1).cast("double")).alias("pass_at_n"),
-        F.min("n").alias("samples_min"),
+        fewest.alias("samples_min"),
         F.max("n").alias("samples_max"),
         F.count(F.lit(1)).alias("prompts"),
     )

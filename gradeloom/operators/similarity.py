@@ -28,6 +28,9 @@ from gradeloom.session import checkpointed
 BLOCK_ROWS = 2048
 MAX_PIVOTS = 2048
 ANGLE_SLACK = 1e-6
+# More than the digits that are cut from scores.
+SCORE_SLACK = 1e-11
+BEST_SCHEMA = "query bigint, doc bigint, score double"
 
 
 def unit_vectors(df: DataFrame, id_column: str, vector: str) -> DataFrame:
@@ -74,20 +77,19 @@ def _assign(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
     return vectors.select("group", "vec").mapInPandas(assign, schema)
 
 
-def _route(vectors: DataFrame, pivots: np.ndarray, clusters: np.ndarray, radii: np.ndarray,
-           reach: float) -> DataFrame:
-    """Each vector with the clusters that may hold a vector within angle `reach`."""
+def _route(vectors: DataFrame, pivots: np.ndarray, clusters: np.ndarray, radii: np.ndarray) -> DataFrame:
+    """Each vector with the clusters that may hold a vector within its angle `reach`."""
 
     def route(batches):
         for pdf in batches:
             if len(pdf):
                 cos = np.clip(np.stack(pdf["vec"].to_numpy()) @ pivots[clusters].T, -1.0, 1.0)
-                near = np.arccos(cos) - radii <= reach
+                near = np.arccos(cos) - radii <= pdf.pop("reach").to_numpy()[:, None] + ANGLE_SLACK
                 pdf["clusters"] = [clusters[row].astype("int32") for row in near]
                 yield pdf
 
     schema = "group bigint, vec array<double>, clusters array<int>"
-    routed = vectors.select("group", "vec").mapInPandas(route, schema)
+    routed = vectors.select("group", "vec", "reach").mapInPandas(route, schema)
     return routed.select("group", "vec", F.explode("clusters").alias("cluster"))
 
 
@@ -115,11 +117,15 @@ def _best_in_block(k: int, tau: float):
 
 def _best_groups(queries: DataFrame, docs: DataFrame, k: int, tau: float | None,
                  block_rows: int) -> DataFrame:
-    """The best `k` document groups of each query group (more when scores tie)."""
+    """The best `k` document groups of each query group (more when scores tie).
+
+    Without a threshold each query first meets the documents of its nearest pivot; its
+    `k`-th score there bounds the angle at which a better one can be, and only clusters
+    within that reach are visited.
+    """
     n_docs, n_queries = docs.count(), queries.count()
-    schema = "query bigint, doc bigint, score double"
     if not n_docs or not n_queries:
-        return docs.sparkSession.createDataFrame([], schema)
+        return docs.sparkSession.createDataFrame([], BEST_SCHEMA)
     n_pivots = max(1, min(MAX_PIVOTS, n_docs // block_rows))
     # A bounded sample of vectors, as the cluster centres.
     sample = docs.orderBy(hash52(F.col("group"), 0), "group").limit(n_pivots).select("vec").collect()
@@ -129,31 +135,61 @@ def _best_groups(queries: DataFrame, docs: DataFrame, k: int, tau: float | None,
     rows = sorted(shape.collect())  # one row per pivot at most
     clusters = np.array([r["cluster"] for r in rows], dtype=int)
     radii = np.array([r["r"] for r in rows])
-    reach = math.pi if tau is None else math.acos(max(-1.0, min(1.0, tau)))
-    routed = _route(queries, pivots, clusters, radii, reach + ANGLE_SLACK)
+    doc_rows = {r["cluster"]: r["n"] for r in rows}
+    floor = -2.0 if tau is None else tau
+
+    def meet(routed: DataFrame) -> DataFrame:
+        if len(rows) == 1:
+            query_rows = {rows[0]["cluster"]: n_queries}
+        else:
+            query_rows = dict(routed.groupBy("cluster").count().collect())  # as above
+        return _meet(routed, assigned, query_rows, doc_rows, len(pivots), block_rows, k, floor)
+
+    if tau is not None or len(rows) == 1:
+        reach = math.pi if tau is None else math.acos(max(-1.0, min(1.0, tau)))
+        return meet(_route(queries.withColumn("reach", F.lit(reach)), pivots, clusters, radii))
+    # A pivot without documents of its own gives no bound, as fewer than `k` found.
+    first = meet(_assign(queries, pivots).drop("angle"))
+    best = Window.partitionBy("query").orderBy(F.desc("score"))
+    bound = (
+        first.withColumn("__rank", F.row_number().over(best)).where(F.col("__rank") == k)
+        .select(F.col("query").alias("group"), F.acos(F.col("score") - SCORE_SLACK).alias("reach"))
+    )
+    bounded = queries.join(bound, "group", "left").fillna({"reach": math.pi})
+    return meet(_route(checkpointed(bounded.select("group", "vec", "reach")), pivots, clusters, radii))
 
-    # A cluster too large for one block is cut by hash, and so are the queries.
-    doc_parts = [1] * len(pivots)
-    for r in rows:
-        doc_parts[r["cluster"]] = -(-r["n"] // block_rows)
-    query_parts = -(-n_queries // block_rows)
-    parts = F.array(*[F.lit(n) for n in doc_parts])[F.col("cluster")]
 
-    def part(n: Column) -> Column:
+def _meet(
+    routed: DataFrame, assigned: DataFrame, query_rows: dict[int, int], doc_rows: dict[int, int],
+    n_pivots: int, block_rows: int, k: int, floor: float,
+) -> DataFrame:
+    """Queries against documents of the same cluster, both cut by hash into blocks.
+
+    A row is copied once for each block of the other side in that cluster.
+    """
+
+    def parts(rows: dict[int, int]) -> Column:
+        counts = [max(1, -(-rows.get(c, 0) // block_rows)) for c in range(n_pivots)]
+        return F.array(*[F.lit(n) for n in counts])[F.col("cluster")]
+
+    def own(n: Column) -> Column:
         return F.pmod(F.xxhash64("group"), n).cast("int")
 
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = routed.withColumn("query_part", part(F.lit(query_parts))).withColumn("doc_part", every(parts))
+    def every(n: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0), n - 1))
+
+    query_parts, doc_parts = parts(query_rows), parts(doc_rows)
+    left = routed.withColumn("query_part", own(query_parts)).withColumn("doc_part", every(doc_parts))
     right = (
         assigned.select("group", "vec", "cluster")
-        .withColumn("doc_part", part(parts))
-        .withColumn("query_part", every(F.lit(query_parts)))
+        .withColumn("doc_part", own(doc_parts))
+        .withColumn("query_part", every(query_parts))
     )
     keys = ["cluster", "doc_part", "query_part"]
     return (
         left.groupBy(*keys)
         .cogroup(right.groupBy(*keys))
-        .applyInPandas(_best_in_block(k, -2.0 if tau is None else tau), schema)
+        .applyInPandas(_best_in_block(k, floor), BEST_SCHEMA)
     )
 
 
@@ -209,9 +245,10 @@ def exclude_matched_bad(
     dataset: DataFrame, bad: DataFrame, min_score: float = 0.99, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """The dataset without the best match of each bad item, which must be that close."""
-    best = cosine_topk(bad, dataset, 1, block_rows=block_rows)
+    best = cosine_topk(bad, dataset, 1, min_score - SCORE_SLACK, block_rows=block_rows)
     message = F.concat(F.lit("no match close enough for "), F.col("query").cast("string"))
-    sure = best.select(
+    every = bad.select(F.col("id").alias("query")).join(best, "query", "left")
+    sure = every.select(
         F.when(F.col("score") >= min_score, F.col("doc")).otherwise(
             F.raise_error(message).cast("bigint")
         ).alias("id")

@@ -1,8 +1,8 @@
 """Group-wise columns that stay balanced when one key holds much of the data.
 
 A plain `Window.partitionBy(key)` sends a whole key to one task. The helpers
-here find the few keys that are too large for that, treat them with partial
-aggregates, and leave the window to all others.
+here find the keys that are too large for that, treat them with partial aggregates
+and salted joins, and leave the window to all others.
 """
 
 from __future__ import annotations
@@ -13,62 +13,70 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.operators.ordering import with_order_bucket
+from gradeloom.session import estimated_bytes, scratch_path
 
-# A key is hot when it holds more than this share of the rows ...
-HOT_SHARE = 1e-3
-# ... and more rows than one task handles with ease.
-HOT_ROWS = 1_000_000
-# Keys the frequency sketch tracks: an error of 3.5 / SKETCH_KEYS of the rows,
-# below HOT_SHARE, so no hot key can be missed.
-SKETCH_KEYS = 10_000
-# Rows the sketch looks at; a key of HOT_SHARE has 10,000 of them.
-SKETCH_ROWS = 10_000_000
+# Rows of one key that a single task handles with ease. A key with more is split.
+HOT_ROWS = 4_000_000
+# Tables that Catalyst takes for smaller than this are not counted first.
+SMALL_BYTES = 128 * 2**20
 
 
-def hot_key_hashes(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> list[int]:
-    """Hashes of the keys that hold too many rows for one task.
+def hot_keys(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> DataFrame | None:
+    """Keys with more rows than one task should take: (__h, __parts), or None.
 
-    A row count, and for large tables a bounded frequency sketch over a sample; no
-    shuffle by key. At most 1 / HOT_SHARE keys come back, whatever the size of the
-    data. A key taken for hot or cold by a sketch error only changes the plan,
-    never the result.
+    `__h` is the hash of the key, `__parts` the tasks its rows are dealt to. The counts are
+    exact and pre-aggregated before their shuffle. There is at most one entry for
+    `HOT_ROWS` rows; whether it is broadcast is left to Spark's check of its written size.
     """
-    rows = df.count()
-    limit = max(HOT_ROWS if hot_rows is None else hot_rows, HOT_SHARE * rows)
-    if rows <= limit:
-        return []
-    hashed = df.select(F.xxhash64(*keys).alias("h"))
-    fraction = min(1.0, SKETCH_ROWS / rows)
-    if fraction < 1.0:
-        hashed = hashed.sample(fraction, seed=0)
-    top = F.expr(f"approx_top_k(h, {round(1 / HOT_SHARE)}, {SKETCH_KEYS})")
-    found = hashed.agg(top.alias("top")).first()["top"] or []
-    return [t["item"] for t in found if t["count"] > limit * fraction]
+    if hot_rows is None and estimated_bytes(df) < SMALL_BYTES:
+        return None
+    limit = HOT_ROWS if hot_rows is None else hot_rows
+    counts = df.groupBy(F.xxhash64(*keys).alias("__h")).agg(F.count(F.lit(1)).alias("__n"))
+    parts = F.ceil(F.col("__n") / F.lit(limit)).cast("int")
+    path = scratch_path(df.sparkSession, "hot_keys")
+    counts.where(F.col("__n") > limit).select("__h", parts.alias("__parts")).write.parquet(path)
+    hot = df.sparkSession.read.schema("__h bigint, __parts int").parquet(path)
+    return None if hot.isEmpty() else hot
+
+
+def _marked(df: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """Rows with the parts of their key; null for a key that is not hot."""
+    return df.withColumn("__h", F.xxhash64(*keys)).join(hot, "__h", "left").drop("__h")
+
+
+def _salt(df: DataFrame) -> Column:
+    """The part of a hot key that a row belongs to, by its content, so that retries agree."""
+    hashable = [c for c, kind in df.dtypes if "map<" not in kind]
+    return F.pmod(F.xxhash64(*hashable), F.coalesce("__parts", F.lit(1))).cast("int")
+
+
+def _every_part() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))
 
 
 def with_group_stats(
     df: DataFrame, keys: list[str], aggs: dict[str, Column], hot_rows: int | None = None
 ) -> DataFrame:
     """Adds aggregates of each row's group, keeping every row."""
-    hot = hot_key_hashes(df, keys, hot_rows)
+    hot = hot_keys(df, keys, hot_rows)
     window = Window.partitionBy(*keys)
-    cold = df
-    if hot:
-        is_hot = F.xxhash64(*keys).isin(hot)
-        cold = df.where(~is_hot)
-    out = cold.select("*", *[a.over(window).alias(n) for n, a in aggs.items()])
-    if not hot:
-        return out
-    # One row per hot key, so the broadcast side has at most 1 / HOT_SHARE rows.
-    stats = df.where(is_hot).groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
-    return out.unionByName(_attach(df.where(is_hot), stats, keys).select(out.columns))
-
-
-def _attach(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
-    """Joins a bounded table by its keys, where a null key meets a null key."""
-    renamed = few.withColumnsRenamed({k: f"__key_{k}" for k in keys})
+    over = [a.over(window).alias(n) for n, a in aggs.items()]
+    if hot is None:
+        return df.select("*", *over)
+    rows = _marked(df, keys, hot)
+    cold = rows.where("__parts is null").drop("__parts").select("*", *over)
+    big = rows.where("__parts is not null")
+    stats = big.groupBy(*keys, "__parts").agg(*[a.alias(n) for n, a in aggs.items()])
+    stats = stats.withColumn("__salt", _every_part()).drop("__parts")
+    salted = big.withColumn("__salt", _salt(big))
+    return cold.unionByName(_attach(salted, stats, [*keys, "__salt"]).select(cold.columns))
+
+
+def _attach(rows: DataFrame, keyed: DataFrame, keys: list[str]) -> DataFrame:
+    """Joins a table with one row per key, where a null key meets a null key."""
+    renamed = keyed.withColumnsRenamed({k: f"__key_{k}" for k in keys})
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys])
-    return rows.join(F.broadcast(renamed), same).drop(*[f"__key_{k}" for k in keys])
+    return rows.join(renamed, same).drop(*[f"__key_{k}" for k in keys])
 
 
 def with_group_running(
@@ -83,11 +91,9 @@ def with_group_running(
     `order` must be total within a group; its first two columns must be numeric
     because hot groups are cut along them.
     """
-    hot = hot_key_hashes(df, keys, hot_rows)
-    cold = df
-    if hot:
-        is_hot = F.xxhash64(*keys).isin(hot)
-        cold = df.where(~is_hot)
+    hot = hot_keys(df, keys, hot_rows)
+    rows = df if hot is None else _marked(df, keys, hot)
+    cold = df if hot is None else rows.where("__parts is null").drop("__parts")
 
     def before(window):
         return window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -95,11 +101,12 @@ def with_group_running(
     zero = F.lit(0)
     w = before(Window.partitionBy(*keys))
     out = cold.select("*", *[F.coalesce(F.sum(e).over(w), zero).alias(n) for n, e in sums.items()])
-    if not hot:
+    if hot is None:
         return out
-    cut = with_order_bucket(df.where(is_hot), order[:2], "__bucket")
+    big = rows.where("__parts is not null").drop("__parts")
+    cut = with_order_bucket(big, order[:2], "__bucket")
     totals = cut.groupBy(*keys, "__bucket").agg(*[F.sum(e).alias(n) for n, e in sums.items()])
-    # Hot keys times buckets: bounded by the two settings, not by the data.
+    # Per key one row per bucket; the buckets follow the partition setting, not the data.
     b = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *keys, "__bucket", *[F.coalesce(F.sum(n).over(b), zero).alias(f"__{n}") for n in sums]
@@ -129,19 +136,15 @@ def join_keyed(
     keys: list[str],
     how: str = "inner",
     hot_rows: int | None = None,
-    hot: list[int] | None = None,
 ) -> DataFrame:
     """Joins many rows per key to a table with one row per key.
 
-    Rows of a hot key stay where they are: only the hot keys' own entries, at most
-    1 / HOT_SHARE of them, are broadcast. All others meet in an ordinary join.
-    Hot keys already known save the pass that finds them.
+    Rows of a hot key are dealt to its parts, and its entry is repeated for each part.
     """
+    hot = hot_keys(rows, keys, hot_rows)
     if hot is None:
-        hot = hot_key_hashes(rows, keys, hot_rows)
-    if not hot:
         return rows.join(keyed, keys, how)
-    is_hot = F.xxhash64(*keys).isin(hot)
-    cold = rows.where(~is_hot).join(keyed, keys, how)
-    big = rows.where(is_hot).join(F.broadcast(keyed.where(is_hot)), keys, how)
-    return cold.unionByName(big)
+    marked = _marked(rows, keys, hot)
+    salted = marked.withColumn("__salt", _salt(marked)).drop("__parts")
+    copies = _marked(keyed, keys, hot).withColumn("__salt", _every_part()).drop("__parts")
+    return salted.join(copies, [*keys, "__salt"], how).drop("__salt")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.operators.ordering import quantile_bounds, with_running_totals
-from gradeloom.operators.skew import hot_key_hashes, join_keyed
+from gradeloom.operators.skew import join_keyed
 from gradeloom.session import checkpointed
 
 MIN_DEVIATION = 1e-12
@@ -31,10 +31,10 @@ def pearson_guarded(df: DataFrame, x: str, y: str, by: list[str] | None = None)
     )
 
 
-def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
-    """One row per distinct value with the mean of the places its rows fill (from 1)."""
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("__n"))
-    bounds = quantile_bounds(df, F.col(column))
+def average_ranks(pairs: DataFrame, column: str, name: str) -> DataFrame:
+    """One row per distinct value with the mean of the places its `n` rows fill (from 1)."""
+    counts = pairs.groupBy(column).agg(F.sum("n").alias("__n"))
+    bounds = quantile_bounds(counts, F.col(column))
     placed = with_running_totals(counts, [F.col(column)], {"__below": F.col("__n")}, bounds)
     return placed.select(column, (F.col("__below") + (F.col("__n") + 1) / 2).alias(name))
 
@@ -42,16 +42,15 @@ def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
 def spearman(df: DataFrame, x: str, y: str, hot_rows: int | None = None) -> DataFrame:
     """One row: correlation of the average ranks, 0 when degenerate.
 
-    Equal pairs are counted first, so a frequent pair costs one row. The mean of
-    the ranks is known, (n + 1) / 2, which leaves plain sums. A row with a null in either
-    column takes no part; NaN ranks above all numbers.
+    Equal pairs are counted first and stored, so the rows are read once and a frequent
+    pair costs one row. The mean of the ranks is known, (n + 1) / 2, which leaves plain sums.
+    A row with a null in either column takes no part; NaN ranks above all numbers.
     """
     rows = df.select(F.col(x).alias("x"), F.col(y).alias("y")).where("x is not null and y is not null")
-    pairs = rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    hot_x, hot_y = (hot_key_hashes(rows, [c], hot_rows) for c in "xy")
-    ranked = join_keyed(pairs, average_ranks(rows, "x", "rx"), ["x"], hot=hot_x)
-    ranked = join_keyed(ranked, average_ranks(rows, "y", "ry"), ["y"], hot=hot_y)
-    total = rows.agg(F.count(F.lit(1))).scalar()
+    pairs = checkpointed(rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")))
+    ranked = join_keyed(pairs, average_ranks(pairs, "x", "rx"), ["x"], hot_rows=hot_rows)
+    ranked = join_keyed(ranked, average_ranks(pairs, "y", "ry"), ["y"], hot_rows=hot_rows)
+    total = pairs.agg(F.sum("n")).scalar()
     middle = (total + 1) / F.lit(2.0)
     dx, dy, n = F.col("rx") - middle, F.col("ry") - middle, F.col("n")
     sums = ranked.agg(
@@ -83,14 +82,19 @@ def fitness_correlations(trees: DataFrame, norm: str = "grad_norm_sq") -> DataFr
 
 
 def healing_summary(healed: DataFrame) -> DataFrame:
-    """One row over healed trees (`F_before`, `F_after`, `n_refinements`, `n_correct`)."""
+    """One row over healed trees (`F_before`, `F_after`, `n_refinements`, `n_correct`).
+
+    `correct_delta_spearman` ranks correct refinements against the change of F; null for
+    fewer than three trees.
+    """
     rows = healed.withColumn("d", F.col("F_after") - F.col("F_before"))
     n = F.count(F.lit(1))
     t = F.when(
         (n >= 3) & (F.stddev_samp("d") > 0),
         F.try_divide(F.avg("d"), F.stddev_samp("d") / F.sqrt(n.cast("double"))),
     )
-    return rows.agg(
+    by_rank = spearman(rows, "n_correct", "d").select(F.when(F.col("n") >= 3, F.col("spearman")))
+    summary = rows.agg(
         n.alias("healed"),
         F.sum((F.col("d") > 0).cast("bigint")).alias("improved"),
         F.avg((F.col("d") > 0).cast("double")).alias("success_rate"),
@@ -102,3 +106,4 @@ def healing_summary(healed: DataFrame) -> DataFrame:
         t.alias("t_statistic"),
         F.try_divide(F.sum("n_correct"), F.sum("n_refinements")).alias("refinement_accuracy"),
     )
+    return summary.withColumn("correct_delta_spearman", by_rank.scalar())

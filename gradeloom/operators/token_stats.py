@@ -110,12 +110,13 @@ def batch_metrics(
 def timing_metrics(sections: DataFrame, totals: DataFrame, key: str = "step") -> DataFrame:
     """Seconds of each section, and milliseconds per token it worked on.
 
-    `totals` has one row per step with `prompt_tokens` and `response_tokens`.
+    `totals` has one row per step with `prompt_tokens` and `response_tokens`; a section of
+    a step without totals has null milliseconds.
     """
     tokens = F.when(F.col("section") == RESPONSE_SECTION, F.col("response_tokens")).when(
         F.col("section").isin(WHOLE_SECTIONS), F.col("prompt_tokens") + F.col("response_tokens")
     )
-    return sections.join(totals, key).select(
+    return sections.join(totals, key, "left").select(
         key,
         "section",
         F.col("seconds").alias("timing_s"),
@@ -203,16 +204,17 @@ def policy_loss_stats(
         ((clipped > free).cast("double") * mask).alias("clipped"),
         ((F.col("old_logp") - F.col("logp")) * mask).alias("kl"),
     )
-    per = rows.groupBy("seq_id").agg(
-        *[F.sum(c).alias(c) for c in ("loss", "clipped", "kl")], F.sum("mask").alias("n")
-    )
-    total = F.sum("n")
-    by_token = F.sum("loss") / total
-    by_sequence = F.avg(F.col("loss") / F.greatest(F.col("n"), F.lit(1)))
+    if token_level:  # plain sums; no need to bring a sequence together
+        loss, per = F.sum("loss") / F.sum("n"), rows.withColumnRenamed("mask", "n")
+    else:
+        loss = F.avg(F.col("loss") / F.greatest(F.col("n"), F.lit(1)))
+        per = rows.groupBy("seq_id").agg(
+            *[F.sum(c).alias(c) for c in ("loss", "clipped", "kl")], F.sum("mask").alias("n")
+        )
     return per.agg(
-        (by_token if token_level else by_sequence).alias("pg_loss"),
-        (F.sum("clipped") / total).alias("pg_clipfrac"),
-        (F.sum("kl") / total).alias("ppo_kl"),
+        loss.alias("pg_loss"),
+        (F.sum("clipped") / F.sum("n")).alias("pg_clipfrac"),
+        (F.sum("kl") / F.sum("n")).alias("ppo_kl"),
     )
 
 
@@ -247,10 +249,10 @@ def masked_token_loss(tokens: DataFrame, loss: str) -> DataFrame:
 
 
 def step_totals(roots: DataFrame, responses: DataFrame) -> DataFrame:
-    """Mean root reward and response tokens of each step."""
+    """Mean root reward and response tokens of each step; null where a step has none."""
     reward = roots.groupBy("step").agg(F.avg("reward").alias("mean_reward"))
     count = responses.groupBy("step").agg(F.sum("n_tokens").alias("response_tokens"))
-    return reward.join(count, "step")
+    return reward.join(count, "step", "full")
 
 
 @dataclass(frozen=True)

@@ -306,12 +306,14 @@ def default_fill(spark, sf_dir):
 
 @QUERIES.add(
     "reward_route",
-    """SELECT doc_id, CASE WHEN source IN ('src1', 'src2', 'src3') THEN 'code' ELSE 'math' END AS route
+    """SELECT doc_id, CASE WHEN source IN ('src1', 'src2', 'src3') THEN 'code'
+         WHEN source IN ('src4', 'src5') THEN 'hash' ELSE 'math' END AS route
        FROM documents""",
 )
 def reward_route(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", C.reward_route(F.col("source"), ["src1", "src2", "src3"]).alias("route"))
+    route = C.reward_route(F.col("source"), ["src1", "src2", "src3"], ["src4", "src5"])
+    return d.select("doc_id", route.alias("route"))
 
 
 @QUERIES.add(

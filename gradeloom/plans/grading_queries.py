@@ -329,6 +329,22 @@ def hash_answer(spark, sf_dir):
     )
 
 
+@QUERIES.add(
+    "hash_answer_score",
+    """SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN 0.1 WHEN 2 THEN 0.0 ELSE 1.0 END::DOUBLE AS score
+       FROM documents""",
+)
+def hash_answer_score(spark, sf_dir):
+    """Answers that are right, wrong, missing, and right but for a separator."""
+    tail = F.expr(
+        "CASE doc_id % 4 WHEN 0 THEN ' #### ' || doc_id WHEN 1 THEN ' #### 0' || doc_id"
+        " WHEN 2 THEN ' ' || doc_id ELSE ' #### ' || doc_id || ',000' END"
+    )
+    truth = F.expr("doc_id || if(doc_id % 4 = 3, '000', '')")
+    score = A.hash_answer_score(F.concat("text", tail), truth, format_score=0.1)
+    return table(spark, sf_dir, "documents").select("doc_id", score.alias("score"))
+
+
 @QUERIES.add(
     "after_think",
     """SELECT doc_id, CASE WHEN lang = 'en' THEN md5(' ' || text) WHEN lang = 'fr' THEN md5(source) END AS tail

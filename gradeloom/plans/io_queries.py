@@ -23,6 +23,18 @@ def _problems(spark, sf_dir):
     )
 
 
+@QUERIES.add(
+    "read_problem_json",
+    "SELECT md5(text) AS problem, lang AS solution, CAST(n_chars AS VARCHAR) AS answer, source AS dataset FROM documents",
+)
+def read_problem_json(spark, sf_dir):
+    root = scratch_path(spark, "problem_sets")
+    rows = _problems(spark, sf_dir).withColumnRenamed("source", "dataset").drop("doc_id")
+    R.write_json_arrays(rows, f"{root}/train/math/documents.json")
+    found = P.read_problem_json(spark, root, "train", "math", "Documents")
+    return found.select(F.md5("problem").alias("problem"), "solution", "answer", "dataset")
+
+
 @QUERIES.add("read_jsonl", "SELECT doc_id, md5(text) AS problem, lang AS solution FROM documents")
 def read_jsonl(spark, sf_dir):
     path = scratch_path(spark, "jsonl")

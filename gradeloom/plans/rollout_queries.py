@@ -229,7 +229,7 @@ _SECTIONS = {"click": "gen", "view": "adv", "purchase": "ref", "error": "testing
        t AS (SELECT CAST(day(l_shipdate) AS INTEGER) AS step, sum(l_quantity) AS r, sum(l_linenumber) AS p FROM lineitem GROUP BY 1)
        SELECT s.step, section, round(seconds, 4) AS timing_s,
          round(CASE WHEN section = 'gen' THEN seconds * 1000 / r WHEN section <> 'testing' THEN seconds * 1000 / (r + p) END, 4)
-           AS timing_per_token_ms FROM s JOIN t ON t.step = s.step""",
+           AS timing_per_token_ms FROM s LEFT JOIN t ON t.step = s.step""",
 )
 def timing_metrics(spark, sf_dir):
     names = F.create_map(*[F.lit(x) for kv in _SECTIONS.items() for x in kv])
@@ -447,7 +447,7 @@ def masked_token_loss(spark, sf_dir):
     "step_totals",
     """WITH r AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS step, avg(o_totalprice) AS mean_reward FROM orders GROUP BY 1),
        t AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS step, sum(l_quantity) AS response_tokens FROM lineitem GROUP BY 1)
-       SELECT r.step, round(mean_reward, 4) AS mean_reward, response_tokens FROM r JOIN t ON t.step = r.step""",
+       SELECT step, round(mean_reward, 4) AS mean_reward, response_tokens FROM r FULL JOIN t USING (step)""",
 )
 def step_totals(spark, sf_dir):
     roots = table(spark, sf_dir, "orders").select(

@@ -335,17 +335,27 @@ def graft_nodes(spark, sf_dir):
     return rounded(grafted(spark, sf_dir))
 
 
+_RANKS = "rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0"
+
+
 @QUERIES.add(
     "healing_summary",
-    f"""WITH {GRAFT_SQL}, d AS (SELECT *, F_after - F_before AS d FROM healed)
+    f"""WITH {GRAFT_SQL}, d0 AS (SELECT *, round(F_after, 9) - round(F_before, 9) AS d FROM healed),
+        d AS (SELECT *, {_RANKS.format(c='n_correct')} AS rc, {_RANKS.format(c='d')} AS rd FROM d0)
         SELECT count(*) AS healed, CAST(sum(CAST(d > 0 AS INTEGER)) AS BIGINT) AS improved, round(avg(CAST(d > 0 AS INTEGER)), 6) AS success_rate,
           round(avg(F_before), 6) AS mean_before, round(avg(F_after), 6) AS mean_after, round(avg(d), 6) AS mean_delta,
           round(quantile_cont(d, 0.5), 6) AS median_delta, round(stddev_samp(d), 6) AS std_delta,
           round(CASE WHEN count(*) >= 3 AND stddev_samp(d) > 0 THEN avg(d) / (stddev_samp(d) / sqrt(count(*))) END, 6) AS t_statistic,
-          round(sum(n_correct) / sum(n_refinements), 6) AS refinement_accuracy FROM d""",
+          round(sum(n_correct) / sum(n_refinements), 6) AS refinement_accuracy,
+          round(CASE WHEN count(*) < 3 THEN NULL WHEN stddev_pop(rc) = 0 OR stddev_pop(rd) = 0 THEN 0
+            ELSE corr(rc, rd) END, 6) AS correct_delta_spearman FROM d""",
 )
 def healing_summary(spark, sf_dir):
-    return rounded(X.healing_summary(grafted(spark, sf_dir)))
+    # Rounded so that equal changes tie in both engines.
+    healed = grafted(spark, sf_dir).withColumns(
+        {c: F.round(c, 9) for c in ("F_before", "F_after")}
+    )
+    return rounded(X.healing_summary(healed))
 
 
 # --- correlations -------------------------------------------------------------
@@ -361,9 +371,6 @@ def pearson_guarded(spark, sf_dir):
     return rounded(X.pearson_guarded(table(spark, sf_dir, "orders"), "o_totalprice", "o_orderkey", ["o_custkey"]))
 
 
-_RANKS = "rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0"
-
-
 @QUERIES.add(
     "spearman",
     f"""WITH r AS (SELECT {_RANKS.format(c='l_quantity')} AS rx, {_RANKS.format(c='l_extendedprice')} AS ry FROM lineitem)

@@ -40,3 +40,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of the table's size, without running anything."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

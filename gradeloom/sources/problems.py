@@ -25,22 +25,24 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def read_examples(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """Many files as one table; each path names its format ('parquet' or 'json')."""
-    frames = [spark.read.format(fmt).load(path) for path, fmt in paths.items()]
+def read_examples(
+    spark: SparkSession, paths: dict[str, str], schema: str | None = None
+) -> DataFrame:
+    """Many files as one table; each path names its format ('parquet' or 'json').
+
+    Paths of one format are read together. A given schema saves the pass that finds one.
+    """
+    by_format: dict[str, list[str]] = {}
+    for path, fmt in paths.items():
+        by_format.setdefault(fmt, []).append(path)
+    frames = []
+    for fmt, group in by_format.items():
+        reader = spark.read.format(fmt)
+        reader = reader.schema(schema) if schema else reader.option("mergeSchema", True)
+        frames.append(reader.load(group))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def catalog(spark: SparkSession, root: str, names: dict[tuple[str, str], list[str]]) -> DataFrame:
-    """The known datasets: name, split, category and path."""
-    rows = [
-        (n, split, category, f"{root}/{split}/{category}/{n.lower()}.json")
-        for (split, category), members in names.items()
-        for n in members
-    ]
-    return spark.createDataFrame(rows, "name string, split string, category string, path string")
-
-
 def read_rating_histogram(lines: DataFrame, column: str = "value") -> DataFrame:
     """Rating and count rows from a JSON map; counts stay weights."""
     parsed = lines.select(F.from_json(F.col(column), "map<string,bigint>").alias("m"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
@@ -59,3 +60,19 @@ def reuse_if_exists(
             raise
     build().write.mode("ignore").parquet(path)
     return spark.read.parquet(path)
+
+
+def write_json_arrays(df: DataFrame, path: str) -> None:
+    """One JSON array per partition and file, the form problem sets are read from."""
+
+    def bracketed(batches):
+        mark = "["
+        for pdf in batches:
+            if len(pdf):
+                marks = [mark] + [","] * (len(pdf) - 1)
+                yield pd.DataFrame({"value": pd.Series(marks) + pdf["value"].reset_index(drop=True)})
+                mark = ","
+        yield pd.DataFrame({"value": ["[]" if mark == "[" else "]"]})
+
+    lines = df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+    lines.mapInPandas(bracketed, "value string").write.text(path)

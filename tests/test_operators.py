@@ -511,6 +511,19 @@ def test_topk_between_two_tables(spark):
     assert got == brute_force(q, d, 3, None, False)
 
 
+def test_clustered_vectors_are_not_copied_to_all_blocks(spark):
+    """Without a threshold a query leaves out the clusters beyond its own k-th score."""
+    rng = np.random.default_rng(1)
+    centres = np.eye(8)
+    v = np.repeat(centres, 40, axis=0) + 0.01 * rng.normal(size=(320, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    routed = similarity._route(
+        vector_frame(spark, v).select(F.col("id").alias("group"), "vec", F.lit(0.1).alias("reach")),
+        centres, np.arange(8), np.full(8, 0.1),
+    )
+    assert routed.count() == 320
+
+
 def test_exclude_similar_equals_brute_force(spark):
     q, d = clustered(200, seed=5), clustered(90)
     kept = similarity.exclude_similar(vector_frame(spark, q), vector_frame(spark, d), 0.6, block_rows=16)
@@ -643,7 +656,35 @@ def test_healing_a_dead_tree(spark):
     assert (row[0]["F_before"], row[0]["F_after"]) == (0.0, 0.1875)
     summary = statistics.healing_summary(trees.heal_trees(tree, refinements, 1)).first()
     assert (summary["healed"], summary["improved"], summary["refinement_accuracy"]) == (1, 1, 0.5)
-    assert summary["t_statistic"] is None
+    assert summary["t_statistic"] is None and summary["correct_delta_spearman"] is None
+    healed = spark.createDataFrame(
+        [(0.0, 0.1, 2, 1), (0.0, 0.2, 2, 2), (0.0, 0.0, 2, 0)],
+        "F_before double, F_after double, n_refinements int, n_correct int",
+    )
+    ranked = statistics.healing_summary(healed).first()["correct_delta_spearman"]
+    assert ranked == pytest.approx(1.0)
+
+
+def test_hash_answers_are_scored(spark):
+    rows = [("so #### 1,000", "1000", 1.0), ("#### 12 ", "13", 0.1), ("it is 13", "13", 0.0), (None, "1", 0.0)]
+    df = spark.createDataFrame(rows, "text string, truth string, want double")
+    score = A.hash_answer_score(F.col("text"), F.col("truth"), format_score=0.1)
+    assert all(r["want"] == r["got"] for r in df.withColumn("got", score).collect())
+
+
+def test_unequal_sample_counts_can_be_refused(spark):
+    df = spark.createDataFrame([(1, 1.0), (1, 0.0), (2, 1.0)], "uid int, reward double")
+    assert evaluation.pass_at_k(df).first()["samples_min"] == 1
+    with pytest.raises(PySparkException):
+        evaluation.pass_at_k(df, equal_counts=True).collect()
+    evaluation.pass_at_k(df.where("uid = 1"), equal_counts=True).collect()
+
+
+def test_steps_of_one_side_stay(spark):
+    roots = spark.createDataFrame([(1, 1.0)], "step int, reward double")
+    responses = spark.createDataFrame([(2, 5)], "step int, n_tokens int")
+    got = sorted(map(tuple, token_stats.step_totals(roots, responses).collect()))
+    assert got == [(1, 1.0, None), (2, None, 5)]
 
 
 # --- evaluation and contests ------------------------------------------------------
@@ -737,8 +778,9 @@ def test_problem_sets_are_json_arrays(spark, tmp_path):
     got = problems.read_problem_json(spark, str(tmp_path), "train", "math", "AIME")
     filled = curation.with_defaults(got.drop("dataset")).orderBy("problem").collect()
     assert [(r["answer"], r["solution"], r["difficulty"]) for r in filled] == [("1", "", -1.0), ("", "s", 2.5)]
-    known = problems.catalog(spark, str(tmp_path), {("train", "math"): ["AIME"]}).first()
-    assert known["path"] == f"{tmp_path}/train/math/aime.json"
+    results.write_json_arrays(got.repartition(3), f"{tmp_path}/train/math/copy.json")
+    again = problems.read_problem_json(spark, str(tmp_path), "train", "math", "copy")
+    assert sorted(again.collect(), key=str) == sorted(got.collect(), key=str)
 
 
 def test_histograms_stay_weighted(spark):

@@ -28,8 +28,22 @@ def same(a, b):
 
 
 def test_hot_keys_are_found(rows):
-    assert len(skew.hot_key_hashes(rows, ["k"], hot_rows=500)) == 1
-    assert skew.hot_key_hashes(rows, ["k"]) == []
+    """A third of 3,000 rows in parts of at most 500; small tables are not counted."""
+    found = skew.hot_keys(rows, ["k"], hot_rows=500).collect()
+    assert [r["__parts"] for r in found] == [3]
+    assert skew.hot_keys(rows, ["k"]) is None
+
+
+def test_many_hot_keys_far_below_a_share_of_the_rows(spark):
+    """The limit is a number of rows: 200 keys of 0.5 % each are all split."""
+    df = spark.range(4000).select("id", (F.col("id") % 200).alias("k"))
+    assert skew.hot_keys(df, ["k"], hot_rows=10).count() == 200
+    aggs = {"total": F.sum("id")}
+    same(skew.with_group_stats(df, ["k"], aggs, hot_rows=10), skew.with_group_stats(df, ["k"], aggs))
+    keyed = df.groupBy("k").agg(F.max("id").alias("m"))
+    same(skew.join_keyed(df, keyed, ["k"], hot_rows=10), df.join(keyed, "k"))
+    order = [F.col("id")]
+    same(skew.with_group_index(df, ["k"], order, "i", hot_rows=10), skew.with_group_index(df, ["k"], order, "i"))
 
 
 def test_group_stats(rows):
