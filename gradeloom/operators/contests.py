@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gradeloom.functions.text import split_problem_id
 from gradeloom.operators.ordering import with_running_totals
 from gradeloom.operators.skew import join_keyed
-from gradeloom.session import checkpointed
+from gradeloom.session import stored
 
 
 def group_by_contest(submissions: DataFrame, problem: str = "problem_id") -> DataFrame:
@@ -96,21 +96,20 @@ def elo_rating(changes: DataFrame, ranks: DataFrame) -> DataFrame:
     The expected rank falls as the rating grows. Each round narrows [low, high) of
     every contest at once by trying a fixed number of ratings as columns of one
     aggregate; it ends where a bisection would. Players are counted by rating
-    first, and the rounds, some four, follow from the largest rating.
+    first. The rounds, some four, follow from the largest rating, so they are one plan.
     """
-    histogram = checkpointed(
+    histogram = stored(
         changes.groupBy("contest", F.col("old_rating").alias("rating")).agg(
             F.count(F.lit(1)).alias("n")
-        )
+        ),
+        "ratings",
     )
     top = histogram.groupBy("contest").agg(F.max("rating").cast("bigint").alias("top"))
-    state = checkpointed(
-        ranks.join(top, "contest").select(
-            "contest", "rank", F.lit(0).cast("bigint").alias("low"),
-            (F.col("top") + 100).alias("high"),
-        )
+    state = ranks.join(top, "contest").select(
+        "contest", "rank", F.lit(0).cast("bigint").alias("low"), (F.col("top") + 100).alias("high")
     )
-    widest = state.agg(F.max("high")).first()[0] or 1
+    highest = histogram.agg(F.max("rating").cast("bigint")).first()[0]
+    widest = 1 if highest is None else highest + 100
     span = F.col("high") - F.col("low")
     tried = [
         F.col("low") + F.floor(span * j / (CANDIDATES + 1)) for j in range(1, CANDIDATES + 1)
@@ -125,8 +124,9 @@ def elo_rating(changes: DataFrame, ranks: DataFrame) -> DataFrame:
         behind = [(F.col(f"s{j}") >= F.col("rank")) | (c == F.col("low")) for j, c in enumerate(tried)]
         low = F.greatest("low", *[F.when(b, c) for b, c in zip(behind, tried)])
         high = F.least("high", *[F.when(~b, c) for b, c in zip(behind, tried)])
-        state = checkpointed(seeds.select("contest", "rank", low.alias("low"), high.alias("high")))
-        widest = state.agg(F.max(F.col("high") - F.col("low"))).first()[0]
+        state = seeds.select("contest", "rank", low.alias("low"), high.alias("high"))
+        # Neighbouring candidates are this far apart at most.
+        widest = -(-widest // (CANDIDATES + 1))
     return state.select("contest", F.col("low").alias("elo"))
 
 

@@ -270,8 +270,8 @@ def removed_in_order(edges: DataFrame) -> DataFrame:
     free = edges.select("src").distinct().join(threatened, "src", "left_anti")
     acting = [free]
     question = checkpointed(_mark(forward, free))
-    while question.limit(1).count():
-        passive = checkpointed(question.where("acts").select(F.col("dst").alias("id")).distinct())
+    while not question.isEmpty():
+        passive = question.where("acts").select(F.col("dst").alias("id")).distinct()
         open_edges = question.join(passive.withColumnRenamed("id", "dst"), "dst", "left_anti").join(
             passive.withColumnRenamed("id", "src"), "src", "left_anti"
         ).select("src", "dst")

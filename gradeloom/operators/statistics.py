@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.operators.ordering import quantile_bounds, with_running_totals
 from gradeloom.operators.skew import join_keyed
-from gradeloom.session import checkpointed
+from gradeloom.session import stored
 
 MIN_DEVIATION = 1e-12
 
@@ -47,7 +47,7 @@ def spearman(df: DataFrame, x: str, y: str, hot_rows: int | None = None) -> Data
     A row with a null in either column takes no part; NaN ranks above all numbers.
     """
     rows = df.select(F.col(x).alias("x"), F.col(y).alias("y")).where("x is not null and y is not null")
-    pairs = checkpointed(rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")))
+    pairs = stored(rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")), "pairs")
     ranked = join_keyed(pairs, average_ranks(pairs, "x", "rx"), ["x"], hot_rows=hot_rows)
     ranked = join_keyed(ranked, average_ranks(pairs, "y", "ry"), ["y"], hot_rows=hot_rows)
     total = pairs.agg(F.sum("n")).scalar()
@@ -66,13 +66,14 @@ def spearman(df: DataFrame, x: str, y: str, hot_rows: int | None = None) -> Data
 
 def fitness_correlations(trees: DataFrame, norm: str = "grad_norm_sq") -> DataFrame:
     """Spearman of F, p(1-p) and 1 - rho^2 against log(1 + norm), positive norms only."""
-    valid = checkpointed(
+    valid = stored(
         trees.where(F.col(norm) > 0).select(
             F.log1p(F.col(norm)).alias("log_norm"),
             "F",
             "bern_var",
             (F.lit(1.0) - F.col("rho") * F.col("rho")).alias("unexplained"),
-        )
+        ),
+        "valid_trees",
     )
     parts = [
         spearman(valid, c, "log_norm").withColumn("term", F.lit(c))

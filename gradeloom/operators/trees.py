@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gradeloom.functions.sequences import bernoulli_variance, binary_entropy
 from gradeloom.operators.skew import join_keyed, with_group_running, with_group_stats
 from gradeloom.operators.statistics import pearson_of_moments
-from gradeloom.session import checkpointed
+from gradeloom.session import stored
 
 SIBLING_KEYS = ["tree_id", "parent_id"]
 MIN_SPREAD = 0.1
@@ -122,7 +122,7 @@ def walk_order(nodes: DataFrame, max_depth: int, hot_rows: int | None = None) ->
             )
         below = level
         sized.append(level)
-    tree = checkpointed(reduce(DataFrame.unionByName, sized))
+    tree = stored(reduce(DataFrame.unionByName, sized), "sized_nodes")
     children = with_group_running(
         tree.where(F.col("parent_id").isNotNull()), SIBLING_KEYS, [F.col("__child")],
         {"__earlier": F.col("__size")}, hot_rows,
@@ -232,10 +232,11 @@ def tree_fitness(
     flagged = with_leaf_flag(nodes)
     used = flagged.withColumn("__used", F.col("parent_id").isNotNull() & F.col("log_prob").isNotNull())
     if min_spread is not None:
-        roots = used.where(F.col("parent_id").isNull())
-        children = _with_siblings(used, hot_rows)
-        children = children.withColumn("__used", F.col("__used") & _spread_kept(min_spread))
-        used = roots.unionByName(children.select(roots.columns))
+        # A root stands alone under its null parent; it is not used in any case.
+        spread = {"__low": F.min("reward"), "__high": F.max("reward")}
+        used = with_group_stats(used, SIBLING_KEYS, spread, hot_rows).withColumn(
+            "__used", F.col("__used") & _spread_kept(min_spread)
+        )
     x = F.when(F.col("__used"), F.col("log_prob"))
     y = F.when(F.col("__used"), F.col("reward"))
     per = used.groupBy("tree_id").agg(
@@ -324,11 +325,11 @@ def heal_trees(
 
     `nodes` carry propagated rewards. Only the grafted trees are evaluated again.
     """
-    before = checkpointed(classify_tree(tree_fitness(nodes)))
+    before = stored(classify_tree(tree_fitness(nodes)), "fitness")
     dead = before.where(F.col("regime") == "dead_wrong").select("tree_id")
-    dead_nodes = checkpointed(nodes.join(dead, "tree_id", "left_semi"))
+    dead_nodes = stored(nodes.join(dead, "tree_id", "left_semi"), "dead_nodes")
     failures = shallowest_failure(dead_nodes, eps)
-    used = checkpointed(refinements.join(failures.select("tree_id"), "tree_id", "left_semi"))
+    used = stored(refinements.join(failures.select("tree_id"), "tree_id", "left_semi"), "refinements")
     counts = used.groupBy("tree_id").agg(
         F.count(F.lit(1)).alias("n_refinements"),
         F.sum((F.col("reward") == 1).cast("bigint")).alias("n_correct"),
@@ -336,7 +337,7 @@ def heal_trees(
     grafted = graft_nodes(dead_nodes, failures, used).join(
         counts.select("tree_id"), "tree_id", "left_semi"
     )
-    after_nodes = checkpointed(propagate_rewards(grafted, max_depth))
+    after_nodes = stored(propagate_rewards(grafted, max_depth), "grafted")
     after = classify_tree(tree_fitness(after_nodes))
     return counts.join(
         before.select("tree_id", F.col("F").alias("F_before"), F.col("regime").alias("before")),

@@ -9,7 +9,7 @@ from gradeloom.operators import statistics as X
 from gradeloom.operators import trees as T
 from gradeloom.plans.base import LINES_SQL, QuerySet, lines, table
 from gradeloom.plans.rollout_queries import rounded
-from gradeloom.session import checkpointed
+from gradeloom.session import stored
 
 QUERIES = QuerySet()
 
@@ -103,7 +103,7 @@ def propagated(spark, sf_dir):
 
 def settled(spark, sf_dir):
     """Propagated nodes as a stored table, for operators that read them several times."""
-    return checkpointed(propagated(spark, sf_dir))
+    return stored(propagated(spark, sf_dir), "nodes")
 
 
 def classified(spark, sf_dir):
@@ -324,7 +324,7 @@ def grafted(spark, sf_dir):
                  F.concat(F.lit("r"), F.col("l_orderkey").cast("string")).alias("node_id"))
         .agg(F.max(F.when(F.col("l_quantity") >= 45, 1.0).otherwise(0.0)).alias("reward"))
     )
-    return T.heal_trees(checkpointed(T.propagate_rewards(base, DEPTH)), refinements, DEPTH)
+    return T.heal_trees(stored(T.propagate_rewards(base, DEPTH), "nodes"), refinements, DEPTH)
 
 
 @QUERIES.add(
