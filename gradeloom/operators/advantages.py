@@ -61,12 +61,12 @@ def spread_to_tokens(tokens: DataFrame, values: DataFrame, key: str, column: str
 
 
 def gae_advantage(
-    tokens: DataFrame, gamma: float = 1.0, lam: float = 1.0, block: int = 512
+    tokens: DataFrame, gamma: float = 1.0, lam: float = 1.0, block: int = 64
 ) -> DataFrame:
     """Advantage and return of every token, by the backward recurrence.
 
-    `pos` counts from 0 within `seq_id`. No row or task holds more than `block`
-    tokens of a sequence: a run of tokens acts on what follows it like one long
+    `pos` counts from 0 within `seq_id`. No row holds more than `block` tokens of a
+    sequence (few, since appending to an array copies it): a run of tokens acts on what follows it like one long
     token, with a first value, a result of its own and a length. Runs are summed up
     level by level until one is left per sequence, then what arrives from the right
     goes down again. Sequences within one block need no join at all.
