@@ -204,6 +204,53 @@ def test_near_copies_go_and_others_stay(spark):
     assert edges.schema.names == edge_docs(spark).schema.names
 
 
+def shingle_sets(rows):
+    words = [(i, t.split()) for i, t in rows]
+    return {i: {tuple(w[n : n + 5]) for n in range(max(1, len(w) - 4))} for i, w in words}
+
+
+def test_near_copies_are_told_by_their_shingles(spark):
+    """Just above a similarity of 0.8 copies go, just below it they stay."""
+    draw = random.Random(11)
+    word = lambda: "".join(draw.choices("abcdefgh", k=6))
+    rows, above, below = [], [], []
+    for size, changed, to in [(200, 21, above), (200, 22, below), (200, 30, below), (8, -1, above), (7, -1, below)]:
+        for _ in range(150):
+            base = [word() for _ in range(size)]
+            copy = base + [word()] if changed < 0 else base[:-changed] + [word() for _ in range(changed)]
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
+            to.append(rows[-1][0])
+    sets = shingle_sets(rows)
+    alike = lambda i: len(sets[i] & sets[i - 1]) / len(sets[i] | sets[i - 1])
+    assert all(0.8 <= alike(i) < 0.81 for i in above) and all(0.7 < alike(i) < 0.8 for i in below)
+    kept = {r["doc_id"] for r in simhash.drop_near(docs(spark, rows)).collect()}
+    assert set(below) <= kept
+    assert len(kept & set(above)) <= 0.05 * len(above)
+    assert {i for i, _ in rows} - set(above) <= kept
+
+
+def test_refuted_candidates_hide_no_link(spark):
+    """Groups of texts partly alike fall into the components of all pairs of 0.8 or more."""
+    draw = random.Random(12)
+    word = lambda: "".join(draw.choices("abcdefgh", k=6))
+    rows = []
+    for _ in range(40):
+        base = [word() for _ in range(200)]
+        for n in range(12):
+            own = [word() for _ in range(8 + 4 * (n // 2))]
+            # Two of a kind are nearly the same, others share about 0.7 to 0.85 with each other.
+            text = base[: 200 - len(own)] + own if n % 2 == 0 else text[:-2] + [word(), word()]
+            rows.append((len(rows), " ".join(text)))
+    sets = shingle_sets(rows)
+    nodes = {i: [i] for i in sets}
+    near = lambda a, b: a // 12 == b // 12 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    roots = brute.components(nodes, near)
+    want = set(roots.values())
+    assert 40 < len(want) < 240
+    kept = {r["doc_id"] for r in simhash.drop_near(docs(spark, rows)).collect()}
+    assert want <= kept and len(kept - want) <= 2
+
+
 def test_sampled_pieces_grow_with_the_corpus():
     few, more = simhash.sampled_pieces(1_000), simhash.sampled_pieces(1 << 25)
     assert len(few[1]) < len(more[1]) and len(few[1][0]) == 23 and len(more[1][0]) == 30
