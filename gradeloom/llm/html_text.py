@@ -3,7 +3,7 @@
 The standard library's parser streams events; each block of text becomes a line with its
 characters and its tags. Ratios of text to tags are smoothed along the page with a Gaussian
 kernel, and lines above a threshold form the content cluster. The region is the innermost
-element that holds most of the cluster's text: all its lines are the article, also
+element that holds all lines of the cluster: all its lines are the article, also
 short ones, apart from menus, headers, footers, sidebars, notices, adverts, forms and reader
 comments, which are told by tag, role or class and are never lines.
 
@@ -56,8 +56,6 @@ _TOKEN = re.compile(r"[a-z]+")
 
 # Lines of the Gaussian kernel to either side, and its width.
 RADIUS, SIGMA = 2, 1.0
-# Share of the cluster's text that the region holds.
-HELD = 0.8
 
 
 class _Lines(HTMLParser):
@@ -154,13 +152,9 @@ def main_text(html: str) -> str:
     padded = np.pad(ratio, RADIUS, mode="edge")
     smooth = np.convolve(padded, kernel / kernel.sum(), mode="valid")
     content = smooth >= _threshold(smooth)
-    mass: dict[int, float] = {}
-    for (_, _, where), size, is_content in zip(lines, sizes, content):
-        if is_content:
-            for r in where:
-                mass[r] = mass.get(r, 0.0) + size
-    whole = sizes[content].sum()
-    region = max((r for r, m in mass.items() if m >= HELD * whole), default=None)
+    cluster = [set(where) for (_, _, where), is_content in zip(lines, content) if is_content]
+    # Of the elements around every line of the cluster the one opened last is the innermost.
+    region = max(set.intersection(*cluster), default=None)
     return "\n".join(t for t, _, where in lines if region is None or region in where)
 
 

@@ -514,6 +514,24 @@ def test_article_without_an_article_element():
     assert got[0] == "Title here" and got[-1] == "End." and len(got) == 7
 
 
+def sentences(n, of="an article"):
+    return "".join(f"<p>Sentence number {i} of {of} that goes on for quite some while.</p>" for i in range(n))
+
+
+@pytest.mark.parametrize("page, first, last, lines", [
+    (f"<article>{sentences(2, 'the intro')}<div>{sentences(12, 'the body')}</div></article>", "intro", "body", 14),
+    (f"<section>{sentences(12, 'one part')}</section><section>{sentences(2, 'two')}</section>", "one part", "two", 14),
+    (f"<div><div>{sentences(1, 'top')}<div>{sentences(9, 'inner')}</div></div>{sentences(1, 'end')}</div>",
+     "top", "end", 11),
+    (f"<table><tr><td>{sentences(10, 'a cell')}</td><td>{sentences(2, 'its side')}</td></tr></table>",
+     "a cell", "its side", 12),
+])
+def test_uneven_parts_of_an_article_stay_whole(page, first, last, lines):
+    menu = "<div><a href=1>a</a> <a href=2>b</a></div>"
+    got = html_text.main_text(f"<html><body>{menu}<div>{page}</div>{menu}</body></html>").split("\n")
+    assert first in got[0] and last in got[-1] and len(got) == lines
+
+
 # 7: neighbours
 
 
