@@ -5,7 +5,9 @@ characters and its tags. Ratios of text to tags are smoothed along the page with
 kernel, and lines above a threshold form the content cluster. The region is the innermost
 element that holds all lines of the cluster: all its lines are the article, also
 short ones, apart from menus, headers, footers, sidebars, notices, adverts, forms and reader
-comments, which are told by tag, role or class and are never lines.
+comments, which are told by tag, role or class and are never lines. Class names and ids count
+as wholes or by known first words, and not on headings; what they mark is read all the same
+if it holds the page's article, its h1 or most of its text.
 
 Null html counts as empty; a page without content has an empty text. Broken and cut
 markup is read as far as it goes. Every page comes back, repeated rows included.
@@ -39,7 +41,7 @@ ROLES = set(
     "alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search "
     "toolbar".split()
 )
-# Parts of class names and ids that mark what stands apart.
+# Class names and ids that mark what stands apart, alone or with words that say where or how.
 MARKS = set(
     "ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent "
     "cookie cookies disqus footer gdpr header masthead menu nav navbar navigation newsletter "
@@ -52,6 +54,24 @@ _ENDS_P = REGIONS | set(
     "address blockquote dd dl dt fieldset figure figcaption footer form h1 h2 h3 h4 h5 h6 header hr li "
     "nav ol p pre ul aside".split()
 )
+WHERE = set(
+    "area bar block body bottom bottoms box button buttons center col column container content desktop "
+    "footer global group header holder icon icons inner item items left link links list main mobile outer page "
+    "panel placeholder primary right row secondary section site slot small sticky top unit wrap wrapper zone".split()
+)
+# First or last words of names that mark what stands apart whatever else the name says, but
+# for words of a state the element or its neighbours are in.
+KNOWN = set(
+    "ad ads adv advert advertisement advertising breadcrumb breadcrumbs comment comments consent cookie "
+    "cookies disqus gdpr newsletter popup promoted share sharing social sponsor sponsored".split()
+)
+STATES = set(
+    "accepted active close closed disabled enabled fixed free has hidden is js loaded no not off on open "
+    "shown visible with without".split()
+)
+# Reader comments often have more text than the article.
+COMMENTS = set("comment comments disqus replies reply respond responses".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 _TOKEN = re.compile(r"[a-z]+")
 
 # Lines of the Gaussian kernel to either side, and its width.
@@ -59,40 +79,81 @@ RADIUS, SIGMA = 2, 1.0
 
 
 class _Lines(HTMLParser):
-    """Collects lines: text, tags, and the regions around them."""
+    """Collects lines: text with the marked elements around it, tags, and the regions around them."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
-        self._open: list[tuple[str, bool, int]] = []  # tag, stands apart, region or -1
-        self._text: list[str] = []
+        self.raw: list[tuple[list[tuple[str, tuple[int, ...]]], int, tuple[int, ...]]] = []
+        self._open: list[tuple[str, bool, int, tuple[int, ...]]] = []  # tag, apart, region or -1, marks
+        self._text: list[tuple[str, tuple[int, ...]]] = []
         self._tags = 1
         self._regions = 0
+        self._marks: list[bool] = []  # of each marked element, whether it is for comments
+        self._article: list[tuple[int, ...]] = []  # marks around each article or main element
+        self._title: list[tuple[int, ...]] = []  # and around each h1
 
     def _apart(self) -> bool:
         return bool(self._open) and self._open[-1][1]
 
+    def _marked(self) -> tuple[int, ...]:
+        return self._open[-1][3] if self._open else ()
+
     def end_line(self) -> None:
-        text = " ".join("".join(self._text).split())
-        if text:
-            where = tuple(r for _, _, r in self._open if r >= 0)
-            self.lines.append((text, self._tags, where))
+        if self._text:
+            where = tuple(r for _, _, r, _ in self._open if r >= 0)
+            self.raw.append((self._text, self._tags, where))
         self._text, self._tags = [], 1
 
     def handle_starttag(self, tag, attrs):
-        if tag in _ENDS_P and any(t == "p" for t, _, _ in self._open[-8:]):
+        if tag in _ENDS_P and any(t == "p" for t, *_ in self._open[-8:]):
             self._close("p")
         if tag not in INLINE:
             self.end_line()
         elif tag == "br":
-            self._text.append(" ")
+            self._text.append((" ", self._marked()))
         self._tags += 1
         if tag in VOID:
             return
         region = -1
         if tag in REGIONS:
             region, self._regions = self._regions, self._regions + 1
-        self._open.append((tag, self._apart() or _stands_apart(tag, attrs), region))
+        apart, marks = self._apart() or _stands_apart(tag, attrs), self._marked()
+        if not apart:
+            name = _mark(attrs)
+            if tag in ("article", "main"):
+                if not name:
+                    self._article.append(marks)
+            elif tag == "h1":
+                self._title.append(marks)
+            elif name and tag not in HEADINGS and tag not in ("html", "body"):
+                marks = (*marks, len(self._marks))
+                self._marks.append(not COMMENTS.isdisjoint(_TOKEN.findall(name)))
+        self._open.append((tag, apart, region, marks))
+
+    def lines(self) -> list[tuple[str, int, tuple[int, ...]]]:
+        """Text, tags and regions of the lines, without what marked elements hold."""
+        mass = [0] * len(self._marks)
+        total = 0
+        for chunks, _, _ in self.raw:
+            for text, marks in chunks:
+                size = len(text.strip())
+                total += size
+                for m in marks:
+                    mass[m] += size
+
+        def holds_article(m: int) -> bool:
+            if any(found and all(m in marks for marks in found) for found in (self._article, self._title)):
+                return True
+            known = any(m not in marks for marks in self._article)
+            return mass[m] * 2 > total and not known and not self._marks[m]
+
+        gone = {m for m in range(len(mass)) if not holds_article(m)}
+        out = []
+        for chunks, tags, where in self.raw:
+            text = " ".join("".join(t for t, marks in chunks if gone.isdisjoint(marks)).split())
+            if text:
+                out.append((text, tags, where))
+        return out
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -109,7 +170,7 @@ class _Lines(HTMLParser):
         """Ends the innermost open element of the name, and what is open inside it."""
         for i in range(len(self._open) - 1, -1, -1):
             if self._open[i][0] == tag:
-                if any(t not in INLINE for t, _, _ in self._open[i:]):
+                if any(t not in INLINE for t, *_ in self._open[i:]):
                     self.end_line()
                 del self._open[i:]
                 return
@@ -118,7 +179,7 @@ class _Lines(HTMLParser):
 
     def handle_data(self, data):
         if not self._apart():
-            self._text.append(data)
+            self._text.append((data, self._marked()))
 
 
 def _stands_apart(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -127,23 +188,33 @@ def _stands_apart(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     if tag in ("html", "body", "article", "main"):
         return False
     for name, value in attrs:
-        if name in ("class", "id") and value:
-            if not MARKS.isdisjoint(_TOKEN.findall(value.lower())):
-                return True
-        elif name == "role" and value and value.strip().lower() in ROLES:
+        if name == "role" and value and value.strip().lower() in ROLES:
             return True
-        elif name in ("hidden", "aria-hidden") and (value is None or value.lower() != "false"):
+        if name in ("hidden", "aria-hidden") and (value is None or value.lower() != "false"):
             return True
     return False
 
 
+def _mark(attrs: list[tuple[str, str | None]]) -> str:
+    """The first class name or id that marks what stands apart, or nothing."""
+    for name, value in attrs:
+        if name in ("class", "id") and value:
+            for one in value.lower().split():
+                words = [w for w in _TOKEN.findall(one) if len(w) > 1]
+                if MARKS.isdisjoint(words) or not STATES.isdisjoint(words):
+                    continue
+                if all(w in MARKS or w in WHERE for w in words) or not KNOWN.isdisjoint((words[0], words[-1])):
+                    return one
+    return ""
+
+
 def main_text(html: str) -> str:
     """The article's blocks in page order, joined by line breaks."""
     parser = _Lines()
     parser.feed(html)
     parser.close()
     parser.end_line()
-    lines = parser.lines
+    lines = parser.lines()
     if not lines:
         return ""
     sizes = np.array([len(t) for t, _, _ in lines], float)

@@ -532,6 +532,30 @@ def test_uneven_parts_of_an_article_stay_whole(page, first, last, lines):
     assert first in got[0] and last in got[-1] and len(got) == lines
 
 
+@pytest.mark.parametrize("name", [
+    "container no-sidebar", "has-sidebar", "content nav-open", "section-header", "widget", "share-enabled",
+])
+def test_marked_wrappers_keep_their_article(name):
+    want = [f"Sentence number {i} of an article that goes on for quite some while." for i in range(5)]
+    apart = f"<div class='comments'>{sentences(9, 'a comment')}</div><div class='cookie-notice'>{sentences(1)}</div>"
+    for page in (
+        f"<div class='{name}'><article>{sentences(5)}</article>{apart}</div>",
+        f"<div id='{name}'><div>{sentences(5)}</div></div>",
+        f"<div class='{name}'><h1>Title</h1>{sentences(5)}{apart}</div><div class='sidebar'>{sentences(2, 'a list')}</div>",
+    ):
+        got = html_text.main_text(f"<html><body>{page}</body></html>").split("\n")
+        assert [x for x in got if x != "Title"] == want
+
+
+def test_marks_are_whole_names():
+    page = f"<article><h2 class='header'>Part one</h2>{sentences(4)}<p class='no-comments'>Last words of it.</p></article>"
+    got = html_text.main_text(page).split("\n")
+    assert got[0] == "Part one" and got[-1] == "Last words of it." and len(got) == 6
+    for name in ("ad", "ad-300x250", "site-header", "cookie-banner", "comments-list", "social share", "left-sidebar"):
+        page = f"<div><h1>Title</h1>{sentences(4)}</div><div class='{name}'>{sentences(1, 'nothing')}</div>"
+        assert html_text.main_text(page).split("\n")[-1].startswith("Sentence number 3 of an article")
+
+
 # 7: neighbours
 
 
