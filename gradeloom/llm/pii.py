@@ -13,7 +13,9 @@ get equal pseudonyms in all documents and different values different ones.
 * Dates: the day within a cycle of 400 years, written as 189 times 773, whose two digits
   are shifted in turns; the result is a date that exists, in the same notation.
 
-Text without a digit or an at sign passes untouched, and so do numbers that fail their check.
+Numbers that fail their check pass untouched. An account or card number is looked for at every
+place where one can begin, in every length that it can have there: one with the length of its
+country or else the longest that is valid. So what stands before or behind a number never hides it.
 Lengths never change. A null text stays null, an empty one empty; other columns, names and
 repeated rows stay as they are.
 """
@@ -23,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradeloom.functions.answers import let
+
 ROUNDS = 8
 
 # Kinds in the order they are tried at a place. Possessive parts keep long words linear.
@@ -35,7 +39,15 @@ SECRET = (
     r"|(?i:password|passwd|pwd|token|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9]{8,128}+)"
     + _END
 )
-IBAN = _EDGE + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _END
+_IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _END
+# Lengths of account numbers by country, as registered.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ DZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
 DATE = (
     r"(?<![A-Za-z0-9.\-/])(?:[0-9]{4}([\-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([\-/.])[0-9]{1,2}\2[0-9]{4})"
     r"(?![A-Za-z0-9]|[.\-/][0-9])"
@@ -45,16 +57,22 @@ IPV4 = (
     r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![A-Za-z0-9]|\.[0-9])"
 )
 SSN = r"(?<![A-Za-z0-9\-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![A-Za-z0-9]|-[0-9])"
-CARD = (
-    _EDGE + r"(?:[0-9]{13,19}|[0-9]{4}([ \-])[0-9]{4}\3[0-9]{4}\3[0-9]{4}(?:\3[0-9]{3})?"
-    r"|[0-9]{4}([ \-])[0-9]{6}\4[0-9]{5})" + _END
+# The separators' references are numbered with the number as a group.
+_CARD = (
+    r"(?:[0-9]{13,19}|[0-9]{4}([ \-])[0-9]{4}\2[0-9]{4}\2[0-9]{4}(?:\2[0-9]{3})?"
+    r"|[0-9]{4}([ \-])[0-9]{6}\3[0-9]{5})" + _END
 )
 PHONE = (
     r"(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}" + _END
     + r"|(?<![A-Za-z0-9+])\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5}" + _END
 )
-# One pattern: references to separators are numbered in the whole.
-FOUND = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, IBAN, DATE, IPV4, SSN, CARD, PHONE))
+# The longest that can begin at each place where one can.
+IBANS, CARDS = (f"{_EDGE}(?=({p}))" for p in (_IBAN, _CARD))
+# One pattern, around a row's own account and card numbers: references to separators are
+# numbered in the whole.
+_BEFORE, _BEHIND = "|".join(f"(?:{p})" for p in (EMAIL, SECRET)), "|".join(f"(?:{p})" for p in (DATE, IPV4, SSN, PHONE))
+# Every text that anything is found in matches this.
+CAN_HOLD = r"[0-9@]|AKIA|(?i:password|passwd|pwd|token|secret|api_key|apikey)\s{0,3}[=:]"
 NO_HIT = "no_hit"
 
 
@@ -161,6 +179,63 @@ def iban_rest(value: Column) -> Column:
     )
 
 
+def _ibans(text: Column) -> Column:
+    """Valid account numbers, one at most for each place where one can begin."""
+
+    def valid(run: Column) -> Column:
+        def longest(parts: Column) -> Column:
+            cuts = F.transform(
+                F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(parts, 1, n), " ")
+            )
+            # Twelve characters are the fewest that the pattern takes.
+            right = F.filter(cuts, lambda c: (F.length(F.replace(c, F.lit(" "))) >= 12) & (iban_rest(c) == 1))
+            return let(right, lambda r: F.coalesce(F.get(F.filter(r, _registered), F.lit(0)), F.get(r, F.lit(0))))
+
+        return let(F.split(run, " "), longest)
+
+    return F.transform(F.regexp_extract_all(text, F.lit(IBANS), F.lit(1)), valid)
+
+
+def _registered(value: Column) -> Column:
+    country, length = F.substr(value, F.lit(1), F.lit(2)), F.length(F.replace(value, F.lit(" ")))
+    known = F.lit(False)
+    for n, countries in IBAN_LENGTHS.items():
+        known = known | ((length == n) & country.isin(countries.split()))
+    return known
+
+
+def _is_card(plain: Column) -> Column:
+    return F.length(plain).between(13, 19) & ~plain.rlike("^0+$") & (luhn_sum(plain, 1) % 10 == 0)
+
+
+def _cards(text: Column) -> Column:
+    """Valid card numbers, one at most for each place where one can begin."""
+
+    def valid(run: Column) -> Column:
+        # Sixteen digits in fours can have three more behind them.
+        short = F.when(F.length(run) - F.length(_digits(run)) == 4, F.substr(run, F.lit(1), F.lit(19)))
+        return F.when(_is_card(_digits(run)), run).when(_is_card(_digits(short)), short)
+
+    return F.transform(F.regexp_extract_all(text, F.lit(CARDS), F.lit(1)), valid)
+
+
+def _found(text: Column) -> Column:
+    """The pattern of all that can be personal in the text, with the numbers that are valid in it."""
+    # A longer number goes before its own beginning. Letters, digits, blanks and hyphens need no escape.
+    numbers = F.array_sort(
+        F.array_distinct(F.filter(F.concat(_ibans(text), _cards(text)), lambda v: v.isNotNull())),
+        lambda a, b: F.length(b) - F.length(a),
+    )
+    return let(
+        F.when(text.rlike("[0-9]{4}"), numbers).otherwise(F.array().cast("array<string>")),
+        lambda own: F.when(
+            F.size(own) > 0,
+            F.concat(F.lit(f"{_BEFORE}|{_EDGE}(?=[A-Z0-9]{{2}}[0-9]{{2}})(?:"), F.array_join(own, "|"),
+                     F.lit(f"){_END}|{_BEHIND}")),
+        ).otherwise(F.lit(f"{_BEFORE}|{_BEHIND}")),
+    )
+
+
 def _card(value: Column, key: str) -> Column:
     """The first digit stays, the middle is permuted, the check digit is made anew."""
     plain = _digits(value)
@@ -310,9 +385,7 @@ def kind_of(value: Column) -> Column:
         .when(value.rlike(_whole(IPV4)), "ipv4")
         .when(value.rlike(_whole(SSN)), "ssn")
         .when(value.rlike(_whole(PHONE)), "phone")
-        .when(
-            F.length(plain).between(13, 19) & ~plain.rlike("^0+$") & (luhn_sum(plain, 1) % 10 == 0), "card"
-        )
+        .when(_is_card(plain), "card")
         .otherwise(NO_HIT)
     )
 
@@ -340,15 +413,16 @@ def _phone(value: Column, key: str) -> Column:
 
 def pseudonymized(text: Column, key: str) -> Column:
     """The text with every personal value replaced."""
-    pieces = F.split(text, FOUND, -1)
-    hits = F.regexp_extract_all(text, F.lit(FOUND), F.lit(0))
-    kinds = F.transform(hits, lambda h: F.struct(h.alias("h"), kind_of(h).alias("k")))
-    new = F.transform(kinds, lambda x: pseudonym(x["h"], x["k"], key))
-    # One piece more than hits: the last one has nothing behind it.
-    joined = F.array_join(
-        F.zip_with(pieces, new, lambda p, h: F.concat(p, F.coalesce(h, F.lit("")))), ""
-    )
-    return F.when(text.rlike("[0-9@]"), joined).otherwise(text)
+
+    def replaced(found: Column) -> Column:
+        pieces = F.split(text, found, -1)
+        hits = F.regexp_extract_all(text, found, F.lit(0))
+        kinds = F.transform(hits, lambda h: F.struct(h.alias("h"), kind_of(h).alias("k")))
+        new = F.transform(kinds, lambda x: pseudonym(x["h"], x["k"], key))
+        # One piece more than hits: the last one has nothing behind it.
+        return F.array_join(F.zip_with(pieces, new, lambda p, h: F.concat(p, F.coalesce(h, F.lit("")))), "")
+
+    return F.when(text.rlike(CAN_HOLD), let(_found(text), replaced)).otherwise(text)
 
 
 def pseudonymize(docs: DataFrame, key: str = "pseudonyms", text_column: str = "text") -> DataFrame:
@@ -363,7 +437,11 @@ def pseudonymize(docs: DataFrame, key: str = "pseudonyms", text_column: str = "t
 
 def personal_values(text: Column) -> Column:
     """Kinds of the personal values of a text, in text order."""
-    hits = F.regexp_extract_all(text, F.lit(FOUND), F.lit(0))
-    kinds = F.filter(F.transform(hits, kind_of), lambda k: k != NO_HIT)
+    kinds = let(
+        _found(text),
+        lambda found: F.filter(
+            F.transform(F.regexp_extract_all(text, found, F.lit(0)), kind_of), lambda k: k != NO_HIT
+        ),
+    )
     none = F.array().cast("array<string>")
-    return F.when(text.rlike("[0-9@]"), kinds).otherwise(none)
+    return F.when(text.rlike(CAN_HOLD), kinds).otherwise(none)
