@@ -35,8 +35,8 @@ def private_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of 1024-token sequences, each window with the sources' own mixture."""
-    return packing.pack(docs, PACKING_TOKENIZER)
+    """Pieces of 1024-token sequences with their token ids, each window with the sources' own mixture."""
+    return packing.pack(docs, PACKING_TOKENIZER, with_ids=True)
 
 
 STAGES = [

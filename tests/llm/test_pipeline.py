@@ -69,6 +69,11 @@ def test_whole_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
 
 
+def test_packed_sequences_hold_their_tokens(spark):
+    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert all(len(r["ids"]) == 4 * r["length"] > 0 for r in got.select("ids", "length").collect())
+
+
 @pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
 def test_stage_edges(spark, name, stage):
     assert stage(spark, empty_docs(spark), SF).count() == 0
