@@ -21,7 +21,8 @@ from __future__ import annotations
 
 import codecs
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -35,10 +36,11 @@ from pyspark.sql import types as T
 from gradeloom.llm.batches import text_groups
 
 SPACE = "▁"
-# Chunks and pairs that a worker remembers before it starts anew; longer chunks are not kept.
-CHUNKS_REMEMBERED = 300_000
+WHOLE = ".+"
+# Words, chunks and pairs that a worker remembers; longer ones are not kept.
+WORDS_REMEMBERED = 300_000
 PAIRS_REMEMBERED = 500_000
-LONGEST_REMEMBERED = 64
+LONGEST_REMEMBERED = 48
 
 
 def _replace_each_byte(error: UnicodeError):
@@ -48,6 +50,24 @@ def _replace_each_byte(error: UnicodeError):
 codecs.register_error("each_byte", _replace_each_byte)
 
 
+class Remembered(dict):
+    """What `make` gives for a text; of results once full, those of the last fill are looked at first."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self._make, self._before = make, {}
+
+    def __missing__(self, text: str) -> bytes:
+        made = self._before.get(text)
+        if made is None:
+            made = self._make(text)
+        if len(text) <= LONGEST_REMEMBERED:
+            if len(self) >= WORDS_REMEMBERED:
+                self._before = dict(self)
+                self.clear()
+            self[text] = made
+        return made
+
+
 class Pieces:
     """Encoder and decoder of one model file.
 
@@ -78,8 +98,11 @@ class Pieces:
             for i in range(n)
         ]
         self.opening = {i for p, i in self.id_of.items() if p.startswith(SPACE)}
-        self._fits: dict[tuple[str, str], bool] = {}
-        self._chunks: dict[str, bytes] = {}
+        # Results by both pieces' numbers; the number behind the last piece stands for a text's start.
+        self._fits: dict[int, bool] = {}
+        self._start = n
+        self._lone: dict[str, int] = {}
+        self._words, self._chunks = Remembered(self._word), Remembered(self.ids_of_chunk)
         self.automaton = ahocorasick.Automaton()
         # The merges inside of each piece; pieces that their own characters do not lead to never come out.
         self._inside: dict[str, list[tuple[float, str, str]]] = {}
@@ -87,16 +110,19 @@ class Pieces:
             made = self.merges(piece)
             if len(piece) == 1 or (made and made[-1][1] == piece):
                 self._inside[piece] = made
-                self.automaton.add_word(piece, piece)
+                self.automaton.add_word(piece, self.id_of[piece])
         self.automaton.make_automaton()
         self._letters = {p for p in self._inside if len(p) == 1}
+        self._text_of = {i: p for p, i in self.id_of.items()}
+        self._size = [len(self._text_of.get(i, "")) for i in range(n)] + [0]
         self._cut = self._cutter()
+        self._spaces_part = self._cut.pattern != WHOLE
 
     def _cutter(self) -> re.Pattern:
         """Cuts a text where no piece can go on: characters that pieces hold together form a class."""
         longer = [p for p in self.score if len(p.lstrip(SPACE)) > 1]
         if any(SPACE in p.lstrip(SPACE) for p in self.score):
-            return re.compile(r".+", re.DOTALL)
+            return re.compile(WHOLE, re.DOTALL)
         leader: dict[str, str] = {}
 
         def lead(c: str) -> str:
@@ -131,7 +157,7 @@ class Pieces:
             made.append((best, parts[0], parts[-1]))
         return made
 
-    def fits(self, left: str, right: str) -> bool:
+    def fits(self, left: int, right: int) -> bool:
         """Whether two neighbours are what their joined text is merged to.
 
         The merges inside either run side by side, the better score first and the left one
@@ -139,7 +165,8 @@ class Pieces:
         """
         if len(self._fits) >= PAIRS_REMEMBERED:
             self._fits.clear()
-        ok = self._fits[left, right] = self._meet(left, right)
+        ok = left == self._start or self._meet(self._text_of[left], self._text_of[right])
+        self._fits[left << 21 | right] = ok
         return ok
 
     def _meet(self, left: str, right: str) -> bool:
@@ -160,67 +187,75 @@ class Pieces:
                 y = in_right[j][1]
                 j += 1
 
-    def _ends(self, chunk: str) -> Iterator[tuple[int, str]]:
+    def _ends(self, chunk: str) -> Iterator[tuple[int, int]]:
         """(index of the last character, piece) of all pieces in a chunk, in order.
 
-        A character that is no piece stands alone unless a piece goes over it.
+        A character that is no piece stands alone unless a piece goes over it; it gets a number
+        behind those of the pieces.
         """
-        if self._letters.issuperset(chunk):
-            yield from self.automaton.iter(chunk)
-            return
         at = 0
         for end, piece in self.automaton.iter(chunk):
             for i in range(at, end):
-                yield i, chunk[i]
+                yield i, self._number(chunk[i])
             at = max(at, end)
             yield end, piece
             if chunk[end] in self._letters:
                 at = end + 1
         for i in range(at, len(chunk)):
-            yield i, chunk[i]
+            yield i, self._number(chunk[i])
+
+    def _number(self, letter: str) -> int:
+        number = self._lone.get(letter)
+        if number is None:
+            number = self._lone[letter] = len(self._size)
+            self._size.append(1)
+            self._text_of[number] = letter
+        return number
 
-    def split(self, chunk: str) -> list[str]:
+    def split(self, chunk: str) -> list[int]:
         """The pieces of a chunk: last piece of each prefix, then backwards from the end."""
-        last: list[str | None] = [None] * (len(chunk) + 1)
-        last[0] = ""
-        known, meet = self._fits, self.fits
-        for end, piece in self._ends(chunk):
-            if last[end + 1] is None:
-                before = last[end + 1 - len(piece)]
-                if before is not None:
-                    ok = not before or known.get((before, piece))
-                    if ok or (ok is None and meet(before, piece)):
-                        last[end + 1] = piece
+        last = [-1] * (len(chunk) + 1)
+        last[0] = self._start
+        known, size = self._fits, self._size
+        whole = self._letters.issuperset(chunk)
+        full = -1
+        for end, piece in self.automaton.iter(chunk) if whole else self._ends(chunk):
+            if end == full:
+                continue
+            before = last[end + 1 - size[piece]]
+            if before >= 0:
+                pair = before << 21 | piece
+                if known[pair] if pair in known else self.fits(before, piece):
+                    last[end + 1] = piece
+                    full = end
         found, at = [], len(chunk)
         while at:
             found.append(last[at])
-            at -= len(last[at])
+            at -= size[last[at]]
         return found[::-1]
 
     def ids_of_chunk(self, chunk: str) -> bytes:
-        packed = self._chunks.get(chunk)
-        if packed is None:
-            ids: list[int] = []
-            for piece in self.split(chunk):
-                one = self.id_of.get(piece)
-                if one is not None:
-                    ids.append(one)
-                elif self.byte_ids:
-                    ids.extend(self.byte_ids[b] for b in piece.encode())
-                else:
-                    ids.append(self.unknown)
-            packed = np.array(ids, dtype="<i4").tobytes()
-            if len(chunk) <= LONGEST_REMEMBERED:
-                if len(self._chunks) >= CHUNKS_REMEMBERED:
-                    self._chunks.clear()
-                self._chunks[chunk] = packed
-        return packed
+        ids: list[int] = []
+        for piece in self.split(chunk):
+            if piece < self._start:
+                ids.append(piece)
+            elif self.byte_ids:
+                ids.extend(self.byte_ids[b] for b in self._text_of[piece].encode())
+            else:
+                ids.append(self.unknown)
+        return struct.pack(f"<{len(ids)}i", *ids)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word behind a space."""
+        return b"".join(map(self._chunks.__getitem__, self._cut.findall(SPACE + word)))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit integers."""
         if not text:
             return b""
-        return b"".join(map(self.ids_of_chunk, self._cut.findall(SPACE + text.replace(" ", SPACE))))
+        if self._spaces_part and "  " not in text and SPACE not in text and text[0] != " " and text[-1] != " ":
+            return b"".join(map(self._words.__getitem__, text.split(" ")))
+        return b"".join(map(self._chunks.__getitem__, self._cut.findall(SPACE + text.replace(" ", SPACE))))
 
     def decode(self, ids: list[int]) -> str:
         if not self.control.isdisjoint(ids):
@@ -245,11 +280,22 @@ def _worker(path: str) -> Pieces:
     return Pieces(path)
 
 
-def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Ids of every whole text: the id column, `n_tokens` long, `ids` array of int."""
+def _texts(model: Pieces, ids: pa.ListArray) -> pa.Array:
+    values, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_pylist()
+    return pa.array([model.decode(values[a:z].tolist()) for a, z in zip(ends, ends[1:])], type=pa.string())
+
+
+def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text",
+           with_decoded: bool = False) -> DataFrame:
+    """Ids of every whole text: the id column, `n_tokens` long, `ids` array of int.
+
+    `with_decoded` adds what the ids decode to, `decoded`, in the same pass over the texts.
+    """
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     out = T.StructType([rows.schema["id"], T.StructField("n_tokens", T.LongType()),
                         T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    if with_decoded:
+        out = T.StructType([*out.fields, T.StructField("decoded", T.StringType())])
 
     def run(batches):
         model = _worker(path)
@@ -258,11 +304,10 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
                 packed = [model.encode(t or "") for t in texts]
                 counts = np.array([len(p) // 4 for p in packed], dtype="int64")
                 ends = np.concatenate([[0], np.cumsum(counts)]).astype("int32")
-                values = np.frombuffer(b"".join(packed), dtype="<i4")
+                ids = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
+                made = [part.column("id"), pa.array(counts), ids]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(counts), pa.ListArray.from_arrays(ends, pa.array(values))],
-                    names=["id", "n_tokens", "ids"],
-                )
+                    [*made, _texts(model, ids)] if with_decoded else made, names=out.names)
 
     return rows.mapInArrow(run, out).withColumnRenamed("id", id_column)
 
@@ -275,9 +320,6 @@ def decode(encoded: DataFrame, path: str, id_column: str = "doc_id") -> DataFram
     def run(batches):
         model = _worker(path)
         for b in batches:
-            texts = [model.decode(ids.values.to_pylist() if ids.is_valid else []) for ids in b.column("ids")]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(texts, type=pa.string())], names=["id", "n_tokens", "ids", "decoded"]
-            )
+            yield pa.RecordBatch.from_arrays([*b.columns, _texts(model, b.column("ids"))], names=out.names)
 
     return rows.mapInArrow(run, out).withColumnRenamed("id", id_column)

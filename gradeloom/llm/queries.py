@@ -101,8 +101,8 @@ def op10_toxicity(spark, sf_dir) -> DataFrame:
 
 @QUERIES.add("op11_sentence_pieces")
 def op11_sentence_pieces(spark, sf_dir) -> DataFrame:
-    encoded = pieces.encode(table(spark, sf_dir, "documents"), PIECES)
-    return pieces.decode(encoded, PIECES).select(
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), PIECES, with_decoded=True)
+    return encoded.select(
         "doc_id", "n_tokens",
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
