@@ -475,7 +475,24 @@ def drop_near(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_colum
     fps = _representatives(rows)
     links = similar_links(docs, fps, lanes, pieces, code, bits_at(similarity, lanes), words, similarity,
                           id_column, text_column)
-    groups = _least_linked(fps, links)
+    return _without_late(docs, rows, _least_linked(fps, links), id_column, text_column)
+
+
+def drop_near_fingerprints(docs: DataFrame, words: int = 3, max_bits: int = 3, id_column: str = "doc_id",
+                           text_column: str = "text") -> DataFrame:
+    """The documents without near copies by their fingerprints alone: of each group the one with the smallest id stays.
+
+    Groups are those of `near_classes`: exact components of 64-bit fingerprints that differ in
+    `max_bits` or fewer. All columns stay as they are.
+    """
+    lanes, pieces, code = exact_pieces(max_bits)
+    rows = written(with_fingerprints(docs, words, lanes, id_column, text_column), "fingerprints")
+    groups = fingerprint_groups(rows, lanes, pieces, code, max_bits)
+    return _without_late(docs, rows, groups, id_column, text_column)
+
+
+def _without_late(docs: DataFrame, rows: DataFrame, groups: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """The documents but those whose fingerprint's group has a smaller id."""
     late = rows.join(groups, "fp").where(
         (F.coalesce("id", F.lit(2**63 - 1)) != F.col("least.id")) | (F.col("key") != F.col("least.key"))
     ).select("id", "key").distinct()
