@@ -25,8 +25,8 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def unlike_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies (five-word shingles, similarity 0.8 or more) the one with the smallest id."""
-    return simhash.drop_near(docs, words=5, similarity=0.8)
+    """Of near copies (fingerprints of three-word shingles, three bits apart or fewer) the one with the smallest id."""
+    return simhash.drop_near_fingerprints(docs, words=3, max_bits=3)
 
 
 def private_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
