@@ -23,6 +23,7 @@ Repeated rows are packed once each. No rows in, no rows out.
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from functools import lru_cache
@@ -30,6 +31,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -60,23 +62,71 @@ def byte_alphabet() -> dict[int, int]:
     return {b: b for b in own} | {b: 256 + i for i, b in enumerate(other)}
 
 
+# A chunk of more characters is encoded on its own.
+LONGEST_JOINED = 200
+
+
+def _as_ranks(path: str) -> tiktoken.Encoding | None:
+    """The vocabulary as ranks, where its ids rise in the order of its merges; None for any other."""
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    vocab, byte_of = model["vocab"], {chr(c): b for b, c in byte_alphabet().items()}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    merged = [vocab[a + b] for a, b in pairs]
+    letters = [vocab[c] for c in byte_of if c in vocab]
+    if len(letters) < 256 or merged != sorted(merged) or merged[0] < max(letters):
+        return None
+    made = {vocab[t] for t in byte_of} | set(merged)
+    ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if i in made}
+    return tiktoken.Encoding("merges", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+class _Words:
+    """Ids of many chunks: those that are one word in a single native call, others by their merges."""
+
+    def __init__(self, path: str):
+        tokenizer = Tokenizer.from_file(path)
+        wide = tokenizer.get_vocab_size() > 1 << 16
+        self.code, self.kind = ("I", "<u4") if wide else ("H", "<u2")
+        self.merges, self.matches = tokenizer.model, split_pattern(public_tokenizers.PATTERN)
+        self.alphabet = byte_alphabet()
+        self.ranks = _as_ranks(path)
+        self.line = self.one("\n")
+
+    def one(self, chunk: str) -> bytes:
+        ids = array(self.code)
+        for m in self.matches.findall(chunk):
+            ids.extend([t.id for t in self.merges.tokenize(m.encode().decode("latin-1").translate(self.alphabet))])
+        return ids.tobytes()
+
+    def many(self, chunks: list[str]) -> list[bytes]:
+        """A line break between words is a match and a token of its own, at which the ids are cut."""
+        if self.ranks is None:
+            return [self.one(c) for c in chunks]
+        out: list[bytes | None] = [None] * len(chunks)
+        at = []
+        for i, chunk in enumerate(chunks):
+            word = chunk[1:] if chunk[:1] in (" ", "\n") else chunk
+            if len(chunk) <= LONGEST_JOINED and word.split() == [word]:
+                at.append(i)
+            else:
+                out[i] = self.one(chunk)
+        # A word behind a line break has its own ids behind that of the break.
+        text = "\n".join([chunks[i].removeprefix("\n") for i in at])
+        ids = np.array(self.ranks.encode_ordinary(text), dtype=self.kind)
+        cuts = np.flatnonzero(ids == np.frombuffer(self.line, self.kind)[0])
+        width, packed = ids.itemsize, ids.tobytes()
+        begins, ends = [0, *((cuts + 1) * width).tolist()], [*(cuts * width).tolist(), len(packed)]
+        for i, a, b in zip(at, begins, ends, strict=bool(at)):
+            out[i] = self.line + packed[a:b] if chunks[i][:1] == "\n" else packed[a:b]
+        return out
+
+
 @lru_cache(maxsize=2)
 def _worker(path: str) -> tuple[ChunkEncoder, str]:
     """Encoder of a byte-level vocabulary, by its merges alone: special tokens are ordinary text."""
-    tokenizer = Tokenizer.from_file(path)
-    wide = tokenizer.get_vocab_size() > 1 << 16
-    code = "I" if wide else "H"
-    merges, matches = tokenizer.model, split_pattern(public_tokenizers.PATTERN)
-    alphabet = byte_alphabet()
-
-    def encode(chunk: str) -> bytes:
-        ids = array(code)
-        for m in matches.findall(chunk):
-            ids.extend([t.id for t in merges.tokenize(m.encode().decode("latin-1").translate(alphabet))])
-        return ids.tobytes()
-
-    encoder = ChunkEncoder(lambda chunks: [encode(c) for c in chunks], REMEMBERED)
-    return encoder, "<u4" if wide else "<u2"
+    words = _Words(path)
+    return ChunkEncoder(words.many, REMEMBERED), words.kind
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int, id_column: str, text_column: str,
