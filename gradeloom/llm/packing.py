@@ -24,6 +24,7 @@ Repeated rows are packed once each. No rows in, no rows out.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from functools import lru_cache
@@ -62,8 +63,8 @@ def byte_alphabet() -> dict[int, int]:
     return {b: b for b in own} | {b: 256 + i for i, b in enumerate(other)}
 
 
-# A chunk of more characters is encoded on its own.
-LONGEST_JOINED = 200
+# A run of so much white space is beyond what the native encoder's pattern takes.
+LONG_SPACE = re.compile(r"\s{200}")
 
 
 def _as_ranks(path: str) -> tiktoken.Encoding | None:
@@ -81,8 +82,12 @@ def _as_ranks(path: str) -> tiktoken.Encoding | None:
     return tiktoken.Encoding("merges", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-class _Words:
-    """Ids of many chunks: those that are one word in a single native call, others by their merges."""
+class _Encoder:
+    """Ids of texts in the vocabulary's merges; special tokens are ordinary text.
+
+    A vocabulary that can be read as ranks encodes whole texts natively; for any other, and for
+    texts with very long white space, chunks are encoded one by one and remembered.
+    """
 
     def __init__(self, path: str):
         tokenizer = Tokenizer.from_file(path)
@@ -91,42 +96,25 @@ class _Words:
         self.merges, self.matches = tokenizer.model, split_pattern(public_tokenizers.PATTERN)
         self.alphabet = byte_alphabet()
         self.ranks = _as_ranks(path)
-        self.line = self.one("\n")
+        self.chunks = ChunkEncoder(lambda chunks: [self._chunk(c) for c in chunks], REMEMBERED)
 
-    def one(self, chunk: str) -> bytes:
+    def _chunk(self, chunk: str) -> bytes:
         ids = array(self.code)
         for m in self.matches.findall(chunk):
             ids.extend([t.id for t in self.merges.tokenize(m.encode().decode("latin-1").translate(self.alphabet))])
         return ids.tobytes()
 
-    def many(self, chunks: list[str]) -> list[bytes]:
-        """A line break between words is a match and a token of its own, at which the ids are cut."""
-        if self.ranks is None:
-            return [self.one(c) for c in chunks]
-        out: list[bytes | None] = [None] * len(chunks)
-        at = []
-        for i, chunk in enumerate(chunks):
-            word = chunk[1:] if chunk[:1] in (" ", "\n") else chunk
-            if len(chunk) <= LONGEST_JOINED and word.split() == [word]:
-                at.append(i)
-            else:
-                out[i] = self.one(chunk)
-        # A word behind a line break has its own ids behind that of the break.
-        text = "\n".join([chunks[i].removeprefix("\n") for i in at])
-        ids = np.array(self.ranks.encode_ordinary(text), dtype=self.kind)
-        cuts = np.flatnonzero(ids == np.frombuffer(self.line, self.kind)[0])
-        width, packed = ids.itemsize, ids.tobytes()
-        begins, ends = [0, *((cuts + 1) * width).tolist()], [*(cuts * width).tolist(), len(packed)]
-        for i, a, b in zip(at, begins, ends, strict=bool(at)):
-            out[i] = self.line + packed[a:b] if chunks[i][:1] == "\n" else packed[a:b]
-        return out
+    def encode(self, texts: list[str]) -> list[bytes]:
+        slow = [i for i, t in enumerate(texts) if self.ranks is None or LONG_SPACE.search(t)]
+        made = dict(zip(slow, self.chunks.encode([texts[i] for i in slow])))
+        return [made[i] if i in made else array(self.code, self.ranks.encode_ordinary(t)).tobytes()
+                for i, t in enumerate(texts)]
 
 
 @lru_cache(maxsize=2)
-def _worker(path: str) -> tuple[ChunkEncoder, str]:
-    """Encoder of a byte-level vocabulary, by its merges alone: special tokens are ordinary text."""
-    words = _Words(path)
-    return ChunkEncoder(words.many, REMEMBERED), words.kind
+def _worker(path: str) -> _Encoder:
+    """One vocabulary per Python worker, kept between its tasks."""
+    return _Encoder(path)
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int, id_column: str, text_column: str,
@@ -140,7 +128,8 @@ def tokenized(docs: DataFrame, path: str, end_id: int, id_column: str, text_colu
     )
 
     def run(batches):
-        encoder, kind = _worker(path)
+        encoder = _worker(path)
+        kind = encoder.kind
         width, end = int(kind[-1]), np.array([end_id], dtype=kind).tobytes()
         for b in batches:
             for part, texts in text_groups(b, "text"):
