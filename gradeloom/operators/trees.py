@@ -1,8 +1,10 @@
 """Reward trees kept as node tables.
 
 A node has `tree_id`, `node_id`, `parent_id` (null for a root), `depth`, `reward`,
-`log_prob` and `path` (child places from the root). Trees are shallow, so work on
-levels is a fixed number of joins.
+`log_prob` and `path` (child places from the root). Where the caller promises shallow
+trees (`max_depth` of `SHALLOW` or less), work on levels is one plan with a join per level. Without
+that promise trees may have any depth: links are followed by doubling, chains are contracted
+and tours are ranked, in rounds that grow with the logarithm of a tree's size.
 """
 
 from __future__ import annotations
@@ -13,11 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.functions.sequences import bernoulli_variance, binary_entropy
-from gradeloom.operators.skew import join_keyed, with_group_running, with_group_stats
+from gradeloom.operators.pointers import counted, followed, list_ranks
+from gradeloom.operators.skew import join_keyed, with_group_index, with_group_running, with_group_stats
 from gradeloom.operators.statistics import pearson_of_moments
 from gradeloom.session import stored
 
 SIBLING_KEYS = ["tree_id", "parent_id"]
+# Up to so many levels one plan joins level by level.
+SHALLOW = 8
 MIN_SPREAD = 0.1
 REGIMES = ["dead_correct", "dead_wrong", "stale", "informative"]
 
@@ -79,11 +84,21 @@ def _within_depth(nodes: DataFrame, max_depth: int) -> DataFrame:
     return nodes.withColumn("depth", F.when(depth <= max_depth, depth).otherwise(F.raise_error(lost)))
 
 
-def node_to_root(nodes: DataFrame, max_depth: int) -> DataFrame:
-    """Tags each node with its root, one join per level.
+def _is_shallow(max_depth: int | None) -> bool:
+    return max_depth is not None and max_depth <= SHALLOW
 
-    A node that no root leads to within `max_depth` levels is an error.
+
+def node_to_root(nodes: DataFrame, max_depth: int | None = None, hot_rows: int | None = None) -> DataFrame:
+    """Tags each node with its root.
+
+    Shallow trees take one join per level, and a node that no root leads to within `max_depth`
+    is an error. Otherwise pointers to ancestors double their reach in each round; a parent that
+    does not exist, and a cycle, are errors.
     """
+    if not _is_shallow(max_depth):
+        links = nodes.select(F.col("node_id").alias("id"), F.col("parent_id").alias("to"), F.col("parent_id").isNull().alias("stop"))
+        roots = followed(links, [], hot_rows=hot_rows)
+        return roots.select(F.col("id").alias("node_id"), F.coalesce("to", "id").alias("root_id"))
     tagged = nodes.where(F.col("parent_id").isNull()).select("node_id", F.col("node_id").alias("root_id"))
     levels = [tagged]
     for _ in range(max_depth):
@@ -101,12 +116,49 @@ def level_sizes(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
 
 
-def walk_order(nodes: DataFrame, max_depth: int, hot_rows: int | None = None) -> DataFrame:
-    """Place of each node in its tree's pre-order listing, from 0.
+def _toured(nodes: DataFrame, hot_rows: int | None) -> DataFrame:
+    """Pre-order places of trees of any depth.
 
-    Subtree sizes go up level by level, then places come down: a child follows its
-    parent and the subtrees of its earlier siblings. No tree is sorted as a whole.
+    The Euler tour enters and leaves each node once. Entering a child comes after entering
+    its parent or leaving its earlier sibling; leaving a node after leaving its last child. The
+    number of nodes entered before is the rank in that list.
     """
+    rows = nodes.select("tree_id", "node_id", "parent_id", "depth", F.col("path")[F.size("path") - 1].alias("__child"))
+    children = with_group_index(
+        rows.where(F.col("parent_id").isNotNull()), SIBLING_KEYS, [F.col("__child")], "__at", hot_rows)
+    placed = stored(
+        children.unionByName(rows.where(F.col("parent_id").isNull()).withColumn("__at", F.lit(None).cast("bigint"))), "placed")
+    earlier = placed.where(F.col("__at").isNotNull()).select(
+        *SIBLING_KEYS, (F.col("__at") + 1).alias("__at"), F.col("node_id").alias("__earlier"))
+    last = placed.groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.max_by("node_id", "__at").alias("__last"))
+
+    def arc(node: str, entered: bool | Column) -> Column:
+        entered = F.lit(entered) if isinstance(entered, bool) else entered
+        return F.struct(F.col(node).alias("node"), entered.alias("entered"))
+
+    enter = placed.join(earlier, [*SIBLING_KEYS, "__at"], "left").select(
+        "tree_id", arc("node_id", True).alias("id"),
+        F.when(F.col("__earlier").isNotNull(), arc("__earlier", False))
+        .when(F.col("parent_id").isNotNull(), arc("parent_id", True)).alias("to"),
+        F.lit(1).cast("bigint").alias("weight"))
+    leave = placed.select("tree_id", "node_id").join(last, ["tree_id", "node_id"], "left").select(
+        "tree_id", arc("node_id", False).alias("id"),
+        F.when(F.col("__last").isNotNull(), arc("__last", False)).otherwise(arc("node_id", True)).alias("to"),
+        F.lit(0).cast("bigint").alias("weight"))
+    ranks = list_ranks(stored(enter.unionByName(leave), "tour"), ["tree_id"]).where("id.entered").select(
+        "tree_id", F.col("id.node").alias("node_id"), F.col("rank").alias("place"))
+    return placed.select("tree_id", "node_id", "depth").join(ranks, ["tree_id", "node_id"])
+
+
+def walk_order(nodes: DataFrame, max_depth: int | None = None, hot_rows: int | None = None) -> DataFrame:
+    """Place of each node in its tree's pre-order listing, from 0. No tree is sorted as a whole.
+
+    In shallow trees subtree sizes go up level by level, then places come down: a child
+    follows its parent and the subtrees of its earlier siblings. In others a tour around the tree
+    is ranked as a list.
+    """
+    if not _is_shallow(max_depth):
+        return _toured(nodes if max_depth is None else _within_depth(nodes, max_depth), hot_rows)
     keys = ["tree_id", "node_id"]
     nodes = _within_depth(nodes, max_depth)
     rows = nodes.select(*keys, "parent_id", "depth", F.col("path")[F.size("path") - 1].alias("__child"))
@@ -141,12 +193,103 @@ def walk_order(nodes: DataFrame, max_depth: int, hot_rows: int | None = None) ->
     return reduce(DataFrame.unionByName, placed)
 
 
-def propagate_rewards(nodes: DataFrame, max_depth: int) -> DataFrame:
+def _mean_of(known: Column, n: Column, own: Column) -> Column:
+    return F.when(n > 0, known / n).otherwise(own)
+
+
+def _contracted(nodes: DataFrame, hot_rows: int | None) -> DataFrame:
+    """(`tree_id`, `node_id`, `value`, `is_leaf`): rewards moved up trees of any depth.
+
+    Each round rakes: settled nodes are added to the sums of their parents, and parents with no
+    child open are settled. A parent with one child open is a link: its value is a function of that
+    child's, x -> a x + b, or c where the child has none. Links are followed by doubling to the
+    first node that is none, composing the functions, and take their value when that node is
+    settled. After a round every open node but links has two open children or more, so
+    rounds follow the logarithm of the leaves.
+    """
+    keys = ["tree_id", "node_id"]
+    kids = nodes.groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("open"))
+    rows = nodes.select(*keys, "parent_id", F.col("reward").cast("double").alias("own")).join(kids, keys, "left")
+    table, found = counted(rows, "tree", left=F.col("open").isNotNull())
+    leaves = table.where("open is null")
+    new = leaves.select(*keys, "parent_id", F.col("own").alias("value"))
+    settled = [new.select(*keys, "value", F.lit(True).alias("is_leaf"))]
+    zero = F.lit(0)
+    branches = table.where("open is not null").withColumns(
+        {"known": F.lit(0.0), "n": zero.cast("bigint")})
+    none = F.lit(None)
+    links = branches.limit(0).select(
+        *keys, "parent_id", none.cast(nodes.schema["node_id"].dataType).alias("to"),
+        *[none.cast("double").alias(c) for c in "abc"])
+    left = found["left"]
+    while left:
+        up = new.groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(
+            F.sum("value").alias("__known"), F.count("value").alias("__n"), F.count(F.lit(1)).alias("__settled"))
+        raked = branches.join(up, keys, "left").select(
+            *keys, "parent_id", "own",
+            (F.col("open") - F.coalesce("__settled", zero)).alias("open"),
+            (F.col("known") + F.coalesce("__known", F.lit(0.0))).alias("known"),
+            (F.col("n") + F.coalesce("__n", zero)).alias("n"))
+        raked, found = counted(raked, "raked", single=F.col("open") == 1, many=F.col("open") > 1)
+        ready = raked.where("open = 0").select(
+            *keys, "parent_id", _mean_of(F.col("known"), F.col("n"), F.col("own")).alias("value"))
+        branches = raked.where("open > 1")
+        if found["single"]:
+            single = raked.where("open = 1")
+            # All nodes of these tables are yet to be added to their parent, so it is the only one there.
+            child = raked.select(*keys, "parent_id").unionByName(
+                links.select(*keys, "parent_id")).groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(
+                F.min("node_id").alias("to"))
+            n, known = F.col("n"), F.col("known")
+            links = links.unionByName(single.join(child, keys).select(
+                *keys, "parent_id", "to", (1.0 / (n + 1)).alias("a"), (known / (n + 1)).alias("b"),
+                _mean_of(known, n, F.col("own")).alias("c")))
+            links = stored(_composed(links, ready.unionByName(branches.select(*keys, "parent_id", none.cast("double").alias("value"))), hot_rows), "links")
+        value = F.when(F.col("value").isNull(), F.col("c")).otherwise(F.col("a") * F.col("value") + F.col("b"))
+        arrived = ready.select("tree_id", F.col("node_id").alias("to"), "value", F.lit(True).alias("__ready"))
+        met, seen = counted(
+            join_keyed(links, arrived, ["tree_id", "to"], "left", hot_rows).withColumn("value", value),
+            "met", left=F.col("__ready").isNull())
+        solved = met.where("__ready").select(*keys, "parent_id", "value")
+        links = met.where("__ready is null").select(links.columns)
+        new = stored(ready.unionByName(solved), "settled")
+        settled.append(new.select(*keys, "value", F.lit(False).alias("is_leaf")))
+        still, before = seen["left"] + found["many"], left
+        if still == before:
+            raise ValueError(f"{left} nodes have no leaf below them: their parents form a cycle")
+        left = still
+    return reduce(DataFrame.unionByName, settled)
+
+
+def _composed(links: DataFrame, others: DataFrame, hot_rows: int | None) -> DataFrame:
+    """The links with their function over the whole way to the first node that is no link."""
+    def over(own: dict[str, Column], beyond: dict[str, Column]) -> dict[str, Column]:
+        def through(x: Column) -> Column:
+            return own["a"] * x + own["b"]
+
+        c = F.when(beyond["c"].isNull(), own["c"]).otherwise(through(beyond["c"]))
+        return {"a": own["a"] * beyond["a"], "b": through(beyond["b"]), "c": c, "parent_id": own["parent_id"]}
+
+    carried = ["a", "b", "c", "parent_id"]
+    stops = others.select("tree_id", F.col("node_id").alias("id"), F.lit(True).alias("stop"))
+    rows = links.select("tree_id", F.col("node_id").alias("id"), "to", F.lit(False).alias("stop"), *carried)
+    at = followed(rows.unionByName(stops, allowMissingColumns=True), ["tree_id"], carried, over, hot_rows)
+    return at.where("not stop").select("tree_id", F.col("id").alias("node_id"), "parent_id", "to", "a", "b", "c")
+
+
+def propagate_rewards(nodes: DataFrame, max_depth: int | None = None, hot_rows: int | None = None) -> DataFrame:
     """Every inner node takes the mean of its children, from the leaves up.
 
-    The same join tells which nodes have no children: `is_leaf`. A node deeper than
-    `max_depth` is an error.
+    The same join tells which nodes have no children: `is_leaf`. A child without a value counts
+    for nothing; a node none of whose children has one keeps its own. In shallow trees levels are joined one
+    after another, and a node deeper than `max_depth` is an error; others are contracted.
     """
+    if not _is_shallow(max_depth):
+        nodes = nodes.drop("is_leaf")
+        if max_depth is not None:
+            nodes = _within_depth(nodes, max_depth)
+        values = _contracted(nodes, hot_rows)
+        return nodes.join(values, ["tree_id", "node_id"]).withColumn("reward", F.col("value")).select(*nodes.columns, "is_leaf")
     nodes = _within_depth(nodes.drop("is_leaf"), max_depth)
     below = nodes.where(F.col("depth") == max_depth).withColumn("is_leaf", F.lit(True))
     done = [below]

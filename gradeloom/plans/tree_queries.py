@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gradeloom.operators import advantages as A
 from gradeloom.operators import statistics as X
 from gradeloom.operators import trees as T
+from gradeloom.operators.skew import with_group_index
 from gradeloom.plans.base import LINES_SQL, QuerySet, lines, table
 from gradeloom.plans.rollout_queries import rounded
 from gradeloom.session import stored
@@ -264,12 +265,12 @@ def shallowest_failure(spark, sf_dir):
 @QUERIES.add(
     "fitness_weights",
     f"""WITH {PROPAGATED_SQL}, {fitness_sql('vp', 'f')},
-        adv AS (SELECT *, avg(reward) OVER w AS m, max(reward) OVER w - min(reward) OVER w AS spread FROM vp WHERE parent_id IS NOT NULL
+        adv AS MATERIALIZED (SELECT *, avg(reward) OVER w AS m, max(reward) OVER w - min(reward) OVER w AS spread FROM vp WHERE parent_id IS NOT NULL
           WINDOW w AS (PARTITION BY tree_id, parent_id)),
-        j AS (SELECT a.tree_id, a.node_id, (reward - m) / (m * (1 - m) + 1e-6) AS advantage, coalesce(f.F, 1.0) AS F
+        j AS MATERIALIZED (SELECT a.tree_id, a.node_id, (reward - m) / (m * (1 - m) + 1e-6) AS advantage, coalesce(f.F, 1.0) AS F
           FROM adv a LEFT JOIN ffit f ON f.tree_id = a.tree_id WHERE spread >= 0.1),
-        t AS (SELECT sum(F) AS s, count(*) AS n FROM j)
-        SELECT tree_id, node_id, round(F / s * n, 6) AS weight, round(advantage * (F / s * n), 4) + 0.0 AS advantage FROM j, t""",
+        t AS (SELECT *, sum(F) OVER () AS s, count(*) OVER () AS n FROM j)
+        SELECT tree_id, node_id, round(F / s * n, 6) AS weight, round(advantage * (F / s * n), 4) + 0.0 AS advantage FROM t""",
 )
 def fitness_weights(spark, sf_dir):
     tree = settled(spark, sf_dir)
@@ -292,6 +293,70 @@ def join_tree_weight(spark, sf_dir):
     return rounded(T.join_tree_weight(tree, fit).select("node_id", "F"))
 
 
+# --- trees of any depth: a chain of all lines of a supplier, most with a leaf beside it --------
+
+_LINE_OF = "l_orderkey, l_linenumber, l_partkey, l_shipdate, l_extendedprice"
+
+DEEP_SQL = f"""deep AS MATERIALIZED (
+    SELECT l_suppkey AS tree_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY {_LINE_OF}) - 1 AS k,
+      count(*) OVER (PARTITION BY l_suppkey) AS n, l_quantity >= 20 AS has_leaf, l_linenumber % 2 = 0 AS leaf_first,
+      CASE WHEN l_quantity >= 45 THEN 1.0 ELSE 0.0 END::DOUBLE AS leaf FROM lineitem),
+  up AS (
+    SELECT tree_id, k, CASE WHEN has_leaf THEN leaf ELSE 0.0 END AS v FROM deep WHERE k = n - 1
+    UNION ALL SELECT d.tree_id, d.k, CASE WHEN has_leaf THEN (leaf + v) / 2 ELSE v END
+    FROM up u JOIN deep d ON d.tree_id = u.tree_id AND d.k = u.k - 1),
+  walk AS (SELECT *, k + count(*) FILTER (has_leaf AND leaf_first) OVER (PARTITION BY tree_id ORDER BY k
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS place,
+      n - k + count(*) FILTER (has_leaf) OVER (PARTITION BY tree_id ORDER BY k
+        ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS size FROM deep)"""
+
+
+def deep_nodes(spark, sf_dir):
+    """A tree per supplier as deep as it has lines."""
+    order = [F.col(c) for c in _LINE_OF.split(", ")]
+    rows = with_group_index(table(spark, sf_dir, "lineitem"), ["l_suppkey"], order, "k")
+    name = lambda kind, k: F.concat_ws("-", F.lit(kind), "l_suppkey", k)
+    none = F.lit(None).cast("double")
+    chain = rows.select(
+        F.col("l_suppkey").alias("tree_id"), name("s", F.col("k")).alias("node_id"),
+        F.when(F.col("k") > 0, name("s", F.col("k") - 1)).alias("parent_id"),
+        F.col("k").cast("int").alias("depth"), F.lit(0.0).alias("reward"), none.alias("log_prob"),
+        F.array(F.lit(1)).alias("path"))
+    leaves = rows.where("l_quantity >= 20").select(
+        F.col("l_suppkey").alias("tree_id"), name("x", F.col("k")).alias("node_id"),
+        name("s", F.col("k")).alias("parent_id"), (F.col("k") + 1).cast("int").alias("depth"),
+        F.when(F.col("l_quantity") >= 45, 1.0).otherwise(0.0).alias("reward"), none.alias("log_prob"),
+        F.array(F.when(F.col("l_linenumber") % 2 == 0, 0).otherwise(2)).alias("path"))
+    return stored(chain.unionByName(leaves), "deep_nodes")
+
+
+@QUERIES.add(
+    "propagate_rewards_deep",
+    f"""WITH RECURSIVE {DEEP_SQL} SELECT tree_id, 's-' || tree_id || '-' || k AS node_id, round(v, 6) AS reward FROM up
+        UNION ALL SELECT tree_id, 'x-' || tree_id || '-' || k, leaf FROM deep WHERE has_leaf""",
+)
+def propagate_rewards_deep(spark, sf_dir):
+    return rounded(T.propagate_rewards(deep_nodes(spark, sf_dir)).select("tree_id", "node_id", "reward"))
+
+
+@QUERIES.add(
+    "node_to_root_deep",
+    f"""WITH RECURSIVE {DEEP_SQL} SELECT 's-' || tree_id || '-' || k AS node_id, 's-' || tree_id || '-0' AS root_id FROM deep
+        UNION ALL SELECT 'x-' || tree_id || '-' || k, 's-' || tree_id || '-0' FROM deep WHERE has_leaf""",
+)
+def node_to_root_deep(spark, sf_dir):
+    return T.node_to_root(deep_nodes(spark, sf_dir))
+
+
+@QUERIES.add(
+    "walk_order_deep",
+    f"""WITH RECURSIVE {DEEP_SQL} SELECT 's-' || tree_id || '-' || k AS node_id, place FROM walk
+        UNION ALL SELECT 'x-' || tree_id || '-' || k, place + CASE WHEN leaf_first THEN 1 ELSE size - 1 END FROM walk WHERE has_leaf""",
+)
+def walk_order_deep(spark, sf_dir):
+    return T.walk_order(deep_nodes(spark, sf_dir)).select("node_id", "place")
+
+
 # --- grafting -----------------------------------------------------------------
 
 GRAFT_SQL = f"""{NODES_SQL},
