@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gradeloom.operators.ordering import quantile_bounds, with_running_totals
-from gradeloom.operators.skew import join_keyed
-from gradeloom.session import stored
+from gradeloom.session import shuffle_partitions, stored
 
 MIN_DEVIATION = 1e-12
 
@@ -31,34 +36,78 @@ def pearson_guarded(df: DataFrame, x: str, y: str, by: list[str] | None = None)
     )
 
 
-def average_ranks(pairs: DataFrame, column: str, name: str) -> DataFrame:
-    """One row per distinct value with the mean of the places its `n` rows fill (from 1)."""
-    counts = pairs.groupBy(column).agg(F.sum("n").alias("__n"))
-    bounds = quantile_bounds(counts, F.col(column))
-    placed = with_running_totals(counts, [F.col(column)], {"__below": F.col("__n")}, bounds)
-    return placed.select(column, (F.col("__below") + (F.col("__n") + 1) / 2).alias(name))
-
+def _local_ranks(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
+    """Places inside one sorted partition: rows `below` a value and its `ties` there.
 
-def spearman(df: DataFrame, x: str, y: str, hot_rows: int | None = None) -> DataFrame:
+    Rows of the first and the last value also keep it as `edge`, since other partitions may hold it.
+    """
+    rows = pa.Table.from_batches(batches)
+    if not rows.num_rows:
+        return
+    rows = rows.combine_chunks()
+    value = rows.column("value").chunk(0)
+    differs = pc.not_equal(value[1:], value[:-1]).to_numpy(zero_copy_only=False)
+    if pa.types.is_floating(value.type):
+        nan = np.isnan(value.to_numpy(zero_copy_only=False))
+        differs &= ~(nan[1:] & nan[:-1])
+    starts = np.concatenate([[0], np.flatnonzero(differs) + 1])
+    ties = np.diff(np.append(starts, len(value)))
+    run = np.repeat(np.arange(len(starts)), ties)
+    edge = (run == 0) | (run == len(starts) - 1)
+    columns = {
+        "part": pa.array(np.full(len(value), part, "int32")), "below": pa.array(starts[run]),
+        "ties": pa.array(ties[run]), "edge": pc.if_else(pa.array(edge), value, pa.scalar(None, value.type)),
+    }
+    for name, column in columns.items():
+        rows = rows.append_column(name, column)
+    yield from rows.drop_columns(["value"]).to_batches()
+
+
+def with_average_rank(df: DataFrame, column: str, name: str, task_rows: int | None = None) -> DataFrame:
+    """The rows with, in place of a column, the mean of the places its value fills (from 1), as a written table.
+
+    Rows are range-partitioned and ranked where they are. What a partition lacks are the rows of
+    earlier ones and, for its first and last value, how many equal ones others hold: three rows per
+    partition. A value that fills whole partitions is cut at random, so none grows with it. The
+    column must hold no nulls; NaN ranks above all numbers. There are as many partitions as the session
+    shuffles to, or one for `task_rows` rows.
+    """
+    parts = shuffle_partitions(df.sparkSession) if task_rows is None else df.count() // task_rows + 1
+    others = [c for c in df.columns if c != column]
+    rows = df.select(*others, F.col(column).alias("value"), F.rand(11).alias("__cut"))
+    ranged = rows.repartitionByRange(parts, "value", "__cut").sortWithinPartitions("value").drop("__cut")
+    kind = ranged.schema["value"].dataType
+    out = T.StructType([*[ranged.schema[c] for c in others], T.StructField("part", T.IntegerType()),
+                        T.StructField("below", T.LongType()), T.StructField("ties", T.LongType()), T.StructField("edge", kind)])
+
+    def place(batches):
+        yield from _local_ranks(batches, TaskContext.get().partitionId())
+
+    local = stored(ranged.mapInArrow(place, out), "local_ranks")
+    groups = local.groupBy("part", "edge").agg(F.count(F.lit(1)).alias("n"), F.min("below").alias("below"))
+    # At most three rows per partition from here on.
+    earlier = Window.orderBy("part").rangeBetween(Window.unboundedPreceding, -1)
+    base = F.coalesce(F.sum("n").over(earlier), F.lit(0))
+    value = Window.partitionBy("edge")
+    first = F.when(F.col("edge").isNull(), F.col("base")).otherwise(F.min(F.col("base") + F.col("below")).over(value))
+    known = groups.withColumn("base", base).select(
+        "part", "edge", first.alias("base"), F.sum("n").over(value).alias("all"))
+    known = known.withColumnsRenamed({"part": "__part", "edge": "__edge"})
+    placed = local.join(F.broadcast(known), (F.col("part") == F.col("__part")) & F.col("edge").eqNullSafe(F.col("__edge")))
+    inner = F.col("edge").isNull()
+    rank = F.col("base") + F.when(inner, F.col("below") + (F.col("ties") + 1) / 2).otherwise((F.col("all") + 1) / 2)
+    return placed.select(*others, rank.alias(name))
+
+
+def spearman(df: DataFrame, x: str, y: str, task_rows: int | None = None) -> DataFrame:
     """One row: correlation of the average ranks, 0 when degenerate.
 
-    Equal pairs are counted first and stored, so the rows are read once and a frequent
-    pair costs one row. The mean of the ranks is known, (n + 1) / 2, which leaves plain sums.
-    A row with a null in either column takes no part; NaN ranks above all numbers.
+    Each rank is found in flight, carried along while the other is, and summed up; nothing is
+    joined back. A row with a null in either column takes no part; NaN ranks above all numbers.
     """
     rows = df.select(F.col(x).alias("x"), F.col(y).alias("y")).where("x is not null and y is not null")
-    pairs = stored(rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")), "pairs")
-    ranked = join_keyed(pairs, average_ranks(pairs, "x", "rx"), ["x"], hot_rows=hot_rows)
-    ranked = join_keyed(ranked, average_ranks(pairs, "y", "ry"), ["y"], hot_rows=hot_rows)
-    total = pairs.agg(F.sum("n")).scalar()
-    middle = (total + 1) / F.lit(2.0)
-    dx, dy, n = F.col("rx") - middle, F.col("ry") - middle, F.col("n")
-    sums = ranked.agg(
-        F.sum(n * dx * dy).alias("xy"),
-        F.sum(n * dx * dx).alias("xx"),
-        F.sum(n * dy * dy).alias("yy"),
-        F.sum("n").alias("n"),
-    )
+    ranked = with_average_rank(with_average_rank(rows, "x", "rx", task_rows), "y", "ry", task_rows)
+    sums = ranked.agg(F.count(F.lit(1)).alias("n"), F.covar_pop("rx", "ry").alias("xy"), F.var_pop("rx").alias("xx"), F.var_pop("ry").alias("yy"))
     usable = (F.col("xx") > 0) & (F.col("yy") > 0)
     r = F.try_divide(F.col("xy"), F.sqrt(F.col("xx")) * F.sqrt(F.col("yy")))
     return sums.select(F.when(usable, r).otherwise(0.0).alias("spearman"), "n")
