@@ -6,9 +6,10 @@ No pair table exists. Two things keep the work down without losing a result:
 
 * equal vectors are one vector: only the lowest ids of a copy group can appear in
   an answer, and all copies share one neighbour list;
-* with a threshold, a query visits only the clusters that can hold a match. By the
-  triangle inequality for angles, a vector at angle a from a pivot is at least
-  a - r away from every member of the pivot's cluster of radius r.
+* a tree of clusters keeps a query to the leaves that can hold a match. By the triangle
+  inequality for angles, a vector at angle a from a pivot is at least a - r away from every
+  member of the pivot's cluster of radius r. Clusters split again until a few blocks hold one, so
+  leaves grow in number with the table, not in size.
 """
 
 from __future__ import annotations
@@ -22,11 +23,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.operators.ordering import hash52
+from gradeloom.operators.pointers import components
 from gradeloom.operators.skew import join_keyed, with_group_stats
-from gradeloom.session import checkpointed
+from gradeloom.session import checkpointed, stored
 
 BLOCK_ROWS = 2048
-MAX_PIVOTS = 2048
+# A cluster of more blocks than this is split.
+LEAF_BLOCKS = 4
+# Clusters that one is split into, and how often one is split.
+FANOUT = 64
+MAX_LEVELS = 9
+# Vectors of a cluster that one task holds against its pivots.
+ASSIGNED_ROWS = 32_768
 ANGLE_SLACK = 1e-6
 # More than the digits that are cut from scores.
 SCORE_SLACK = 1e-11
@@ -61,36 +69,129 @@ def _copy_groups(vectors: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
     return members.select("id", "group"), checkpointed(groups)
 
 
-def _assign(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """The nearest pivot of each vector and the angle to it."""
+def _dealt(rows: DataFrame, keys: str, sizes: DataFrame, per_task: int) -> DataFrame:
+    """Adds `parts`, how many tasks share the rows of a node, and `part`, the row's own, by its group."""
+    parts = F.ceil(F.col("__n") / per_task).cast("int")
+    sized = join_keyed(rows, sizes.select(keys, F.col("n").alias("__n")), [keys])
+    return sized.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("group"), F.col("parts")).cast("int")).drop("__n")
 
-    def assign(batches):
-        for pdf in batches:
-            if len(pdf):
-                cos = np.clip(np.stack(pdf["vec"].to_numpy()) @ pivots.T, -1.0, 1.0)
-                best = cos.argmax(axis=1)
-                pdf["cluster"] = best.astype("int32")
-                pdf["angle"] = np.arccos(cos[np.arange(len(pdf)), best])
-                yield pdf
 
-    schema = "group bigint, vec array<double>, cluster int, angle double"
-    return vectors.select("group", "vec").mapInPandas(assign, schema)
+def _every_part(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
 
-def _route(vectors: DataFrame, pivots: np.ndarray, clusters: np.ndarray, radii: np.ndarray) -> DataFrame:
-    """Each vector with the clusters that may hold a vector within its angle `reach`."""
+def _angles(left: pd.Series, right: pd.Series) -> np.ndarray:
+    return np.arccos(np.clip(np.stack(left.to_numpy()) @ np.stack(right.to_numpy()).T, -1.0, 1.0))
 
-    def route(batches):
-        for pdf in batches:
-            if len(pdf):
-                cos = np.clip(np.stack(pdf["vec"].to_numpy()) @ pivots[clusters].T, -1.0, 1.0)
-                near = np.arccos(cos) - radii <= pdf.pop("reach").to_numpy()[:, None] + ANGLE_SLACK
-                pdf["clusters"] = [clusters[row].astype("int32") for row in near]
-                yield pdf
 
-    schema = "group bigint, vec array<double>, clusters array<int>"
-    routed = vectors.select("group", "vec", "reach").mapInPandas(route, schema)
-    return routed.select("group", "vec", F.explode("clusters").alias("cluster"))
+class MetricTree:
+    """Document vectors in a tree of clusters, built level by level.
+
+    A cluster with more than `LEAF_BLOCKS` blocks is split by up to `FANOUT` vectors, its pivots;
+    each vector goes to the nearest. `levels` holds, per level, the children: `parent`, `node`,
+    `pivot`, the largest angle `radius` of a member to it, and `n`. `leaves` has `group`,
+    `vec` and `node` of all vectors, `sizes` the leaves' `n`. All are tables; none is collected.
+    """
+
+    def __init__(self, docs: DataFrame, n_docs: int, block_rows: int):
+        rows = docs.select("group", "vec", F.lit(0).cast("bigint").alias("node"))
+        self.levels: list[DataFrame] = []
+        most = LEAF_BLOCKS * block_rows
+        if n_docs <= most:
+            self.leaves = rows
+            self.sizes = docs.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("node"), F.lit(n_docs).alias("n"))
+            return
+        open_ = rows.withColumn("n", F.lit(n_docs).cast("bigint"))
+        leaves, sizes = [], []
+        for _ in range(MAX_LEVELS):
+            assigned, children = self._split(open_, block_rows)
+            self.levels.append(children)
+            small = F.col("n") <= most
+            sized = stored(join_keyed(assigned, children.select("node", "n"), ["node"]), "cluster_rows")
+            leaves.append(sized.where(small).select("group", "vec", "node"))
+            sizes.append(children.where(small).select("node", "n"))
+            open_, last = sized.where(~small), children.where(~small).select("node", "n")
+            if last.isEmpty():
+                break
+        # A cluster that would not come apart is met in blocks.
+        leaves.append(open_.select("group", "vec", "node"))
+        sizes.append(last)
+        self.leaves = reduce(DataFrame.unionByName, leaves)
+        self.sizes = reduce(DataFrame.unionByName, sizes)
+
+    @staticmethod
+    def _split(rows: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
+        """Each row with its child node, and the children."""
+        # Spark cuts to the first few rows of a node before it shuffles them.
+        drawn = Window.partitionBy("node").orderBy(hash52(F.col("group"), 0), "group")
+        wanted = F.ceil(F.col("n") / block_rows) + 1
+        pivots = stored(
+            rows.withColumn("__at", F.row_number().over(drawn))
+            .where((F.col("__at") <= FANOUT) & (F.col("__at") <= wanted))
+            .select(F.col("node").alias("parent"), F.col("vec").alias("pivot"), "n",
+                    (F.col("node") * FANOUT + F.col("__at")).alias("child")), "pivots")
+        parts = F.ceil(F.col("n") / ASSIGNED_ROWS).cast("int")
+        dealt = rows.withColumn("part", F.pmod(F.xxhash64("group"), parts).cast("int"))
+        each = _every_part(pivots.withColumn("parts", parts)).withColumnRenamed("parent", "node")
+
+        def nearest(members: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
+            if not len(members):
+                return pd.DataFrame({"group": [], "vec": [], "node": [], "parent": [], "angle": []})
+            angles = _angles(members["vec"], around["pivot"])
+            best = angles.argmin(axis=1)
+            return pd.DataFrame({
+                "group": members["group"], "vec": members["vec"], "node": around["child"].to_numpy()[best],
+                "parent": members["node"], "angle": angles[np.arange(len(best)), best]})
+
+        assigned = stored(
+            dealt.select("group", "vec", "node", "part").groupBy("node", "part")
+            .cogroup(each.select("node", "part", "pivot", "child").groupBy("node", "part"))
+            .applyInPandas(nearest, "group bigint, vec array<double>, node bigint, parent bigint, angle double"), "assigned")
+        shape = assigned.groupBy("node").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n"))
+        children = pivots.select("parent", F.col("child").alias("node"), "pivot").join(shape, "node")
+        return assigned.select("group", "vec", "node"), stored(children, "children")
+
+    def routed(self, queries: DataFrame, n_queries: int, least: int | None = None) -> DataFrame:
+        """Queries (`group`, `vec`, `reach`) at the leaves that may hold a vector within that angle.
+
+        With `least`, each goes to one leaf, the nearest among clusters of that many vectors.
+        """
+        columns = "group bigint, vec array<double>, reach double, node bigint"
+        at = queries.select("group", "vec", "reach", F.lit(0).cast("bigint").alias("node"))
+        arrived = []
+        for depth, children in enumerate(self.levels):
+            inner = children.select(F.col("parent").alias("node")).distinct()
+            if depth:
+                arrived.append(at.join(inner, "node", "left_anti"))
+                at = stored(at.join(inner, "node", "left_semi"), "frontier")
+                counts = at.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+            else:
+                counts = inner.withColumn("n", F.lit(n_queries))
+            dealt = _dealt(at, "node", counts, ASSIGNED_ROWS)
+            parts = counts.select("node", F.ceil(F.col("n") / ASSIGNED_ROWS).cast("int").alias("parts"))
+            each = _every_part(children.select(
+                F.col("parent").alias("node"), F.col("node").alias("child"), "pivot", "radius", "n").join(parts, "node"))
+
+            def onward(rows: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
+                if not len(rows) or not len(around):
+                    return pd.DataFrame({"group": [], "vec": [], "reach": [], "node": []})
+                angles = _angles(rows["vec"], around["pivot"])
+                if least is None:
+                    kept = angles - around["radius"].to_numpy() <= rows["reach"].to_numpy()[:, None] + ANGLE_SLACK
+                else:
+                    enough = around["n"].to_numpy() >= min(least, int(around["n"].max()))
+                    best = np.where(enough, angles, np.inf).argmin(axis=1)
+                    kept = best[:, None] == np.arange(angles.shape[1])
+                q, c = np.nonzero(kept)
+                out = rows[["group", "vec", "reach"]].iloc[q].reset_index(drop=True)
+                out["node"] = around["child"].to_numpy()[c]
+                return out
+
+            at = stored(
+                dealt.drop("parts").groupBy("node", "part")
+                .cogroup(each.select("node", "part", "child", "pivot", "radius", "n").groupBy("node", "part"))
+                .applyInPandas(onward, columns), "frontier")
+        return reduce(DataFrame.unionByName, [*arrived, at]).select("group", "vec", "node")
 
 
 def _best_in_block(k: int, tau: float):
@@ -119,73 +220,54 @@ def _best_groups(queries: DataFrame, docs: DataFrame, k: int, tau: float | None,
                  block_rows: int) -> DataFrame:
     """The best `k` document groups of each query group (more when scores tie).
 
-    Without a threshold each query first meets the documents of its nearest pivot; its
-    `k`-th score there bounds the angle at which a better one can be, and only clusters
+    Without a threshold each query first meets the documents of one near leaf; its
+    `k`-th score there bounds the angle at which a better one can be, and only leaves
     within that reach are visited.
     """
     n_docs, n_queries = docs.count(), queries.count()
     if not n_docs or not n_queries:
         return docs.sparkSession.createDataFrame([], BEST_SCHEMA)
-    n_pivots = max(1, min(MAX_PIVOTS, n_docs // block_rows))
-    # A bounded sample of vectors, as the cluster centres.
-    sample = docs.orderBy(hash52(F.col("group"), 0), "group").limit(n_pivots).select("vec").collect()
-    pivots = np.array([r["vec"] for r in sample])
-    assigned = _assign(docs, pivots)
-    shape = assigned.groupBy("cluster").agg(F.max("angle").alias("r"), F.count(F.lit(1)).alias("n"))
-    rows = sorted(shape.collect())  # one row per pivot at most
-    clusters = np.array([r["cluster"] for r in rows], dtype=int)
-    radii = np.array([r["r"] for r in rows])
-    doc_rows = {r["cluster"]: r["n"] for r in rows}
+    tree = MetricTree(docs, n_docs, block_rows)
     floor = -2.0 if tau is None else tau
-
-    def meet(routed: DataFrame) -> DataFrame:
-        if len(rows) == 1:
-            query_rows = {rows[0]["cluster"]: n_queries}
-        else:
-            query_rows = dict(routed.groupBy("cluster").count().collect())  # as above
-        return _meet(routed, assigned, query_rows, doc_rows, len(pivots), block_rows, k, floor)
-
-    if tau is not None or len(rows) == 1:
+    if tau is not None or not tree.levels:
         reach = math.pi if tau is None else math.acos(max(-1.0, min(1.0, tau)))
-        return meet(_route(queries.withColumn("reach", F.lit(reach)), pivots, clusters, radii))
-    # A pivot without documents of its own gives no bound, as fewer than `k` found.
-    first = meet(_assign(queries, pivots).drop("angle"))
+        return _meet(tree.routed(queries.withColumn("reach", F.lit(reach)), n_queries), tree, n_queries, block_rows, k, floor)
+    near = tree.routed(queries.withColumn("reach", F.lit(math.pi)), n_queries, least=k)
+    first = _meet(near, tree, n_queries, block_rows, k, floor)
     best = Window.partitionBy("query").orderBy(F.desc("score"))
     bound = (
         first.withColumn("__rank", F.row_number().over(best)).where(F.col("__rank") == k)
         .select(F.col("query").alias("group"), F.acos(F.col("score") - SCORE_SLACK).alias("reach"))
     )
-    bounded = queries.join(bound, "group", "left").fillna({"reach": math.pi})
-    return meet(_route(checkpointed(bounded.select("group", "vec", "reach")), pivots, clusters, radii))
+    bounded = stored(queries.join(bound, "group", "left").fillna({"reach": math.pi}).select("group", "vec", "reach"), "bounded")
+    return _meet(tree.routed(bounded, n_queries), tree, n_queries, block_rows, k, floor)
 
 
-def _meet(
-    routed: DataFrame, assigned: DataFrame, query_rows: dict[int, int], doc_rows: dict[int, int],
-    n_pivots: int, block_rows: int, k: int, floor: float,
-) -> DataFrame:
-    """Queries against documents of the same cluster, both cut by hash into blocks.
+def _meet(routed: DataFrame, tree: MetricTree, n_queries: int, block_rows: int, k: int, floor: float) -> DataFrame:
+    """Queries against documents of the same leaf, both cut by hash into blocks.
 
-    A row is copied once for each block of the other side in that cluster.
+    A row is copied once for each block of the other side in that leaf.
     """
-
-    def parts(rows: dict[int, int]) -> Column:
-        counts = [max(1, -(-rows.get(c, 0) // block_rows)) for c in range(n_pivots)]
-        return F.array(*[F.lit(n) for n in counts])[F.col("cluster")]
-
-    def own(n: Column) -> Column:
-        return F.pmod(F.xxhash64("group"), n).cast("int")
-
-    def every(n: Column) -> Column:
-        return F.explode(F.sequence(F.lit(0), n - 1))
-
-    query_parts, doc_parts = parts(query_rows), parts(doc_rows)
-    left = routed.withColumn("query_part", own(query_parts)).withColumn("doc_part", every(doc_parts))
-    right = (
-        assigned.select("group", "vec", "cluster")
-        .withColumn("doc_part", own(doc_parts))
-        .withColumn("query_part", every(query_parts))
-    )
-    keys = ["cluster", "doc_part", "query_part"]
+    if tree.levels:
+        routed = stored(routed, "routed")
+        asked = routed.groupBy("node").agg(F.count(F.lit(1)).alias("asked"))
+    else:
+        asked = tree.sizes.select("node", F.lit(n_queries).alias("asked"))
+    blocks = tree.sizes.join(asked, "node").select(
+        "node", F.ceil(F.col("n") / block_rows).cast("int").alias("doc_parts"),
+        F.ceil(F.col("asked") / block_rows).cast("int").alias("query_parts"))
+    if tree.levels:
+        blocks = stored(blocks, "blocks")
+
+    def side(rows: DataFrame, own: str, other: str) -> DataFrame:
+        cut = join_keyed(rows, blocks, ["node"]).withColumn(own, F.pmod(F.xxhash64("group"), F.col(f"{own}s")).cast("int"))
+        copied = cut.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)))
+        return copied.select("group", "vec", "node", "doc_part", "query_part")
+
+    keys = ["node", "doc_part", "query_part"]
+    # Queries may be the documents themselves; the names make their columns others.
+    leaves = tree.leaves.toDF("doc", "doc_vec", "leaf").toDF("group", "vec", "node")
+    left, right = side(routed, "query_part", "doc_part"), side(leaves, "doc_part", "query_part")
     return (
         left.groupBy(*keys)
         .cogroup(right.groupBy(*keys))
@@ -256,13 +338,21 @@ def exclude_matched_bad(
     return dataset.join(sure, "id", "left_anti")
 
 
-def removed_in_order(edges: DataFrame) -> DataFrame:
+# Rounds before what is open is split into components.
+FIRST_ROUNDS = 2
+# A component with more edges than this is settled in rounds, not in one task.
+SMALL_COMPONENT = 500_000
+
+
+def removed_in_order(edges: DataFrame, small_component: int = SMALL_COMPONENT) -> DataFrame:
     """Ids removed when documents act in id order, each removing its targets (src, dst).
 
     A removed document does not act. One is passive once a lower id that targets it
     acts, and acts once no lower id that may act targets it. Each round settles all
     documents it can and keeps only the edges still in question; the lowest open
-    document is always among the settled, so the rounds end.
+    document is always among the settled, so the rounds end. Most are settled at once. What is open after
+    two rounds hangs on chains: it is split into connected components, each of which one task
+    settles in order, and only a component too large for that goes on in rounds.
     """
     edges = checkpointed(edges.select("src", "dst").distinct())
     forward = edges.where(F.col("src") < F.col("dst"))
@@ -270,7 +360,14 @@ def removed_in_order(edges: DataFrame) -> DataFrame:
     free = edges.select("src").distinct().join(threatened, "src", "left_anti")
     acting = [free]
     question = checkpointed(_mark(forward, free))
+    rounds = 0
     while not question.isEmpty():
+        if rounds == FIRST_ROUNDS:
+            settled, question = _by_component(question, small_component)
+            acting.append(settled)
+            if question.isEmpty():
+                break
+        rounds += 1
         passive = question.where("acts").select(F.col("dst").alias("id")).distinct()
         open_edges = question.join(passive.withColumnRenamed("id", "dst"), "dst", "left_anti").join(
             passive.withColumnRenamed("id", "src"), "src", "left_anti"
@@ -286,6 +383,32 @@ def removed_in_order(edges: DataFrame) -> DataFrame:
     return edges.join(all_acting, "src", "left_semi").select(F.col("dst").alias("id")).distinct()
 
 
+def _in_order(edges: pd.DataFrame) -> pd.DataFrame:
+    """The ids of one component that act, lowest first."""
+    edges = edges.sort_values("dst", kind="stable")
+    targets, sources = edges["dst"].to_numpy(), edges["src"].to_numpy()
+    ids = np.union1d(targets, sources)
+    begin, end = np.searchsorted(targets, ids, "left"), np.searchsorted(targets, ids, "right")
+    at = np.searchsorted(ids, sources)
+    acts = np.ones(len(ids), bool)
+    for i in range(len(ids)):
+        # All sources are lower ids, which are settled.
+        acts[i] = not acts[at[begin[i] : end[i]]].any()
+    return pd.DataFrame({"src": ids[acts]})
+
+
+def _by_component(question: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """What acts in components of at most `most` edges, and the edges of the others."""
+    member = components(question).select(F.col("id").alias("src"), "component")
+    rows = join_keyed(question, member, ["src"])
+    sizes = rows.groupBy("component").agg(F.count(F.lit(1)).alias("__n"))
+    sized = checkpointed(join_keyed(rows, sizes, ["component"]))
+    kind = sized.schema["src"].dataType.simpleString()
+    settled = sized.where(F.col("__n") <= most).select("component", "src", "dst").groupBy("component").applyInPandas(
+        lambda edges: _in_order(edges), f"src {kind}")
+    return checkpointed(settled), checkpointed(sized.where(F.col("__n") > most).select(question.columns))
+
+
 def _mark(edges: DataFrame, acting: DataFrame) -> DataFrame:
     """Edges with whether their source is known to act."""
     flag = acting.withColumn("__acts", F.lit(True))

@@ -517,11 +517,10 @@ def test_clustered_vectors_are_not_copied_to_all_blocks(spark):
     centres = np.eye(8)
     v = np.repeat(centres, 40, axis=0) + 0.01 * rng.normal(size=(320, 8))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    routed = similarity._route(
-        vector_frame(spark, v).select(F.col("id").alias("group"), "vec", F.lit(0.1).alias("reach")),
-        centres, np.arange(8), np.full(8, 0.1),
-    )
-    assert routed.count() == 320
+    vectors = vector_frame(spark, v).select(F.col("id").alias("group"), "vec", F.lit(0.1).alias("reach"))
+    tree = similarity.MetricTree(vectors, 320, 16)
+    assert tree.leaves.count() == 320
+    assert tree.routed(vectors, 320).count() <= 2 * 320
 
 
 def test_exclude_similar_equals_brute_force(spark):
