@@ -256,8 +256,9 @@ def drop_thousands_commas(text: Column) -> Column:
     pattern = r"([0-9])(,)([0-9][0-9][0-9])($|[^0-9])"
 
     def passes(t):
-        rounds = F.sequence(F.lit(1), F.greatest(F.regexp_count(t, F.lit(",")), F.lit(1)))
-        return F.aggregate(rounds, t, lambda acc, _: F.regexp_replace(acc, pattern, "$1$3$4"))
+        rounds = F.sequence(F.lit(1), F.regexp_count(t, F.lit(",")))
+        cleared = F.aggregate(rounds, t, lambda acc, _: F.regexp_replace(acc, pattern, "$1$3$4"))
+        return F.when(F.contains(t, F.lit(",")), cleared).otherwise(t)
 
     return let(text, passes)
 
@@ -285,8 +286,14 @@ def _plain_words(text: Column) -> Column:
         *MAGNITUDES,
     ]:
         text = swap(text, old, new)
-    for unit in UNITS:
-        text = F.regexp_replace(text, unit + r"(es)?(s)? *(\^[0-9]+)?", "")
+
+    def without_units(plain):
+        for unit in UNITS:
+            plain = F.regexp_replace(plain, unit + r"(es)?(s)? *(\^[0-9]+)?", "")
+        return plain
+
+    # Few answers have a unit; one look spares the others a pass for each.
+    text = let(text, lambda t: F.when(t.rlike("|".join(UNITS)), without_units(t)).otherwise(t))
     return F.regexp_replace(text, r"\^ *\\circ", "")
 
 
@@ -383,44 +390,47 @@ def _elements_match(a: Column, b: Column) -> Column:
     )
 
 
-def _read_answer(answer: Column) -> Column:
-    return let(
-        normalize_answer(answer),
-        lambda plain: F.struct(
-            plain.alias("plain"),
-            F.concat(F.left(plain, F.lit(1)), F.right(plain, F.lit(1))).alias("brackets"),
-            F.transform(split_tuple(plain), _read_element).alias("elements"),
-        ),
+def _read_plain(plain: Column) -> Column:
+    return F.struct(
+        plain.alias("plain"),
+        F.concat(F.left(plain, F.lit(1)), F.right(plain, F.lit(1))).alias("brackets"),
+        F.transform(split_tuple(plain), _read_element).alias("elements"),
     )
 
 
 def plain_match(given: Column, truth: Column) -> Column:
     """Equal plain normal forms, or tuples of the same shape with equal elements."""
 
-    def compare(pair):
-        g, t = pair["given"], pair["truth"]
+    def by_element(both):
+        g, t = both[0], both[1]
         elements = F.zip_with(t["elements"], g["elements"], _elements_match)
-        by_element = (
+        return (
             (F.length(g["plain"]) > 0)
             & ((F.size(t["elements"]) <= 1) | (g["brackets"] == t["brackets"]))
             & (F.size(t["elements"]) == F.size(g["elements"]))
             & F.forall(elements, lambda e: F.coalesce(e, F.lit(False)))
         )
-        return F.coalesce((g["plain"] == t["plain"]) | by_element, F.lit(False))
 
-    both = F.struct(_read_answer(given).alias("given"), _read_answer(truth).alias("truth"))
-    return let(both, compare)
+    def compare(forms):
+        read = let(F.transform(forms, _read_plain), by_element)
+        return F.coalesce(F.when(forms[0] == forms[1], F.lit(True)).otherwise(read), F.lit(False))
+
+    # One rule for both answers, so the expression holds it once.
+    return let(F.transform(F.array(given, truth), normalize_answer), compare)
 
 
 def answers_match(given: Column, truth: Column) -> Column:
-    """True when either normal form agrees; false for a missing answer."""
+    """True when either normal form agrees; false for a missing answer. Equal answers need no form."""
 
     def compare(pair):
-        g, t = pair["g"], pair["t"]
-        latex = F.coalesce(normalize_latex(g) == normalize_latex(t), F.lit(False))
-        return F.when(latex, F.lit(True)).otherwise(plain_match(g, t))
+        latex = let(F.transform(pair, normalize_latex), lambda f: f[0] == f[1])
+        return (
+            F.when(pair[0] == pair[1], F.lit(True))
+            .when(F.coalesce(latex, F.lit(False)), F.lit(True))
+            .otherwise(plain_match(pair[0], pair[1]))
+        )
 
-    return let(F.struct(given.alias("g"), truth.alias("t")), compare)
+    return let(F.array(given, truth), compare)
 
 
 def reward_value(

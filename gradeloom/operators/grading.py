@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradeloom.operators.deadlines import Guarded
+
 Scorer = Callable[..., Column]
 
 
@@ -22,11 +24,13 @@ def score_with(
 
 
 def score_or_zero(
-    df: DataFrame, fn: Callable[..., float], inputs: list[str], output: str = "score"
+    df: DataFrame, fn: Callable[..., float], inputs: list[str], output: str = "score",
+    seconds: float | None = None,
 ) -> DataFrame:
     """Scores rows with an opaque Python function; a failure or null scores 0.
 
-    Rows travel in Arrow batches; use `score_with` where columns can say it.
+    With `seconds`, so does a call that takes longer, and the next row follows; see `Guarded` for calls
+    that ignore it. Rows travel in Arrow batches; use `score_with` where columns can say it.
     """
 
     def one(*values) -> float:
@@ -37,8 +41,15 @@ def score_or_zero(
             return 0.0
 
     @F.pandas_udf("double")
-    def scored(*columns: pd.Series) -> pd.Series:
-        return pd.Series([one(*row) for row in zip(*columns)], dtype="float64")
+    def scored(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        guarded = None if seconds is None else Guarded(fn, seconds)
+        try:
+            for columns in batches:
+                columns = columns if isinstance(columns, tuple) else (columns,)
+                yield pd.Series([(guarded or one)(*row) for row in zip(*columns)], dtype="float64")
+        finally:
+            if guarded is not None:
+                guarded.close()
 
     return df.withColumn(output, scored(*[F.col(c) for c in inputs]))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from gradeloom.functions import answers as A
@@ -446,3 +448,22 @@ def score_or_zero(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     scored = grading.score_or_zero(o, ratio, ["o_totalprice", "o_custkey", "o_orderstatus"])
     return scored.select("o_orderkey", "score")
+
+
+@QUERIES.add(
+    "score_or_zero_deadline",
+    """SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY o_orderkey) <= 2 OR o_custkey = 0 THEN 0.0 ELSE o_totalprice / o_custkey END AS score
+       FROM orders""",
+)
+def score_or_zero_deadline(spark, sf_dir):
+    """The scorer hangs on the first two orders."""
+    o = table(spark, sf_dir, "orders")
+    hanging = {r[0] for r in o.select("o_orderkey").orderBy("o_orderkey").limit(2).collect()}
+
+    def ratio(price, key, order):
+        if order in hanging:
+            time.sleep(3600)
+        return price / key
+
+    scored = grading.score_or_zero(o, ratio, ["o_totalprice", "o_custkey", "o_orderkey"], seconds=0.5)
+    return scored.select("o_orderkey", "score")
