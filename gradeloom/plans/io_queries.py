@@ -11,6 +11,7 @@ from gradeloom.plans.rollout_queries import rounded
 from gradeloom.session import scratch_path
 from gradeloom.sources import problems as P
 from gradeloom.sources import results as R
+from gradeloom.streaming import keyed_metrics as K
 from gradeloom.streaming import run_metrics as M
 
 QUERIES = QuerySet()
@@ -56,6 +57,23 @@ def read_examples(spark, sf_dir):
     return rows.withColumn("text", F.md5("text"))
 
 
+@QUERIES.add(
+    "read_mixed_examples",
+    """SELECT doc_id AS id, md5(text) AS text, lang FROM documents
+       UNION ALL SELECT item_id, md5(text), NULL FROM benchmark
+       UNION ALL SELECT conv_id, md5(text), role FROM conversations""",
+)
+def read_mixed_examples(spark, sf_dir):
+    """Parquet, JSON lines and JSON arrays in one folder."""
+    folder = scratch_path(spark, "mixed")
+    conversations = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), "text", F.col("role").alias("lang"))
+    table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang").write.parquet(f"{folder}/a")
+    table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text").write.json(f"{folder}/b")
+    R.write_json_arrays(conversations, f"{folder}/c")
+    rows = P.read_mixed_examples(spark, [folder], "id bigint, text string, lang string")
+    return rows.withColumn("text", F.md5("text"))
+
+
 @QUERIES.add(
     "write_examples",
     """SELECT source AS data_source, CASE WHEN lang = 'fr' THEN 'test' ELSE 'train' END AS split, doc_id AS idx, md5(text) AS content
@@ -98,7 +116,7 @@ def append_pass_csv(spark, sf_dir):
     for model in ("a", "b"):
         R.append_pass_csv(row.select(F.lit(model).alias("model"), "*"), path)
     schema = "model string, pass_at_1 double, pass_at_n double"
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return R.read_pass_csv(spark, path, schema)
 
 
 @QUERIES.add(
@@ -159,3 +177,21 @@ def stream_step_metrics(spark, sf_dir):
 )
 def stream_running_totals(spark, sf_dir):
     return M.stream_running_totals(spark, _log(spark, sf_dir))
+
+
+@QUERIES.add(
+    "stream_keyed_metrics",
+    """SELECT CAST(ts AS DATE)::VARCHAR AS step, event_type AS data_source, count(*) AS n, CAST(sum(CAST(user_id % 3 = 0 AS INTEGER)) AS BIGINT) AS correct,
+       CAST(sum(floor(value)) AS BIGINT) AS tokens FROM events GROUP BY 1, 2""",
+)
+def stream_keyed_metrics(spark, sf_dir):
+    """The event log twice over, as a source that delivers again gives it; each event counts once."""
+    events = table(spark, sf_dir, "events")
+    path = scratch_path(spark, "event-log")
+    events.unionByName(events).write.parquet(path)
+    log = M.read_rollout_log(spark, path, events.schema).select(
+        F.to_date("ts").cast("string").alias("step"), F.col("event_type").alias("data_source"),
+        F.col("event_id").alias("uid"), F.lit(0).alias("sample"),
+        F.when(F.col("user_id") % 3 == 0, 1.0).otherwise(0.0).alias("reward"),
+        F.floor("value").cast("bigint").alias("n_tokens"), "ts")
+    return K.stream_keyed_metrics(spark, log, "ts", lateness="10 days").drop("closed")

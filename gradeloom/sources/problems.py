@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradeloom.sources.data_sources import ExamplesSource
+
 PROBLEM_SCHEMA = (
     "problem string, solution string, answer string, difficulty double, dataset string"
 )
@@ -43,6 +46,12 @@ def read_examples(
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def read_mixed_examples(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    """Files of either format side by side, told apart by their first bytes, not by their names."""
+    spark.dataSource.register(ExamplesSource)
+    return spark.read.format(ExamplesSource.name()).schema(schema).option("paths", json.dumps(paths)).load()
+
+
 def read_rating_histogram(lines: DataFrame, column: str = "value") -> DataFrame:
     """Rating and count rows from a JSON map; counts stay weights."""
     parsed = lines.select(F.from_json(F.col(column), "map<string,bigint>").alias("m"))

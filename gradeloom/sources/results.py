@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
+from gradeloom.sources.data_sources import ResultsSource
+
 
 def write_examples(df: DataFrame, path: str) -> None:
     """Parquet, one folder per split and data source.
@@ -29,8 +31,14 @@ def write_csv_records(df: DataFrame, path: str) -> None:
 
 
 def append_pass_csv(results: DataFrame, path: str) -> None:
-    """Adds (model, dataset, pass@1, pass@n) rows to a results table."""
-    results.write.mode("append").option("header", True).csv(path)
+    """Adds (model, dataset, pass@1, pass@n) rows to a results table, which has one header."""
+    results.sparkSession.dataSource.register(ResultsSource)
+    results.write.format(ResultsSource.name()).mode("append").option("path", path).save()
+
+
+def read_pass_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of such a table."""
+    return spark.read.schema(schema).option("pathGlobFilter", "part-*.csv").option("escape", "\"").csv(path)
 
 
 def write_score_matrix(scores: DataFrame, path: str) -> None:
