@@ -14,24 +14,27 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeloom.session import shuffle_partitions
+from gradeloom.session import estimated_bytes, shuffle_partitions
 
 BUCKETS_PER_PARTITION = 4
 MAX_BUCKETS = 10_000
 # Rows looked at per bucket when its bounds are chosen, as range partitioning does.
 ROWS_PER_BOUND = 500
+READ_WHOLE_BYTES = 16 * 2**20
 
 
 def _quantiles(df: DataFrame, column: Column, n: int) -> list[float]:
     """Cut points for `n` buckets from a bounded sample.
 
-    They decide how even the buckets are, not which rows or positions come out.
+    They decide how even the buckets are, not which rows or positions come out. A table that Catalyst takes
+    for small is read whole, which saves counting it first.
     """
     probs = [i / n for i in range(1, n)]
     values = df.select(F.when(~F.isnan(column), column).alias("v"))
-    rows, wanted = df.count(), ROWS_PER_BOUND * n
-    if rows > wanted:
-        values = values.sample(wanted / rows, seed=0)
+    if estimated_bytes(df) > READ_WHOLE_BYTES:
+        rows, wanted = df.count(), ROWS_PER_BOUND * n
+        if rows > wanted:
+            values = values.sample(wanted / rows, seed=0)
     row = values.agg(F.percentile_approx("v", probs, max(10_000, 10 * n))).first()
     return list(row[0] or [])
 

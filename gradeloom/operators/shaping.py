@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from itertools import accumulate
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gradeloom.operators.ordering import (
     bucketize,
@@ -102,6 +104,66 @@ def weighted_mixture(
     return _fetch(requests, df, source, id_column)
 
 
+# Rows of a dataset that share one block of draws, about.
+BLOCK_ROWS = 1_000_000
+
+
+def weighted_draws(
+    df: DataFrame, source: str, id_column: str, weights: dict[str, float], seed: int,
+    draws: int | None = None, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Rows as often as they are drawn, p(row) = weight of its dataset / size of its dataset, with their `copy`.
+
+    The draws are not made one by one and looked up, they are split: over the datasets by
+    weight, over hashed blocks of a dataset by their rows, and over a block's rows evenly, each by
+    binomials on what is left. A block then repeats its own rows, so the table is shuffled once and joined
+    with nothing. There is one number per block to pass on, a millionth of the rows. Ids must be
+    unique; the same seed, ids and block size draw the same rows.
+    """
+    rows = df.where(F.col(source).isin(list(weights)))
+    total = rows.count()
+    blocks = max(1, -(-total // block_rows))
+    cut = rows.withColumn("__block", F.pmod(F.xxhash64(F.col(id_column), F.lit(seed)), F.lit(blocks)).cast("int"))
+    sizes: dict[str, list[int]] = {n: [0] * blocks for n in weights}
+    for r in cut.groupBy(source, "__block").count().collect():
+        sizes[r[source]][r["__block"]] = r["count"]
+    live = [n for n in weights if sum(sizes[n]) and weights[n] > 0]
+    if not live:
+        return cut.limit(0).drop("__block").withColumn("copy", F.lit(0).cast("bigint"))
+    generator = np.random.default_rng(seed)
+    shares = np.array([weights[n] for n in live])
+    wanted = dict(zip(live, generator.multinomial(total if draws is None else draws, shares / shares.sum())))
+    # Per dataset and block: the rows it has and the draws that fall on it.
+    plan = {}
+    for number, name in enumerate(live):
+        own = np.array(sizes[name])
+        for block, n in enumerate(generator.multinomial(wanted[name], own / own.sum())):
+            plan[name, block] = (number, int(own[block]), int(n))
+    shared = df.sparkSession.sparkContext.broadcast(plan)
+
+    def repeat(batches):
+        key, at, counts = None, 0, None
+        for pdf in batches:
+            starts = np.flatnonzero((pdf[source] != pdf[source].shift()) | (pdf["__block"] != pdf["__block"].shift()))
+            for a, b in zip(starts, [*starts[1:], len(pdf)]):
+                part = pdf.iloc[a:b]
+                here = (part[source].iloc[0], int(part["__block"].iloc[0]))
+                if here != key:
+                    key, at = here, 0
+                    number, size, n = shared.value.get(key, (0, 0, 0))
+                    drawn = np.random.default_rng([seed, number, key[1]]).integers(0, max(size, 1), n)
+                    counts = np.bincount(drawn, minlength=size)
+                times = counts[at : at + len(part)]
+                at += len(part)
+                out = part.loc[part.index.repeat(times)].drop(columns="__block")
+                out["copy"] = np.arange(len(out)) - np.repeat(np.cumsum(times) - times, times)
+                yield out
+
+    kind = T.StructType([*df.schema.fields, T.StructField("copy", T.LongType())])
+    ordered = cut.repartition(source, "__block").sortWithinPartitions(source, "__block", id_column)
+    return ordered.mapInPandas(repeat, kind)
+
+
 def mixture_lookup(
     requests: DataFrame, df: DataFrame, source: str, id_column: str, names: list[str],
     index: str = "global_index",

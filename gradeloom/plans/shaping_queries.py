@@ -9,7 +9,7 @@ from gradeloom.operators.curation import word_count
 from gradeloom.operators.ordering import with_global_index, with_shuffle_index
 from gradeloom.plans.base import QuerySet, table
 from gradeloom.plans.rollout_queries import rounded
-from gradeloom.session import checkpointed
+from gradeloom.session import checkpointed, stored
 
 QUERIES = QuerySet()
 
@@ -91,6 +91,23 @@ def weighted_mixture(spark, sf_dir):
     return S.weighted_mixture(d, "lang", "doc_id", _WEIGHTS, 5)
 
 
+@QUERIES.add(
+    "weighted_draws",
+    """WITH s AS (SELECT lang, count(*) AS n_rows, CASE lang WHEN 'en' THEN 3.0 WHEN 'fr' THEN 1.0 WHEN 'de' THEN 0.5 ELSE 2.0 END AS w FROM documents GROUP BY 1)
+       SELECT lang, n_rows, true AS near_share, (SELECT count(*) FROM documents) AS n_draws FROM s""",
+)
+def weighted_draws(spark, sf_dir):
+    """Draws per language lie within six deviations of their share, and add up."""
+    d = docs(spark, sf_dir).select("doc_id", "lang")
+    drawn = stored(S.weighted_draws(d, "lang", "doc_id", _WEIGHTS, 5), "draws")
+    total = S.row_count(drawn)
+    p = F.create_map(*[x for k, v in _WEIGHTS.items() for x in (F.lit(k), F.lit(v))])[F.col("lang")] / F.lit(sum(_WEIGHTS.values()))
+    sizes = d.groupBy("lang").agg(F.count(F.lit(1)).alias("n_rows"))
+    near = F.abs(F.col("n") - total * p) <= 6 * F.sqrt(total * p * (1 - p))
+    return drawn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).join(sizes, "lang").select(
+        "lang", "n_rows", near.alias("near_share"), total.alias("n_draws"))
+
+
 @QUERIES.add(
     "mixture_lookup",
     """WITH rows AS (SELECT doc_id, lang, row_number() OVER (ORDER BY CASE lang WHEN 'fr' THEN 0 WHEN 'es' THEN 1 WHEN 'en' THEN 2 ELSE 3 END, doc_id) - 1 AS g,
