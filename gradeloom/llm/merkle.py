@@ -79,10 +79,10 @@ def _ordered(items: DataFrame, order: list[str]) -> DataFrame:
     ).drop("tree_of", "part_of", "part", "row", "before", "first")
 
 
-def _levels(digests: list[str], alone: bool) -> list[list[str]]:
+def _levels(digests: list[str], alone: bool, block_levels: int) -> list[list[str]]:
     """The digests of a block and of all levels above them inside the block."""
     levels = [digests]
-    for _ in range(BLOCK_LEVELS):
+    for _ in range(block_levels):
         last = levels[-1]
         if alone and len(last) == 1:
             break
@@ -91,24 +91,24 @@ def _levels(digests: list[str], alone: bool) -> list[list[str]]:
     return levels
 
 
-def _is_alone(leaves: int) -> bool:
+def _is_alone(leaves: int, block_levels: int) -> bool:
     """Whether a tree has one block, which then ends at its root."""
-    return leaves <= FANOUT**BLOCK_LEVELS
+    return leaves <= FANOUT**block_levels
 
 
-def _block_roots(placed: DataFrame) -> DataFrame:
+def _block_roots(placed: DataFrame, block_levels: int) -> DataFrame:
     """One row per block: `tree`, `block`, `blocks` of its tree, `digest` of its subtree."""
     def fold(group: pa.Table) -> pa.Table:
         group = group.sort_by("place")
         leaves = group.column("leaves")[0].as_py()
-        top = _levels(group.column("leaf").to_pylist(), _is_alone(leaves))[-1]
+        top = _levels(group.column("leaf").to_pylist(), _is_alone(leaves, block_levels), block_levels)[-1]
         return group.slice(0, 1).select(["tree", "block", "leaves"]).append_column("digest", pa.array(top))
 
     tree = placed.schema["tree"]
     out = T.StructType([tree, *[T.StructField(c, T.LongType()) for c in ("block", "leaves")],
                         T.StructField("digest", T.StringType())])
     blocks = placed.select("tree", "block", "leaves", "place", "leaf").groupBy("tree", "block").applyInArrow(fold, out)
-    return blocks.withColumn("blocks", F.ceil(F.col("leaves") / FANOUT**BLOCK_LEVELS))
+    return blocks.withColumn("blocks", F.ceil(F.col("leaves") / FANOUT**block_levels))
 
 
 def _exchange(blocks: DataFrame, span: int) -> DataFrame:
@@ -156,12 +156,12 @@ def _upper_proofs(blocks: DataFrame) -> DataFrame:
     return written(blocks, "upper_proofs")
 
 
-def _leaf_proofs(placed: DataFrame, upper: DataFrame, kept: list[str]) -> DataFrame:
+def _leaf_proofs(placed: DataFrame, upper: DataFrame, kept: list[str], block_levels: int) -> DataFrame:
     """The rows with `root` and their whole `proof`; a task holds one block at a time."""
     def with_proofs(rows: pa.Table, above: pa.Table) -> pa.Table:
         rows = rows.sort_by("place")
         leaves = rows.column("leaves")[0].as_py()
-        levels = _levels(rows.column("leaf").to_pylist(), _is_alone(leaves))
+        levels = _levels(rows.column("leaf").to_pylist(), _is_alone(leaves, block_levels), block_levels)
         rest = above.column("proof")[0].as_py()
         steps = []
         for level in levels[:-1]:
@@ -181,24 +181,24 @@ def _leaf_proofs(placed: DataFrame, upper: DataFrame, kept: list[str]) -> DataFr
     return placed.groupBy("tree", "block").cogroup(upper.groupBy("tree", "block")).applyInArrow(with_proofs, out)
 
 
-def prove(items: DataFrame, order: list[str], tops: bool = True) -> DataFrame:
+def prove(items: DataFrame, order: list[str], tops: bool = True, block_levels: int = BLOCK_LEVELS) -> DataFrame:
     """Adds `subroot`, `root` and `proof` to rows with `tree`, `leaf` and the columns of `order`.
 
     With `tops` the roots of the trees are leaves of one tree on top, ordered by `tree`.
     """
-    block = F.floor(F.col("place") / FANOUT**BLOCK_LEVELS)
+    block = F.floor(F.col("place") / FANOUT**block_levels)
     placed = _ordered(items, order).withColumn("block", block)
-    upper = _upper_proofs(_block_roots(placed))
+    upper = _upper_proofs(_block_roots(placed, block_levels))
     if tops:
         roots = upper.where(F.col("block") == 0).select(
             F.lit(0).alias("tree"), F.col("tree").alias("key"), F.col("digest").alias("leaf"))
-        top = prove(roots, ["key"], tops=False).select(
+        top = prove(roots, ["key"], False, block_levels).select(
             F.col("key").alias("top_key"), F.col("root"), F.col("proof").alias("top_proof"))
         upper = upper.join(top, F.col("tree").eqNullSafe(F.col("top_key"))).select(
             "tree", "block", F.col("digest").alias("subroot"), "root", F.concat("proof", "top_proof").alias("proof"))
     else:
         upper = upper.select("tree", "block", F.col("digest").alias("subroot"), F.col("digest").alias("root"), "proof")
-    return _leaf_proofs(placed, upper, items.columns)
+    return _leaf_proofs(placed, upper, items.columns, block_levels)
 
 
 def folded(leaf: Column, proof: Column) -> Column:
