@@ -520,7 +520,8 @@ def test_clustered_vectors_are_not_copied_to_all_blocks(spark):
     vectors = vector_frame(spark, v).select(F.col("id").alias("group"), "vec", F.lit(0.1).alias("reach"))
     tree = similarity.MetricTree(vectors, 320, 16)
     assert tree.leaves.count() == 320
-    assert tree.routed(vectors, 320).count() <= 2 * 320
+    # A centre's vectors fall to the few pivots drawn from it; those of other centres are left out.
+    assert tree.sizes.count() > 12 and tree.routed(vectors, 320).count() <= 5 * 320
 
 
 def test_exclude_similar_equals_brute_force(spark):
