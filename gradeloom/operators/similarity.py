@@ -339,7 +339,7 @@ def exclude_matched_bad(
 
 
 # Rounds before what is open is split into components.
-FIRST_ROUNDS = 2
+FIRST_ROUNDS = 6
 # A component with more edges than this is settled in rounds, not in one task.
 SMALL_COMPONENT = 500_000
 
@@ -351,7 +351,7 @@ def removed_in_order(edges: DataFrame, small_component: int = SMALL_COMPONENT) -
     acts, and acts once no lower id that may act targets it. Each round settles all
     documents it can and keeps only the edges still in question; the lowest open
     document is always among the settled, so the rounds end. Most are settled at once. What is open after
-    two rounds hangs on chains: it is split into connected components, each of which one task
+    `FIRST_ROUNDS` rounds hangs on chains: it is split into connected components, each of which one task
     settles in order, and only a component too large for that goes on in rounds.
     """
     edges = checkpointed(edges.select("src", "dst").distinct())
