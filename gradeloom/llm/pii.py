@@ -1,8 +1,10 @@
 """Personal data under format-preserving pseudonyms (operator 3), in Spark functions only.
 
 Found are card numbers (valid by their check digit), telephone numbers, IPv4 addresses with
-octets up to 255, dates that exist, social security and account numbers (valid by their
-rules), e-mail addresses, and credentials. Each is replaced by another value of the same
+octets up to 255, IPv6 addresses, dates that exist, social security and account numbers (valid by
+their rules), e-mail addresses, also with letters beyond ASCII, and credentials: access keys, bearer
+tokens, and what a name such as `password` or `secret_key` is set to, if it has eight letters and
+digits or, with a digit or sign among them, four characters. Each is replaced by another value of the same
 format: a keyed Feistel network permutes its characters within their kinds, so equal values
 get equal pseudonyms in all documents and different values different ones.
 
@@ -10,8 +12,10 @@ get equal pseudonyms in all documents and different values different ones.
   from a keyed hash of the other half; a digit stays a digit, a letter a letter of its case.
   Punctuation stays in place. Check digits are made anew.
 * IPv4 addresses: octets in two halves, each among the octets of as many digits.
-* Dates: the day within a cycle of 400 years, written as 189 times 773, whose two digits
-  are shifted in turns; the result is a date that exists, in the same notation.
+* Dates: the day within its own cycle of 400 years, written as 189 times 773, whose two digits
+  are shifted in turns; the result is a date that exists, in the same notation. Where a part has one
+  digit, or the month stands first, the network goes on until the result can be written so.
+* Social security numbers: the first two parts and the last one among the valid ones.
 
 Numbers that fail their check pass untouched. An account or card number is looked for at every
 place where one can begin, in every length that it can have there: one with the length of its
@@ -32,12 +36,18 @@ ROUNDS = 8
 # Kinds in the order they are tried at a place. Possessive parts keep long words linear.
 _EDGE, _END = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
 EMAIL = (
-    r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}" + _END
+    r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@(?:[\p{L}\p{N}\-]{1,63}\.){1,8}[A-Za-z]{2,24}"
+    + r"(?![\p{L}\p{N}])"
 )
+# What a credential is called, and the sign before it.
+_NAMED = r"(?i:passw(?:or)?d|passphrase|pwd|token|secret(?:_access)?(?:_key)?|(?:access|private)_key|api_?key)\s{0,3}[=:]\s{0,3}[\"']?"
+_BEARER = r"(?i:bearer)\s{1,3}"
 SECRET = (
-    r"(?<![A-Za-z0-9])(?:AKIA[A-Z2-7]{16}"
-    r"|(?i:password|passwd|pwd|token|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9]{8,128}+)"
-    + _END
+    r"(?<![A-Za-z0-9])(?:AKIA[A-Z2-7]{16}" + _END
+    # With a digit or a sign; what ends the sentence around it stays outside.
+    + "|" + _NAMED + r"(?:(?=[^\s\"',;<>]{0,127}[0-9@#$%^*])[^\s\"',;<>]{3,2047}[^\s\"',;<>.:!?()\[\]{}]"
+    + r"|[A-Za-z0-9]{8,128}+" + _END + ")"
+    + "|" + _BEARER + r"(?=[^\s]{0,15}[0-9])[A-Za-z0-9._~+/\-]{16,2048}+={0,2})"
 )
 _IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _END
 # Lengths of account numbers by country, as registered.
@@ -56,6 +66,11 @@ IPV4 = (
     r"(?<![A-Za-z0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}"
     r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![A-Za-z0-9]|\.[0-9])"
 )
+_HEX = "[0-9A-Fa-f]{1,4}"
+IPV6 = (
+    rf"(?<![A-Za-z0-9:.])(?=[A-Fa-f:]{{0,39}}[0-9])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{2,6}}(?::{_HEX}){{1,5}})"
+    r"(?![A-Za-z0-9:]|\.[0-9])"
+)
 SSN = r"(?<![A-Za-z0-9\-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![A-Za-z0-9]|-[0-9])"
 # The separators' references are numbered with the number as a group.
 _CARD = (
@@ -70,9 +85,9 @@ PHONE = (
 IBANS, CARDS = (f"{_EDGE}(?=({p}))" for p in (_IBAN, _CARD))
 # One pattern, around a row's own account and card numbers: references to separators are
 # numbered in the whole.
-_BEFORE, _BEHIND = "|".join(f"(?:{p})" for p in (EMAIL, SECRET)), "|".join(f"(?:{p})" for p in (DATE, IPV4, SSN, PHONE))
+_BEFORE, _BEHIND = "|".join(f"(?:{p})" for p in (EMAIL, SECRET)), "|".join(f"(?:{p})" for p in (DATE, IPV4, IPV6, SSN, PHONE))
 # Every text that anything is found in matches this.
-CAN_HOLD = r"[0-9@]|AKIA|(?i:password|passwd|pwd|token|secret|api_key|apikey)\s{0,3}[=:]"
+CAN_HOLD = r"[0-9@]|AKIA|" + _NAMED
 NO_HIT = "no_hit"
 
 
@@ -288,9 +303,45 @@ def _ipv4(value: Column, key: str) -> Column:
     )
 
 
-# Days of the Gregorian cycle of 400 years, as a product; the cycle that pseudonyms lie in.
+def _product(high: Column, low: Column, a: int, b: int, key: str) -> Column:
+    """A pair below (`a`, `b`) under a keyed Feistel network: struct of `high` and `low`."""
+    start = F.struct(high.cast("long").alias("high"), low.cast("long").alias("low"))
+
+    def turn(acc: Column, r: Column) -> Column:
+        by_low = _number(_digest(key, r * 2, acc["low"].cast("string")), 1, 8)
+        moved = F.pmod(acc["high"] + by_low, F.lit(a))
+        return let(moved, lambda h: F.struct(
+            h.alias("high"),
+            F.pmod(acc["low"] + _number(_digest(key, r * 2 + 1, h.cast("string")), 1, 8), F.lit(b)).alias("low"),
+        ))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS // 2 - 1)), start, turn)
+
+
+def _ssn(value: Column, key: str) -> Column:
+    """Another valid number: areas 001 to 899 but 666, groups from 01, serials from 0001."""
+    part = [F.substr(value, F.lit(at), F.lit(n)).cast("long") for at, n in ((1, 3), (5, 2), (8, 4))]
+    area = part[0] - 1 - (part[0] > 666).cast("long")
+    moved = _product(area * 99 + part[1] - 1, part[2] - 1, 898 * 99, 9999, key + "ssn")
+
+    def written(m: Column) -> Column:
+        first = F.floor(m["high"] / 99) + 1
+        return F.concat_ws("-", *[
+            F.lpad(n.cast("long").cast("string"), width, "0")
+            for n, width in ((first + (first > 665).cast("long"), 3), (m["high"] % 99 + 1, 2), (m["low"] + 1, 4))
+        ])
+
+    return let(moved, written)
+
+
+# Days of the Gregorian cycle of 400 years, as a product; the day that cycles begin on, and the
+# day and number of cycles of all years of four digits: those that no cycle holds whole make one.
 CYCLE = (189, 773)
 CYCLE_START = "1800-01-01"
+FIRST_DAY, CYCLES = "0000-01-01", 25
+# Steps after which a date stays as it is. Of all dates one in nine or more can be written with parts of
+# one digit, so a walk this long has a chance below 10^-50.
+WALK = 1024
 
 
 def _date_parts(value: Column) -> tuple[Column, Column]:
@@ -317,37 +368,47 @@ def _date_parts(value: Column) -> tuple[Column, Column]:
 def _date(value: Column, key: str) -> Column:
     day, notation = _date_parts(value)
     a, b = CYCLE
-    # Days beyond the cycle keep their distance to it in cycles.
-    number = F.pmod(F.datediff(day, F.lit(CYCLE_START).cast("date")), F.lit(a * b)).cast("long")
-    start = F.struct(F.floor(number / b).cast("long").alias("high"), (number % b).alias("low"))
+    first, days = F.lit(FIRST_DAY).cast("date"), a * b * CYCLES
+    begin = F.datediff(F.lit(CYCLE_START).cast("date"), first)
 
-    def turn(acc: Column, r: Column) -> Column:
-        by_low = _number(_digest(key + "date", r * 2, acc["low"].cast("string")), 1, 8)
-        high = F.pmod(acc["high"] + by_low, F.lit(a))
-        return F.transform(
-            F.array(high),
-            lambda h: F.struct(
-                h.alias("high"),
-                F.pmod(
-                    acc["low"] + _number(_digest(key + "date", r * 2 + 1, h.cast("string")), 1, 8),
-                    F.lit(b),
-                ).alias("low"),
-            ),
-        )[0]
+    def moved(d: Column) -> Column:
+        """The day permuted within its cycle."""
+        number = F.pmod(F.datediff(d, first) - begin, F.lit(days)).cast("long")
+        in_cycle = number % (a * b)
+        new = _product(F.floor(in_cycle / b), in_cycle % b, a, b, key + "date")
+        return let(new, lambda m: F.date_add(
+            first, F.pmod(number - in_cycle + m["high"] * b + m["low"] + begin, F.lit(days)).cast("int")))
 
-    moved = F.aggregate(
-        F.sequence(F.lit(0), F.lit(ROUNDS // 2 - 1)), start, turn,
-        lambda acc: F.date_add(F.lit(CYCLE_START).cast("date"), (acc["high"] * b + acc["low"]).cast("int")),
+    parts = F.split(value, r"[\-/.]")
+    year_first = notation == "ymd"
+    month = F.length(F.when(notation == "mdy", F.get(parts, F.lit(0))).otherwise(F.get(parts, F.lit(1))))
+    of_month = F.length(F.when(year_first, F.get(parts, F.lit(2))).when(
+        notation == "dmy", F.get(parts, F.lit(0))).otherwise(F.get(parts, F.lit(1))))
+
+    def fits(d: Column) -> Column:
+        """Parts of one digit stay so, and a day that told the notation still does."""
+        return (
+            ((month == 2) | (F.month(d) < 10)) & ((of_month == 2) | (F.dayofmonth(d) < 10))
+            & ((notation != "mdy") | (F.dayofmonth(d) > 12))
+        )
+
+    # Going on from a day of the set along the permutation's cycle comes back to the set.
+    state = F.struct(moved(day).alias("day"), F.lit(1).alias("steps"))
+    walked = F.aggregate(
+        F.sequence(F.lit(1), F.when(fits(moved(day)), 1).otherwise(WALK)), state,
+        lambda acc, _: F.when(fits(acc["day"]), acc).otherwise(
+            F.struct(moved(acc["day"]).alias("day"), (acc["steps"] + 1).alias("steps"))),
+        lambda acc: F.when(fits(acc["day"]), acc["day"]).otherwise(day),
     )
     mark = F.regexp_extract(value, r"[\-/.]", 0)
-    digits = F.transform(F.array(moved), lambda d: F.when(
-        notation == "ymd", F.concat_ws("-", F.date_format(d, "yyyy"), F.date_format(d, "MM"), F.date_format(d, "dd"))
-    ).when(
-        notation == "dmy", F.concat_ws("-", F.date_format(d, "dd"), F.date_format(d, "MM"), F.date_format(d, "yyyy"))
-    ).otherwise(
-        F.concat_ws("-", F.date_format(d, "MM"), F.date_format(d, "dd"), F.date_format(d, "yyyy"))
-    ))[0]
-    return F.replace(digits, F.lit("-"), mark)
+
+    def written(d: Column) -> Column:
+        y = F.lpad(F.year(d).cast("string"), 4, "0")
+        m, n = F.lpad(F.month(d).cast("string"), month, "0"), F.lpad(F.dayofmonth(d).cast("string"), of_month, "0")
+        return F.when(year_first, F.concat(y, mark, m, mark, n)).when(
+            notation == "dmy", F.concat(n, mark, m, mark, y)).otherwise(F.concat(m, mark, n, mark, y))
+
+    return let(walked, written)
 
 
 def _email(value: Column, key: str) -> Column:
@@ -360,7 +421,7 @@ def _email(value: Column, key: str) -> Column:
 
 def _secret(value: Column, key: str) -> Column:
     """What follows the sign, or the whole access key after its first four letters."""
-    head = F.regexp_extract(value, r"^(?:AKIA|[A-Za-z_]+\s*[=:]\s*[\"']?)", 0)
+    head = F.regexp_extract(value, rf"^(?:AKIA|{_NAMED}|{_BEARER})", 0)
     tail = F.substr(value, F.length(head) + 1)
     return F.concat(
         head,
@@ -378,8 +439,9 @@ def kind_of(value: Column) -> Column:
     """The kind of a found value, `no_hit` if it fails its check."""
     plain = _digits(value)
     return (
-        F.when(value.contains("@"), "email")
-        .when(value.rlike(_whole(SECRET)), "secret")
+        F.when(value.rlike(_whole(SECRET)), "secret")
+        .when(value.contains("@"), "email")
+        .when(value.rlike(_whole(IPV6)), "ipv6")
         .when(value.rlike("^[A-Z]{2}"), F.when(iban_rest(value) == 1, "iban").otherwise(NO_HIT))
         .when(value.rlike(_whole(DATE)), F.when(_date_parts(value)[0].isNotNull(), "date").otherwise(NO_HIT))
         .when(value.rlike(_whole(IPV4)), "ipv4")
@@ -398,7 +460,8 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
         .when(kind == "iban", _iban(value, key))
         .when(kind == "date", _date(value, key))
         .when(kind == "ipv4", _ipv4(value, key))
-        .when(kind == "ssn", permuted(value, key + "ssn"))
+        .when(kind == "ipv6", permuted(value, key + "ipv6", letters=6))
+        .when(kind == "ssn", _ssn(value, key))
         .when(kind == "phone", _phone(value, key))
         .when(kind == "card", _card(value, key))
         .otherwise(value)
