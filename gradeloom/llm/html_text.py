@@ -7,7 +7,11 @@ element that holds all lines of the cluster: all its lines are the article, also
 short ones, apart from menus, headers, footers, sidebars, notices, adverts, forms and reader
 comments, which are told by tag, role or class and are never lines. Class names and ids count
 as wholes or by known first words, and not on headings; what they mark is read all the same
-if it holds the page's article, its h1 or most of its text.
+if it holds the page's article, its h1 or most of its text, and so is a form, since some sites wrap the
+whole page in one. If the region has no h1, the last one before it is its headline and goes first. An h1 in
+a header stands apart like all of the header, inside an article too.
+
+Elements point to the ones around them, so a page takes memory linear in its length, however deep.
 
 Null html counts as empty; a page without content has an empty text. Broken and cut
 markup is read as far as it goes. Every page comes back, repeated rows included.
@@ -16,6 +20,7 @@ markup is read as far as it goes. Every page comes back, repeated rows included.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -33,7 +38,7 @@ INLINE = set(
 )
 # Elements whose content is never article text.
 APART = set(
-    "aside audio button canvas datalist dialog embed footer form head header iframe input map menu "
+    "aside audio button canvas datalist dialog embed footer head header iframe input map menu "
     "meter nav noscript object option output progress script select style svg template textarea "
     "title video".split()
 )
@@ -79,29 +84,34 @@ RADIUS, SIGMA = 2, 1.0
 
 
 class _Lines(HTMLParser):
-    """Collects lines: text with the marked elements around it, tags, and the regions around them."""
+    """Collects lines: text with the innermost marked element around each part, tags, and the innermost region.
+
+    Regions and marked elements are numbered in page order; `-1` is none. The element around one
+    has a smaller number.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.raw: list[tuple[list[tuple[str, tuple[int, ...]]], int, tuple[int, ...]]] = []
-        self._open: list[tuple[str, bool, int, tuple[int, ...]]] = []  # tag, apart, region or -1, marks
-        self._text: list[tuple[str, tuple[int, ...]]] = []
+        self.raw: list[tuple[list[tuple[str, int]], int, int, bool]] = []
+        self._open: list[tuple[str, bool, int, int]] = []  # tag, apart, innermost region and mark
+        self._count: Counter[str] = Counter()  # open elements by tag
+        self._text: list[tuple[str, int]] = []
         self._tags = 1
-        self._regions = 0
-        self._marks: list[bool] = []  # of each marked element, whether it is for comments
-        self._article: list[tuple[int, ...]] = []  # marks around each article or main element
-        self._title: list[tuple[int, ...]] = []  # and around each h1
+        self.around: list[int] = []  # the region around each region
+        self._outer: list[int] = []  # the marked element around each marked one
+        self._comments: list[bool] = []  # of each marked element, whether it is for comments
+        self._article: list[int] = []  # mark around each article or main element
+        self._title: list[int] = []  # and around each h1
 
     def _apart(self) -> bool:
         return bool(self._open) and self._open[-1][1]
 
-    def _marked(self) -> tuple[int, ...]:
-        return self._open[-1][3] if self._open else ()
+    def _inside(self) -> tuple[int, int]:
+        return self._open[-1][2:] if self._open else (-1, -1)
 
     def end_line(self) -> None:
         if self._text:
-            where = tuple(r for _, _, r, _ in self._open if r >= 0)
-            self.raw.append((self._text, self._tags, where))
+            self.raw.append((self._text, self._tags, self._inside()[0], self._count["h1"] > 0))
         self._text, self._tags = [], 1
 
     def handle_starttag(self, tag, attrs):
@@ -110,49 +120,61 @@ class _Lines(HTMLParser):
         if tag not in INLINE:
             self.end_line()
         elif tag == "br":
-            self._text.append((" ", self._marked()))
+            self._text.append((" ", self._inside()[1]))
         self._tags += 1
         if tag in VOID:
             return
-        region = -1
+        region, mark = self._inside()
         if tag in REGIONS:
-            region, self._regions = self._regions, self._regions + 1
-        apart, marks = self._apart() or _stands_apart(tag, attrs), self._marked()
+            self.around.append(region)
+            region = len(self.around) - 1
+        apart = self._apart() or _stands_apart(tag, attrs)
         if not apart:
             name = _mark(attrs)
             if tag in ("article", "main"):
                 if not name:
-                    self._article.append(marks)
+                    self._article.append(mark)
             elif tag == "h1":
-                self._title.append(marks)
-            elif name and tag not in HEADINGS and tag not in ("html", "body"):
-                marks = (*marks, len(self._marks))
-                self._marks.append(not COMMENTS.isdisjoint(_TOKEN.findall(name)))
-        self._open.append((tag, apart, region, marks))
-
-    def lines(self) -> list[tuple[str, int, tuple[int, ...]]]:
-        """Text, tags and regions of the lines, without what marked elements hold."""
-        mass = [0] * len(self._marks)
+                self._title.append(mark)
+            elif tag == "form" or name and tag not in HEADINGS and tag not in ("html", "body"):
+                self._outer.append(mark)
+                self._comments.append(not COMMENTS.isdisjoint(_TOKEN.findall(name)))
+                mark = len(self._outer) - 1
+        self._open.append((tag, apart, region, mark))
+        self._count[tag] += 1
+
+    def lines(self) -> list[tuple[str, int, int, bool]]:
+        """Text, tags, region and whether in an h1, of the lines without what marked elements hold."""
+        mass = [0] * len(self._outer)
         total = 0
-        for chunks, _, _ in self.raw:
-            for text, marks in chunks:
+        for chunks, *_ in self.raw:
+            for text, mark in chunks:
                 size = len(text.strip())
                 total += size
-                for m in marks:
-                    mass[m] += size
+                if mark >= 0:
+                    mass[mark] += size
+        mass = summed_up(mass, self._outer)
+        articles, titles = ([0] * len(self._outer) for _ in range(2))
+        for held, found in ((articles, self._article), (titles, self._title)):
+            for mark in found:
+                if mark >= 0:
+                    held[mark] += 1
+        articles, titles = summed_up(articles, self._outer), summed_up(titles, self._outer)
 
         def holds_article(m: int) -> bool:
-            if any(found and all(m in marks for marks in found) for found in (self._article, self._title)):
+            if self._article and articles[m] == len(self._article) or self._title and titles[m] == len(self._title):
                 return True
-            known = any(m not in marks for marks in self._article)
-            return mass[m] * 2 > total and not known and not self._marks[m]
+            known = articles[m] < len(self._article)
+            return mass[m] * 2 > total and not known and not self._comments[m]
 
-        gone = {m for m in range(len(mass)) if not holds_article(m)}
+        gone: list[bool] = []
+        for m, outer in enumerate(self._outer):
+            gone.append(outer >= 0 and gone[outer] or not holds_article(m))
         out = []
-        for chunks, tags, where in self.raw:
-            text = " ".join("".join(t for t, marks in chunks if gone.isdisjoint(marks)).split())
+        for chunks, tags, region, heading in self.raw:
+            text = " ".join("".join(t for t, mark in chunks if mark < 0 or not gone[mark]).split())
             if text:
-                out.append((text, tags, where))
+                out.append((text, tags, region, heading))
         return out
 
     def handle_startendtag(self, tag, attrs):
@@ -168,10 +190,13 @@ class _Lines(HTMLParser):
 
     def _close(self, tag):
         """Ends the innermost open element of the name, and what is open inside it."""
+        if not self._count[tag]:
+            return
         for i in range(len(self._open) - 1, -1, -1):
             if self._open[i][0] == tag:
                 if any(t not in INLINE for t, *_ in self._open[i:]):
                     self.end_line()
+                self._count.subtract(t for t, *_ in self._open[i:])
                 del self._open[i:]
                 return
             if self._open[i][0] in REGIONS and tag in INLINE | {"p", "li"}:
@@ -179,7 +204,16 @@ class _Lines(HTMLParser):
 
     def handle_data(self, data):
         if not self._apart():
-            self._text.append((data, self._marked()))
+            self._text.append((data, self._inside()[1]))
+
+
+def summed_up(values: list[int], outer: list[int]) -> list[int]:
+    """Values of elements with those of all elements inside them."""
+    out = values[:]
+    for i in range(len(out) - 1, -1, -1):
+        if outer[i] >= 0:
+            out[outer[i]] += out[i]
+    return out
 
 
 def _stands_apart(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -217,16 +251,30 @@ def main_text(html: str) -> str:
     lines = parser.lines()
     if not lines:
         return ""
-    sizes = np.array([len(t) for t, _, _ in lines], float)
-    ratio = sizes / np.array([n for _, n, _ in lines], float)
+    sizes = np.array([len(t) for t, *_ in lines], float)
+    ratio = sizes / np.array([line[1] for line in lines], float)
     kernel = np.exp(-0.5 * (np.arange(-RADIUS, RADIUS + 1) / SIGMA) ** 2)
     padded = np.pad(ratio, RADIUS, mode="edge")
     smooth = np.convolve(padded, kernel / kernel.sum(), mode="valid")
     content = smooth >= _threshold(smooth)
-    cluster = [set(where) for (_, _, where), is_content in zip(lines, content) if is_content]
+    holds = [0] * len(parser.around)
+    for (_, _, where, _), is_content in zip(lines, content):
+        if is_content and where >= 0:
+            holds[where] += 1
     # Of the elements around every line of the cluster the one opened last is the innermost.
-    region = max(set.intersection(*cluster), default=None)
-    return "\n".join(t for t, _, where in lines if region is None or region in where)
+    holds = summed_up(holds, parser.around)
+    region = max((r for r, n in enumerate(holds) if n == content.sum()), default=-1)
+    if region < 0:
+        return "\n".join(t for t, *_ in lines)
+    inside: list[bool] = []
+    for r, around in enumerate(parser.around):
+        inside.append(r == region or around >= 0 and inside[around])
+    kept = [where >= 0 and inside[where] for _, _, where, _ in lines]
+    if not any(k and heading for k, (_, _, _, heading) in zip(kept, lines)):
+        before = [i for i in range(kept.index(True)) if lines[i][3]]
+        if before:
+            kept[before[-1]] = True
+    return "\n".join(t for k, (t, *_) in zip(kept, lines) if k)
 
 
 def _threshold(smooth: np.ndarray) -> float:
