@@ -5,9 +5,10 @@ middle of a line. A sentence ends at a full stop, question or exclamation mark b
 white space; sentences are joined until a unit has `UNIT_WORDS` words. Units are normalised
 (lower case, single spaces) and hashed. Of equal units in all documents the earliest stays:
 the one with the smallest document id, then the first in the text. Other occurrences are
-repeats. A run of neighbouring repeats is removed if it has `RUN_WORDS` words together, so
-passages go, while short phrases that happen to recur stay. The removed spans are kept as
-offsets into the original text.
+repeats. A line that has only repeats is removed, whatever its length, so of equal lines the
+earliest alone stays. Inside other lines a run of neighbouring repeats is removed if it has `RUN_WORDS` words
+together: passages go, while short sentences that happen to recur stay. The removed spans are
+kept as offsets into the original text.
 
 Digests have 128 bits and are grouped with partial aggregates; the join back to the units is
 split by adaptive execution where a unit is very frequent. A document's own repeats come
@@ -96,19 +97,27 @@ def repeated_units(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def removed_spans(text: str, repeats: set[int], run_words: int) -> list[tuple[int, int]]:
-    """Spans of the runs of repeated units that have enough words."""
+    """Spans of the lines that are repeats as wholes, and of other runs of repeats with enough words."""
     spans = units(text)
-    out, at = [], 0
+    line, same = [], 0
+    for i, (begin, _, _) in enumerate(spans):
+        same += i > 0 and "\n" in text[spans[i - 1][1] : begin]
+        line.append(same)
+    kept_lines = {number for i, number in enumerate(line) if i not in repeats}
+    gone, at = [False] * len(spans), 0
     while at < len(spans):
-        if at not in repeats:
-            at += 1
-            continue
         end = at
         while end < len(spans) and end in repeats:
             end += 1
-        if sum(w for _, _, w in spans[at:end]) >= run_words:
-            out.append((spans[at][0], spans[end - 1][1]))
-        at = end
+        enough = sum(w for _, _, w in spans[at:end]) >= run_words
+        for i in range(at, end):
+            gone[i] = enough or line[i] not in kept_lines
+        at = max(end, at + 1)
+    out = []
+    for i, (begin, end, _) in enumerate(spans):
+        if gone[i]:
+            joined = i > 0 and gone[i - 1]
+            out.append((out.pop()[0] if joined else begin, end))
     return out
 
 
