@@ -17,8 +17,8 @@ def training_sample(labels: DataFrame, docs: DataFrame, label: str, learn: Colum
     """`id`, `label`, `text` of the `rows` labelled documents with the smallest hash of the id.
 
     Only rows for which `learn` holds and the label is 0 or 1; an id labelled twice takes the
-    larger label. The sample has at most `rows` ids, so it can be broadcast. Labels name the
-    documents by `doc_id`.
+    larger label, and one in several documents the smallest text. The sample has at most `rows` rows,
+    so it can be broadcast and collected. Labels name the documents by `doc_id`.
     """
     ids = (
         labels.where(learn & F.col(label).isin(0, 1))
@@ -29,4 +29,4 @@ def training_sample(labels: DataFrame, docs: DataFrame, label: str, learn: Colum
         .limit(rows)
     )
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    return texts.join(F.broadcast(ids), "id")
+    return texts.join(F.broadcast(ids), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
