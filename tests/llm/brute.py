@@ -82,9 +82,19 @@ def line_repeats(docs: list[tuple[int, str]], run_words: int = 20) -> dict[int,
                 end += 1
             run = spans[i][at:end]
             if sum(len(t[a:z].split()) for a, z in run) >= run_words:
-                gone.append((run[0][0], run[-1][1]))
+                gone += range(at, end)
             at = max(end, at + 1)
-        out[i] = gone
+        # A line goes if all its units are repeats.
+        lines: dict[int, list[int]] = {}
+        for n, s in enumerate(spans[i]):
+            lines.setdefault(t.count("\n", 0, s[0]), []).append(n)
+        gone = sorted({*gone, *(n for ns in lines.values() if all(late[n] for n in ns) for n in ns)})
+        out[i] = []
+        for n in gone:
+            if n - 1 in gone:
+                out[i][-1] = (out[i][-1][0], spans[i][n][1])
+            else:
+                out[i].append(spans[i][n])
     return out
 
 
@@ -106,6 +116,21 @@ def feistel(value: str, key: str, digits=(48, 10), letters: int = 26) -> str:
     return "".join(next(left) if re.match("[A-Za-z0-9]", c) else c for c in value)
 
 
+def ssn(value: str, key: str) -> str:
+    """The valid numbers as pairs of area with group and serial, shifted in turns."""
+    areas = [a for a in range(1, 900) if a != 666]
+    area, group, serial = map(int, value.split("-"))
+    high, low = areas.index(area) * 99 + group - 1, serial - 1
+
+    def shift(r: int, other: int) -> int:
+        return int(hashlib.sha256(f"{key}|{r}|{other}".encode()).hexdigest()[:8], 16)
+
+    for r in range(4):
+        high = (high + shift(2 * r, low)) % (len(areas) * 99)
+        low = (low + shift(2 * r + 1, high)) % 9999
+    return f"{areas[high // 99]:03d}-{high % 99 + 1:02d}-{low + 1:04d}"
+
+
 def luhn_valid(number: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(re.sub("[^0-9]", "", number))):
