@@ -68,17 +68,19 @@ def unit_rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     def run(batches):
         for b in batches:
             for part, texts in text_groups(b, "text"):
-                digests, owner, number = [], [], []
-                for i, t in enumerate(texts):
+                digests, sizes = bytearray(), []
+                for t in texts:
                     spans = units(t or "")
-                    digests += [_digest(t[lo:hi]) for lo, hi, _ in spans]
-                    owner += [i] * len(spans)
-                    number += range(len(spans))
-                h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-                at = pa.array(owner, pa.int64())
+                    for lo, hi, _ in spans:
+                        digests += _digest(t[lo:hi])
+                    sizes.append(len(spans))
+                h = np.frombuffer(digests, "<i8").reshape(-1, 2)
+                many = np.array(sizes, np.int64)
+                at = pa.array(np.repeat(np.arange(len(many)), many))
+                number = np.arange(len(h)) - np.repeat(np.cumsum(many) - many, many)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), part.column("id").take(at),
-                     part.column("key").take(at), pa.array(number, pa.int32())],
+                     part.column("key").take(at), pa.array(number.astype(np.int32))],
                     names=["h1", "h2", "id", "key", "unit"],
                 )
 
