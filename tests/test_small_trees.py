@@ -52,3 +52,23 @@ def test_places(nodes, forest, monkeypatch, rounds, small):
     got = {(r["tree_id"], r["node_id"]): r["place"] for r in trees.walk_order(nodes).collect()}
     assert got == walked(forest)
     assert bool(rounds) == (small < 90)
+
+
+@pytest.mark.parametrize("small", [100_000, 60])
+def test_rewards(spark, nodes, forest, monkeypatch, rounds, small):
+    """No rounds for small trees; a node of no rewarded child keeps its own, and other columns stay."""
+    monkeypatch.setattr(small_trees, "SMALL_TREE", small)
+    forest = [*forest, (9, "n0", None, 0, 0.5, [0]), (9, "n1", "n0", 1, None, [0])]
+    nodes = spark.createDataFrame(forest, SCHEMA)
+    below, want = children(forest), {}
+    for r in sorted(forest, key=lambda r: -r[3]):
+        values = [want[c[0], c[1]] for c in below.get((r[0], r[1]), [])]
+        values = [v for v in values if v is not None]
+        want[r[0], r[1]] = sum(values) / len(values) if values else r[4]
+    moved = trees.propagate_rewards(nodes)
+    assert moved.columns == [*nodes.columns, "is_leaf"] and dict(moved.dtypes) == {**dict(nodes.dtypes), "is_leaf": "boolean"}
+    rows = moved.collect()
+    assert {(r["tree_id"], r["node_id"]): r["reward"] for r in rows} == {
+        k: None if v is None else pytest.approx(v, abs=1e-12) for k, v in want.items()}
+    assert all(r["is_leaf"] == ((r["tree_id"], r["node_id"]) not in below) for r in rows)
+    assert bool(rounds) == (small < 90)
