@@ -72,3 +72,17 @@ def test_rewards(spark, nodes, forest, monkeypatch, rounds, small):
         k: None if v is None else pytest.approx(v, abs=1e-12) for k, v in want.items()}
     assert all(r["is_leaf"] == ((r["tree_id"], r["node_id"]) not in below) for r in rows)
     assert bool(rounds) == (small < 90)
+
+
+@pytest.mark.parametrize("small", [100_000, 30])
+def test_roots(spark, forest, monkeypatch, rounds, small):
+    """No rounds for small trees; ids hold across trees, so a link may lead into another one."""
+    monkeypatch.setattr(small_trees, "SMALL_TREE", small)
+    forest = [(t, f"{t}{n}", p and f"{t}{p}", *rest) for t, n, p, *rest in forest]
+    frame = spark.createDataFrame(forest, SCHEMA)
+    want = {r[1]: f"{r[0]}n0" for r in forest}
+    assert {r["node_id"]: r["root_id"] for r in trees.node_to_root(frame).collect()} == want
+    assert bool(rounds) == (small < 90)
+    joined = spark.createDataFrame([*forest, (7, "own", None, 0, 0.0, [0]), (7, "far", "0n5", 6, 0.0, [0])], SCHEMA)
+    got = {r["node_id"]: r["root_id"] for r in trees.node_to_root(joined).collect()}
+    assert got == {**want, "own": "own", "far": "0n0"}
