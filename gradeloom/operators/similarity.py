@@ -9,7 +9,8 @@ No pair table exists. Two things keep the work down without losing a result:
 * a tree of clusters keeps a query to the leaves that can hold a match. By the triangle
   inequality for angles, a vector at angle a from a pivot is at least a - r away from every
   member of the pivot's cluster of radius r. Clusters split again until a few blocks hold one, so
-  leaves grow in number with the table, not in size.
+  leaves grow in number with the table, not in size. Where a sample of the queries shows that the
+  clusters keep little away, parts of the whole tables meet instead.
 """
 
 from __future__ import annotations
@@ -35,6 +36,14 @@ FANOUT = 64
 MAX_LEVELS = 9
 # Vectors of a cluster that one task holds against its pivots.
 ASSIGNED_ROWS = 32_768
+# Queries that one call sends on: each can go on to all pivots, with its vector.
+ROUTED_ROWS = 512
+# Blocks of either side that meet in one task.
+TASK_BLOCKS = 16
+# About so many queries show whether clusters keep work down; if these are sent to more
+# than this share of all documents, every block meets every other.
+SHOWN_QUERIES = 1024
+DENSE = 0.25
 ANGLE_SLACK = 1e-6
 # More than the digits that are cut from scores.
 SCORE_SLACK = 1e-11
@@ -93,11 +102,11 @@ class MetricTree:
     `vec` and `node` of all vectors, `sizes` the leaves' `n`. All are tables; none is collected.
     """
 
-    def __init__(self, docs: DataFrame, n_docs: int, block_rows: int):
+    def __init__(self, docs: DataFrame, n_docs: int, block_rows: int, split: bool = True):
         rows = docs.select("group", "vec", F.lit(0).cast("bigint").alias("node"))
         self.levels: list[DataFrame] = []
         most = LEAF_BLOCKS * block_rows
-        if n_docs <= most:
+        if n_docs <= most or not split:
             self.leaves = rows
             self.sizes = docs.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("node"), F.lit(n_docs).alias("n"))
             return
@@ -167,8 +176,8 @@ class MetricTree:
                 counts = at.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
             else:
                 counts = inner.withColumn("n", F.lit(n_queries))
-            dealt = _dealt(at, "node", counts, ASSIGNED_ROWS)
-            parts = counts.select("node", F.ceil(F.col("n") / ASSIGNED_ROWS).cast("int").alias("parts"))
+            dealt = _dealt(at, "node", counts, ROUTED_ROWS)
+            parts = counts.select("node", F.ceil(F.col("n") / ROUTED_ROWS).cast("int").alias("parts"))
             each = _every_part(children.select(
                 F.col("parent").alias("node"), F.col("node").alias("child"), "pivot", "radius", "n").join(parts, "node"))
 
@@ -194,28 +203,45 @@ class MetricTree:
         return reduce(DataFrame.unionByName, [*arrived, at]).select("group", "vec", "node")
 
 
-def _best_in_block(k: int, tau: float):
+def _best_in_block(k: int, tau: float, block_rows: int):
     def best(queries: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(docs):
             return pd.DataFrame({"query": [], "doc": [], "score": []})
-        cos = np.stack(queries["vec"].to_numpy()) @ np.stack(docs["vec"].to_numpy()).T
-        # Cut the last bits, which depend on the shape of the block.
-        cos = np.round(cos, 12)
-        keep = cos > tau
-        if cos.shape[1] > k:
-            keep &= cos >= np.partition(cos, -k, axis=1)[:, [-k]]
-        q, d = np.nonzero(keep)
-        return pd.DataFrame(
-            {
-                "query": queries["group"].to_numpy()[q],
-                "doc": docs["group"].to_numpy()[d],
-                "score": cos[q, d],
-            }
-        )
+        asked, held = np.stack(queries["vec"].to_numpy()), np.stack(docs["vec"].to_numpy())
+        found = [(start, *_best_of_piece(asked[start : start + block_rows], held, k, tau, block_rows))
+                 for start in range(0, len(asked), block_rows)]
+        return pd.DataFrame({
+            "query": queries["group"].to_numpy()[np.concatenate([start + q for start, q, _, _ in found])],
+            "doc": docs["group"].to_numpy()[np.concatenate([d for _, _, d, _ in found])],
+            "score": np.concatenate([s for _, _, _, s in found])})
 
     return best
 
 
+def _best_of_piece(asked: np.ndarray, held: np.ndarray, k: int, tau: float, block_rows: int) -> tuple[np.ndarray, ...]:
+    """Places of queries and documents and their scores: the best `k` of each query above `tau`, and ties."""
+    q, d, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    # Per query, what a score must reach: its `k`-th best so far.
+    low = np.full(len(asked), tau)
+    for at in range(0, len(held), block_rows):
+        cos = asked @ held[at : at + block_rows].T
+        if tau < -1.0 and not at and cos.shape[1] > k:
+            low = np.round(np.partition(cos, -k, axis=1)[:, -k], 12)
+        i, j = np.nonzero(cos >= (low - SCORE_SLACK)[:, None])
+        # Cut the last bits, which depend on the shape of the block.
+        new = np.round(cos[i, j], 12)
+        kept = (new > tau) & (new >= low[i])
+        q, d, score = np.append(q, i[kept]), np.append(d, j[kept] + at), np.append(score, new[kept])
+        order = np.lexsort((-score, q))
+        q, d, score = q[order], d[order], score[order]
+        first = np.searchsorted(q, np.arange(len(asked)))
+        enough = np.append(first[1:], len(q)) - first >= k
+        low[enough] = score[first[enough] + k - 1]
+        kept = score >= low[q]
+        q, d, score = q[kept], d[kept], score[kept]
+    return q, d, score
+
+
 def _best_groups(queries: DataFrame, docs: DataFrame, k: int, tau: float | None,
                  block_rows: int) -> DataFrame:
     """The best `k` document groups of each query group (more when scores tie).
@@ -229,9 +255,21 @@ def _best_groups(queries: DataFrame, docs: DataFrame, k: int, tau: float | None,
         return docs.sparkSession.createDataFrame([], BEST_SCHEMA)
     tree = MetricTree(docs, n_docs, block_rows)
     floor = -2.0 if tau is None else tau
+    if tree.levels:
+        one_of = max(1, n_queries // SHOWN_QUERIES)
+        shown = queries.where(F.pmod(F.xxhash64("group", F.lit(1)), F.lit(one_of)) == 0)
+        sent = _sent(shown, max(1, n_queries // one_of), tree, block_rows, k, tau, floor).join(tree.sizes, "node")
+        work, asked = sent.agg(F.sum("n"), F.count_distinct("group")).first()
+        if (work or 0) > DENSE * asked * n_docs:
+            tree = MetricTree(docs, n_docs, block_rows, split=False)
+    return _meet(_sent(queries, n_queries, tree, block_rows, k, tau, floor), tree, n_queries, block_rows, k, floor)
+
+
+def _sent(queries: DataFrame, n_queries: int, tree: MetricTree, block_rows: int, k: int, tau: float | None, floor: float) -> DataFrame:
+    """The queries at all leaves where they can find one of their best."""
     if tau is not None or not tree.levels:
         reach = math.pi if tau is None else math.acos(max(-1.0, min(1.0, tau)))
-        return _meet(tree.routed(queries.withColumn("reach", F.lit(reach)), n_queries), tree, n_queries, block_rows, k, floor)
+        return tree.routed(queries.withColumn("reach", F.lit(reach)), n_queries)
     near = tree.routed(queries.withColumn("reach", F.lit(math.pi)), n_queries, least=k)
     first = _meet(near, tree, n_queries, block_rows, k, floor)
     best = Window.partitionBy("query").orderBy(F.desc("score"))
@@ -240,22 +278,24 @@ def _best_groups(queries: DataFrame, docs: DataFrame, k: int, tau: float | None,
         .select(F.col("query").alias("group"), F.acos(F.col("score") - SCORE_SLACK).alias("reach"))
     )
     bounded = stored(queries.join(bound, "group", "left").fillna({"reach": math.pi}).select("group", "vec", "reach"), "bounded")
-    return _meet(tree.routed(bounded, n_queries), tree, n_queries, block_rows, k, floor)
+    return tree.routed(bounded, n_queries)
 
 
 def _meet(routed: DataFrame, tree: MetricTree, n_queries: int, block_rows: int, k: int, floor: float) -> DataFrame:
     """Queries against documents of the same leaf, both cut by hash into blocks.
 
-    A row is copied once for each block of the other side in that leaf.
+    A task holds up to `TASK_BLOCKS` blocks of either side and multiplies them pair by pair. A row is
+    copied once for each such part of the other side in that leaf.
     """
+    task_rows = TASK_BLOCKS * block_rows
     if tree.levels:
         routed = stored(routed, "routed")
         asked = routed.groupBy("node").agg(F.count(F.lit(1)).alias("asked"))
     else:
         asked = tree.sizes.select("node", F.lit(n_queries).alias("asked"))
     blocks = tree.sizes.join(asked, "node").select(
-        "node", F.ceil(F.col("n") / block_rows).cast("int").alias("doc_parts"),
-        F.ceil(F.col("asked") / block_rows).cast("int").alias("query_parts"))
+        "node", F.ceil(F.col("n") / task_rows).cast("int").alias("doc_parts"),
+        F.ceil(F.col("asked") / task_rows).cast("int").alias("query_parts"))
     if tree.levels:
         blocks = stored(blocks, "blocks")
 
@@ -271,7 +311,7 @@ def _meet(routed: DataFrame, tree: MetricTree, n_queries: int, block_rows: int,
     return (
         left.groupBy(*keys)
         .cogroup(right.groupBy(*keys))
-        .applyInPandas(_best_in_block(k, floor), BEST_SCHEMA)
+        .applyInPandas(_best_in_block(k, floor, block_rows), BEST_SCHEMA)
     )
 
 

@@ -65,3 +65,20 @@ def test_vectors_that_do_not_come_apart(spark, small_fanout, monkeypatch):
     for r in similarity.cosine_topk(df, df, 2, exclude_self=True, block_rows=8).orderBy("rank").collect():
         got[r["query"]].append(r["doc"])
     assert got == brute_force(v, v, 2, None, True)
+
+
+@pytest.mark.parametrize("tau", [None, 0.3])
+def test_vectors_without_structure_are_not_copied_to_every_leaf(spark, small_fanout, monkeypatch, tau):
+    """Clusters keep nothing away here: each query is sent once, and parts of the tables meet piece by piece."""
+    monkeypatch.setattr(similarity, "SHOWN_QUERIES", 30)
+    monkeypatch.setattr(similarity, "TASK_BLOCKS", 3)
+    sent, plain = [], similarity._sent
+    monkeypatch.setattr(similarity, "_sent", lambda *a: sent.append(plain(*a)) or sent[-1])
+    v = np.random.default_rng(5).normal(size=(300, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = vector_frame(spark, v)
+    got = {q: [] for q in range(300)}
+    for r in similarity.cosine_topk(df, df, 3, tau, exclude_self=True, block_rows=10).orderBy("rank").collect():
+        got[r["query"]].append(r["doc"])
+    assert got == brute_force(v, v, 3, tau, True)
+    assert sent[-1].count() == 300
