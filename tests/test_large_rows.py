@@ -19,3 +19,14 @@ def test_position_ids_of_a_long_mask(spark):
     assert got == [0] * 5 + list(range(n)) and time.time() - start < 20
     none = spark.createDataFrame([(None,), ([],), ([0, 0],)], "m array<int>").select(sequences.position_ids(F.col("m")).alias("p"))
     assert [r["p"] for r in none.collect()] == [[], [], [0, 0]]
+
+
+def test_segments_are_not_cut_to_be_counted(spark):
+    """No filter over the segments, in which every segment would read the ids again."""
+    rows = spark.range(3).select(
+        F.col("id").alias("tree_id"), F.lit(0).alias("sample"),
+        F.transform(F.split(F.repeat(F.lit("a bb "), 5), " "), F.length).alias("ids"), F.lit(1.0).alias("reward"))
+    nodes = trees.responses_to_nodes(rows, 4, None, 9)
+    plan = nodes._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "slice(" in line]
+    assert nodes.count() == 9
