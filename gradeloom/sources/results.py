@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
@@ -12,6 +13,10 @@ from pyspark.errors import AnalysisException
 from gradeloom.sources.data_sources import ResultsSource
 
 
+# Records of an array that are marked at a time.
+WRITTEN_ROWS = 1_000
+
+
 def write_examples(df: DataFrame, path: str) -> None:
     """Parquet, one folder per split and data source.
 
@@ -75,12 +80,13 @@ def write_json_arrays(df: DataFrame, path: str) -> None:
 
     def bracketed(batches):
         mark = "["
-        for pdf in batches:
-            if len(pdf):
-                marks = [mark] + [","] * (len(pdf) - 1)
-                yield pd.DataFrame({"value": pd.Series(marks) + pdf["value"].reset_index(drop=True)})
+        for batch in batches:
+            for at in range(0, batch.num_rows, WRITTEN_ROWS):
+                records = batch.column(0).slice(at, WRITTEN_ROWS)
+                marks = pa.array([mark] + [","] * (len(records) - 1))
+                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(marks, records, "")], ["value"])
                 mark = ","
-        yield pd.DataFrame({"value": ["[]" if mark == "[" else "]"]})
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if mark == "[" else "]"])], ["value"])
 
     lines = df.select(F.to_json(F.struct(*df.columns)).alias("value"))
-    lines.mapInPandas(bracketed, "value string").write.text(path)
+    lines.mapInArrow(bracketed, "value string").write.text(path)

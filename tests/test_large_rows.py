@@ -30,3 +30,12 @@ def test_segments_are_not_cut_to_be_counted(spark):
     plan = nodes._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Filter" in line and "slice(" in line]
     assert nodes.count() == 9
+
+
+def test_json_arrays_piece_by_piece(spark, tmp_path, monkeypatch):
+    """One array a file, whatever the pieces."""
+    monkeypatch.setattr(results, "WRITTEN_ROWS", 2)
+    rows = spark.range(7).select("id", F.lit('a "b"\né').alias("text")).coalesce(1)
+    results.write_json_arrays(rows, f"{tmp_path}/a.json")
+    files = [json.loads(p.read_text()) for p in (tmp_path / "a.json").glob("part-*")]
+    assert files == [[{"id": i, "text": 'a "b"\né'} for i in range(7)]]
