@@ -5,12 +5,17 @@ pairs it has seen and its sums in a state store. An event-time watermark bounds
 behind it are late and take no part, and a step that it has passed by is reported as closed and forgotten.
 A key is dealt to `parts` states by a hash of the row, so that a step with much of the log
 is not one task; the parts' sums are added when they are read.
+
+Pairs are kept in buckets by their hash, and a batch asks for each bucket once, not for each row: a call to the
+store costs far more than a row. Buckets double as pairs come in, so reading one does not grow with the step.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +28,8 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 KEYS = ["step", "data_source", "part", "opened"]
 SUMS = ["n", "correct", "tokens"]
 OUT = "step string, data_source string, part int, opened long, n long, correct long, tokens long, closed boolean"
+# Pairs a bucket holds before the buckets are doubled, give or take chance.
+BUCKET = 256
 
 
 class StepState(StatefulProcessor):
@@ -33,20 +40,57 @@ class StepState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getMapState("seen", "uid string, sample long", "here boolean")
-        self.sums = handle.getValueState("sums", "n long, correct long, tokens long, opened long, last long, timer long")
+        self.seen = handle.getMapState("seen", "bucket long", "pairs string")
+        self.sums = handle.getValueState(
+            "sums", "n long, correct long, tokens long, opened long, last long, timer long, bits int")
+
+    def _pairs(self, bucket: int) -> tuple[list, list, list]:
+        held = self.seen.getValue((bucket,))
+        return json.loads(held[0]) if held else ([], [], [])
+
+    def _put(self, bucket: int, pairs: tuple) -> None:
+        self.seen.updateValue((bucket,), (json.dumps(pairs),))
+
+    def _double(self, bits: int) -> None:
+        """Twice as many buckets: pairs whose hash has the next bit set move up."""
+        for bucket in range(1 << bits):
+            pairs = list(zip(*self._pairs(bucket)))
+            moved = [p for p in pairs if p[2] >> bits & 1]
+            if moved:
+                self._put(bucket, tuple(zip(*[p for p in pairs if not p[2] >> bits & 1])) or ([], [], []))
+                self._put(bucket + (1 << bits), tuple(zip(*moved)))
+
+    def _unseen(self, batch: pd.DataFrame, bits: int, asks: bool) -> np.ndarray:
+        """Which rows have pairs that the buckets lack; those are put there. `asks` tells if there are any buckets yet."""
+        uids = [None if u is None or u != u else u for u in batch["uid"]]
+        samples, hashes = batch["sample"].astype(int).tolist(), batch["hash"].to_numpy()
+        bucket = hashes & ((1 << bits) - 1)
+        order = np.argsort(bucket, kind="stable")
+        new = np.zeros(len(batch), bool)
+        for rows in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+            at = int(bucket[rows[0]])
+            held = self._pairs(at) if asks else ([], [], [])
+            known = set(zip(held[0], held[1]))
+            fresh = [i for i in rows.tolist() if (uids[i], samples[i]) not in known]
+            if fresh:
+                new[fresh] = True
+                self._put(at, (
+                    [*held[0], *(uids[i] for i in fresh)], [*held[1], *(samples[i] for i in fresh)],
+                    [*held[2], *hashes[fresh].tolist()]))
+        return new
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         known = self.sums.get() if self.sums.exists() else None
-        n, correct, tokens, opened, last, timer = known or (0, 0, 0, None, -1, -1)
+        n, correct, tokens, opened, last, timer, bits = known or (0, 0, 0, None, -1, -1, 0)
         for batch in rows:
             batch = batch.drop_duplicates(["uid", "sample"])
-            pairs = list(zip(batch["uid"], batch["sample"].astype(int)))
-            # A new key has seen nothing, which saves asking.
-            new = [known is None and n == 0 or not self.seen.containsKey(p) for p in pairs]
-            for pair, is_new in zip(pairs, new):
-                if is_new:
-                    self.seen.updateValue(pair, (True,))
+            if batch.empty:
+                continue
+            while BUCKET << bits < n + len(batch):
+                if n:
+                    self._double(bits)
+                bits += 1
+            new = self._unseen(batch, bits, n > 0)
             batch = batch[new]
             n += len(batch)
             correct += int((batch["reward"] == 1).sum())
@@ -61,11 +105,11 @@ class StepState(StatefulProcessor):
             if timer != last + self.idle_ms:
                 timer = last + self.idle_ms
                 self.handle.registerTimer(timer)
-            self.sums.update((n, correct, tokens, opened, last, timer))
+            self.sums.update((n, correct, tokens, opened, last, timer, bits))
             yield self._row(key, n, correct, tokens, opened, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        n, correct, tokens, opened, _, _ = self.sums.get()
+        n, correct, tokens, opened = self.sums.get()[:4]
         self.sums.clear()
         self.seen.clear()
         yield self._row(key, n, correct, tokens, opened, True)
@@ -90,11 +134,13 @@ def keyed_step_metrics(
     rows it had before would count again; both sums stay, told apart by `opened`.
     """
     part: Column = F.pmod(F.xxhash64("uid", "sample"), F.lit(parts)).cast("int")
+    # What buckets go by: the upper half of a hash, since parts go by the rest.
+    upper: Column = F.shiftrightunsigned(F.xxhash64(F.col("uid").cast("string"), F.col("sample").cast("long")), 32)
     log = log.withColumn(time, F.col(time).cast("timestamp"))
     rows = log.withWatermark(time, lateness).select(
         F.col("step").cast("string").alias("step"), F.col("data_source").cast("string").alias("data_source"),
         part.alias("part"), F.col("uid").cast("string").alias("uid"), F.col("sample").cast("long").alias("sample"),
-        F.col("reward").cast("double").alias("reward"), F.col("n_tokens").cast("long").alias("n_tokens"),
+        upper.alias("hash"), F.col("reward").cast("double").alias("reward"), F.col("n_tokens").cast("long").alias("n_tokens"),
         F.unix_millis(time).alias("at_ms"), F.col(time).alias("at"))
     return rows.groupBy("step", "data_source", "part").transformWithStateInPandas(
         statefulProcessor=StepState(idle_seconds * 1000), outputStructType=OUT, outputMode="Update", timeMode="EventTime")

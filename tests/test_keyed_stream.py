@@ -1,5 +1,9 @@
 """Keyed state: replayed rows count once, late rows never, idle steps are closed."""
 
+import json
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from gradeloom.streaming import keyed_metrics as K
@@ -34,3 +38,70 @@ def test_replay_late_rows_and_closing(spark, tmp_path):
     got = deliver(rows(spark, "1", [9], [99], tokens=1000).unionByName(rows(spark, "2", [61], [1])))
     assert got["1"] == (8, 4, 80, True)
     assert got["2"] == (2, 1, 20, False)
+
+
+class Held:
+    """A map or value state in memory that counts calls."""
+
+    def __init__(self):
+        self.map, self.calls = {}, 0
+
+    def called(self, given):
+        self.calls += 1
+        return given
+
+    def getValue(self, key):  # noqa: N802
+        return self.called(self.map.get(key))
+
+    def containsKey(self, key):  # noqa: N802
+        return self.called(key in self.map)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.called(self.map.__setitem__(key, value))
+
+    def exists(self):
+        return () in self.map
+
+    def get(self):
+        return self.map[()]
+
+    def update(self, value):
+        self.map[()] = value
+
+
+class Handle:
+    def getMapState(self, name, key, value):  # noqa: N802
+        self.seen = Held()
+        return self.seen
+
+    def getValueState(self, name, kind):  # noqa: N802
+        self.sums = Held()
+        return self.sums
+
+    def registerTimer(self, at):  # noqa: N802
+        pass
+
+    deleteTimer = registerTimer
+
+
+def test_store_is_asked_per_bucket_not_per_row():
+    """60,000 pairs in batches of 10,000, delivered twice in another order: counted once, with few calls, in small buckets."""
+    n, size = 60_000, 10_000
+    draw = np.random.default_rng(3)
+    pairs = pd.DataFrame({"uid": [f"u{i // 2}" for i in range(n)], "sample": np.arange(n) % 2})
+    pairs.loc[:1, "uid"] = None
+    pairs = pairs.assign(hash=draw.integers(0, 2**32, n), reward=np.arange(n) % 3 / 2, n_tokens=2, at_ms=1_000)
+    log = pd.concat([pairs.iloc[draw.permutation(n)], pairs.iloc[draw.permutation(n)]])
+    state, handle = K.StepState(0), Handle()
+    state.init(handle)
+    for start in range(0, len(log), 3 * size):  # three batches of a key at a time
+        batches = (log.iloc[at:at + size] for at in range(start, start + 3 * size, size))
+        (out,) = state.handleInputRows(("1", "s", 0), batches, None)
+    assert (out["n"][0], out["correct"][0], out["tokens"][0]) == (n, n // 3, 2 * n)
+    assert handle.seen.calls < len(log) / 10
+    assert max(len(json.loads(v[0])[0]) for v in handle.seen.map.values()) < 2 * K.BUCKET
+    # One row more asks for one bucket.
+    before = handle.seen.calls
+    one = pairs.iloc[:1].assign(uid="another")
+    (out,) = state.handleInputRows(("1", "s", 0), iter([one]), None)
+    assert out["n"][0] == n + 1 and handle.seen.calls - before <= 2
