@@ -1,8 +1,9 @@
 """Fitness of trees: what several steps read is computed once."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from gradeloom.operators import trees
+from gradeloom.operators import advantages, trees
 
 SCHEMA = "tree_id int, node_id string, parent_id string, depth int, reward double, log_prob double, path array<int>"
 ROWS = [
@@ -66,3 +67,12 @@ def test_siblings_meet_once(spark):
     same(trees.sibling_advantage(marked), trees.sibling_advantage(tree))
     want = trees.prune_flat_siblings(trees.sibling_advantage(tree))
     same(trees.sibling_advantage(marked, min_spread=trees.MIN_SPREAD), want)
+
+
+def test_rows_are_weighted_from_one_run(spark):
+    rows = spark.createDataFrame(pd.DataFrame({"F": [0.1, 0.2, 0.3], "advantage": [1.0, -1.0, 2.0]}))
+    rows, seen = counted(spark, rows)
+    out = advantages.fitness_weights(rows, scale=("advantage",)).orderBy("F").collect()
+    assert [round(r["weight"], 9) for r in out] == [0.5, 1.0, 1.5]
+    assert [round(r["advantage"], 9) for r in out] == [0.5, -1.0, 3.0]
+    assert seen.value == 3
