@@ -3,7 +3,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
-from gradeloom.operators import advantages, trees
+from gradeloom.operators import advantages, skew, trees
 
 SCHEMA = "tree_id int, node_id string, parent_id string, depth int, reward double, log_prob double, path array<int>"
 ROWS = [
@@ -76,3 +76,17 @@ def test_rows_are_weighted_from_one_run(spark):
     assert [round(r["weight"], 9) for r in out] == [0.5, 1.0, 1.5]
     assert [round(r["advantage"], 9) for r in out] == [0.5, -1.0, 3.0]
     assert seen.value == 3
+
+
+def test_keys_are_counted_only_where_they_can_be_hot(spark, monkeypatch):
+    """Without a hot key nothing is written; with one, its exact parts are found among keys that share its group."""
+    rows = spark.range(20_000).select(F.when(F.col("id") < 900, F.lit(None)).otherwise(F.col("id") % 9_000).alias("k"))
+    paths = []
+    plain = skew.scratch_path
+    monkeypatch.setattr(skew, "scratch_path", lambda *a: paths.append(a) or plain(*a))
+    assert skew.hot_keys(rows, ["k"], 1_000) is None and not paths
+    want = rows.groupBy(F.xxhash64("k").alias("h")).count().where("count > 400").collect()
+    assert [tuple(r) for r in skew.hot_keys(rows, ["k"], 400).collect()] == [(want[0]["h"], 3)] and len(want) == 1
+    # Groups that are large though none of their keys is.
+    monkeypatch.setattr(skew, "COUNTED", 2)
+    assert skew.hot_keys(rows, ["k"], 1_000) is None
